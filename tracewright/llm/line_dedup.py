@@ -90,11 +90,11 @@ def line_dedup(docs: DataFrame, **cut: int) -> DataFrame:
     keep or lose the same chunks. A document all of whose chunks repeat earlier ones stays, with an empty text. An empty table stays empty.
     """
     gone = removed_chunks(docs, **cut)
-    cuts = chunked(docs.withColumn(SUM, F.md5(text_of(docs))), **cut)
-    joined = cuts.join(gone.withColumnRenamed(SUM, f"{P}sum2"), F.col("doc_id").eqNullSafe(F.col(DOC)) & (F.col(SUM) == F.col(f"{P}sum2")), "left")
+    keyed = docs.withColumn(SUM, F.md5(text_of(docs)))
+    joined = keyed.join(gone.withColumnRenamed(SUM, f"{P}sum2"), F.col("doc_id").eqNullSafe(F.col(DOC)) & (F.col(SUM) == F.col(f"{P}sum2")), "left")
     lost = lambda i: F.coalesce(F.array_contains(GONE, i), F.lit(False))
     kept = with_text(
-        joined.withColumns({
+        chunked(joined, **cut).withColumns({
             "n_lines": F.size(f"{P}lines").cast("long"),
             "removed_chunks": F.coalesce(F.size(GONE), F.lit(0)).cast("long"),
             f"{P}kept": F.filter(CHUNKS, lambda c, i: ~lost(i)),
