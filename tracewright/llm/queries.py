@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm import exact_dedup, line_dedup, mixing, near_dedup, packing, sharding, token_counts, toxicity
+from tracewright.llm import exact_dedup, licenses, line_dedup, mixing, near_dedup, packing, sharding, token_counts, toxicity
 from tracewright.llm.common import documents
 
 
@@ -40,6 +40,11 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_plan(documents(spark, sf_dir))
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.licences(documents(spark, sf_dir))
+    return found.select("doc_id", "n_sentences", *[F.array_join(c, ",").alias(c) for c in ("sentence_ids", "rules", "licences")], "licence", "commercial")
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = line_dedup.line_dedup(documents(spark, sf_dir).select("doc_id", "text"))
     return cleaned.select("doc_id", "n_lines", "removed_chunks", "removed_lines", F.sha2("text", 256).alias("text_sha256"))
@@ -91,6 +96,37 @@ SELECT doc_id, source, size, source_size, target,
 FROM p
 """
 
+def op8_sql() -> str:
+    """The sentences by SQL; each rule as a pattern over the sequence of identifiers, the same as in licenses.py."""
+    values = ", ".join(f"('{s}', '{i}')" for s, i in licenses.known().items())
+    rules = ", ".join(f"({k}, '{name}', '{licence}', {commercial}, {list(seq)})" for k, (name, licence, commercial, seq) in enumerate(licenses.RULES))
+    return rf"""
+WITH known(sentence, id) AS (VALUES {values}),
+rule(k, name, licence, commercial, seq) AS (VALUES {rules}),
+wider AS (
+  SELECT a.k AS small, b.k AS big FROM rule a JOIN rule b ON len(a.seq) < len(b.seq)
+  AND regexp_matches(',' || array_to_string(b.seq, ',') || ',', ',' || array_to_string(a.seq, ',(.*,)?') || ',')),
+s AS (
+  SELECT doc_id, unnest(string_split(regexp_replace(regexp_replace(coalesce(text, ''), '[.!?;]+([\x20\x09-\x0D])', chr(10) || '\1', 'g'), '[.!?;]+$', ''), chr(10))) AS sentence,
+         generate_subscripts(string_split(regexp_replace(regexp_replace(coalesce(text, ''), '[.!?;]+([\x20\x09-\x0D])', chr(10) || '\1', 'g'), '[.!?;]+$', ''), chr(10)), 1) AS i
+  FROM documents),
+m AS (
+  SELECT s.doc_id, s.i, s.sentence, k.id FROM s LEFT JOIN known k ON k.sentence = trim(regexp_replace(lower(s.sentence), '[^a-z0-9]+', ' ', 'g'))
+  WHERE regexp_matches(s.sentence, '[A-Za-z0-9]')),
+d AS (SELECT doc_id, count(*) AS n_sentences, coalesce(string_agg(id, ',' ORDER BY i), '') AS sentence_ids FROM m GROUP BY doc_id),
+h AS (SELECT d.doc_id, r.* FROM d JOIN rule r ON regexp_matches(',' || d.sentence_ids || ',', ',' || array_to_string(r.seq, ',(.*,)?') || ',') WHERE d.sentence_ids <> ''),
+f AS (SELECT * FROM h WHERE NOT EXISTS (SELECT 1 FROM h g JOIN wider w ON w.big = g.k WHERE g.doc_id = h.doc_id AND w.small = h.k)),
+l AS (SELECT doc_id, licence, min(k) AS k FROM f GROUP BY doc_id, licence),
+o AS (
+  SELECT f.doc_id, string_agg(name, ',' ORDER BY k) AS rules, arg_min(licence, k) AS licence, bool_and(commercial) AS commercial,
+         (SELECT string_agg(l.licence, ',' ORDER BY l.k) FROM l WHERE l.doc_id = f.doc_id) AS licences
+  FROM f GROUP BY f.doc_id)
+SELECT x.doc_id, coalesce(d.n_sentences, 0)::BIGINT AS n_sentences, coalesce(d.sentence_ids, '') AS sentence_ids, coalesce(o.rules, '') AS rules,
+       coalesce(o.licences, '') AS licences, o.licence, o.commercial
+FROM documents x LEFT JOIN d ON d.doc_id = x.doc_id LEFT JOIN o ON o.doc_id = x.doc_id
+"""
+
+
 OP9_SQL = rf"""
 WITH l AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents),
@@ -122,6 +158,7 @@ QUERIES = {
     "op5_exact_dedup": op5_exact_dedup,
     "op6_token_counts": op6_token_counts,
     "op7_mixing": op7_mixing,
+    "op8_license_scan": op8_license_scan,
     "op9_line_dedup": op9_line_dedup,
     "op10_sharding": op10_sharding,
 }
@@ -130,6 +167,7 @@ ORACLES = {
     "op1_near_dedup": OP1_SQL,
     "op5_exact_dedup": OP5_SQL,
     "op7_mixing": OP7_SQL,
+    "op8_license_scan": op8_sql(),
     "op9_line_dedup": OP9_SQL,
     "op10_sharding": OP10_SQL,
 }
