@@ -8,9 +8,10 @@ with a chance of their Jaccard similarity.
 Banding: with 32 bands of 4 coordinates a pair at similarity 0.75 shares no band with a chance of (1 - 0.75^4)^32, 5 in a million, and a closer pair with less.
 
 Verification on full sets: documents with equal sets are one class (by a 128-bit digest). In a bucket, a class is first checked against the
-bucket's leader, then against another, and only classes that neither ties together are checked pair by pair across what is still apart, in
-full. So a group of n copies costs about n checks, not n squared, and every pair that shares a band is either verified or already connected.
-Links become components by contraction. Nothing is capped, sampled or collected.
+bucket's leader, then against another. Where that leaves a bucket in several components, everything outside the largest is compared
+with all of it in blocks. So close copies cost about one check each, pairs are never listed, and
+any two documents that share a band are either compared or already connected. Links become components by contraction. Nothing is capped, sampled
+or collected.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ from tracewright.llm.components import components
 from tracewright.llm.word_encoder import slices
 
 WORDS, PERCENT, COORDINATES, BANDS = 5, 75, 128, 32
+#: Nodes, and shingles, of a block when what is still apart is compared.
+BLOCK_NODES, BLOCK_SHINGLES = 512, 1_000_000
 
 #: Odd multipliers and shifts of a 64-bit mixing function (fixed values).
 MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
@@ -194,11 +197,8 @@ def near_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     checked = stored(checked.unionByName(linked(second, sets, percent)), "checked")
     roots = components(checked.where("linked"))
 
-    rest = _apart(buckets, roots).select("band", "node", "n", "root")
-    x, y = rest, rest.select("band", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("root").alias("root2"))
-    across = x.join(y, "band").where((F.col("root") < F.col("root2")) & fits(F.col("n"), F.col("n2"))).select(*pair("node", "node2")).distinct()
-    found = linked(across.join(checked.select("a", "b"), ["a", "b"], "left_anti"), sets, percent)
-    roots = components(stored(checked.unionByName(found), "checked").where("linked"))
+    found = across(_apart(buckets, roots), sets, percent)
+    roots = components(stored(checked.where("linked").select("a", "b").union(found), "links"))
 
     set_root = rows.select("doc_id", "n_shingles", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = set_root.groupBy("root").agg(F.min("doc_id").alias("smallest"))
@@ -215,6 +215,55 @@ def _apart(buckets: DataFrame, roots: DataFrame) -> DataFrame:
     return stored(rooted.join(several.select("band"), "band", "left_semi"), "apart")
 
 
+def across(apart: DataFrame, sets: DataFrame, percent: int = PERCENT, most: int = BLOCK_NODES, shingles: int = BLOCK_SHINGLES) -> DataFrame:
+    """Links (a, b) that tie together what is still apart, enough of them to connect all that is linked.
+
+    Members of buckets that overlap form a cluster. In a cluster everything outside its largest component is compared with all of
+    it, block against block: a task holds two blocks (of about `most` nodes or so many shingles) and gives back, for each of
+    the one's nodes, a link to every component that it meets. Pairs are never rows.
+    """
+    member = apart.select("node", "n", "root").distinct()
+    clusters = components(apart.select(F.col("node").alias("a"), F.col("one.node").alias("b")))
+    member = stored(member.join(clusters.select("node", F.col("root").alias("cluster")), "node"), "clusters")
+    sizes = member.groupBy("cluster", "root").agg(F.count("*").alias("m"), F.sum("n").alias("all"))
+    facts = sizes.groupBy("cluster").agg(F.max(F.struct("m", "root")).alias("largest"), F.sum("m").alias("m"), F.sum("all").alias("all"))
+    blocks = lambda m, n: F.greatest(F.ceil(m / most), F.ceil(n / shingles), F.lit(1)).cast("int")
+    facts = facts.select("cluster", F.col("largest.root").alias("main"), blocks(F.col("m"), F.col("all")).alias("n_blocks"))
+    placed = member.join(facts, "cluster").join(sets, "node").withColumns({"block": F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int"), "outside": F.col("root") != F.col("main")})
+    every = F.sequence(F.lit(0), F.col("n_blocks") - 1)
+    columns = ["node", "root", "shingles"]
+    left = placed.where("outside").select("cluster", F.col("block").alias("i"), F.explode(every).alias("j"), F.lit(True).alias("asks"), *columns)
+    right = placed.select("cluster", F.explode(every).alias("i"), F.col("block").alias("j"), F.lit(False).alias("asks"), *columns)
+
+    def answer(asks: list, held: list) -> list[tuple[bytes, bytes]]:
+        if not asks or not held:
+            return []
+        sizes = np.array([len(x[2]) for x in held])
+        starts, flat = np.cumsum(sizes) - sizes, np.concatenate([x[2] for x in held])
+        out = []
+        for node, root, own in asks:
+            at = np.searchsorted(own, flat)
+            both = np.add.reduceat(own[np.minimum(at, len(own) - 1)] == flat, starts, dtype=np.int64)
+            hits = np.flatnonzero(100 * both >= percent * (len(own) + sizes - both))
+            met = {held[h][1]: held[h][0] for h in hits if held[h][1] != root}
+            out += [(node, other) for other in met.values()]
+        return out
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, asks, held = None, [], []
+        batch_of = lambda found: pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.binary()) for k in (0, 1)], ["a", "b"])
+        for batch in slices(batches, "shingles"):
+            for cluster, i, j, own, node, root, shingles_ in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (cluster, i, j) != key:
+                    yield batch_of(answer(asks, held))
+                    key, asks, held = (cluster, i, j), [], []
+                (asks if own else held).append((node, root, np.frombuffer(shingles_, np.uint64)))
+        yield batch_of(answer(asks, held))
+
+    both = left.union(right).repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
+    return both.mapInArrow(compare, "a binary, b binary")
+
+
 def to_other(apart: DataFrame, fits, pair) -> DataFrame:
     """Pairs of members with the bucket's second leader, where that is in another component."""
     lead = apart.where(F.col("node") == F.col("other.node")).select("band", F.col("root").alias("lead_root"))
