@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm import exact_dedup, licenses, line_dedup, mixing, near_dedup, packing, sharding, token_counts, toxicity
+from tracewright.llm import exact_dedup, licenses, line_dedup, media, mixing, near_dedup, packing, sharding, token_counts, toxicity
 from tracewright.llm.common import documents
 
 
@@ -28,6 +28,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_columns(documents(spark, sf_dir))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(documents(spark, sf_dir))
 
@@ -155,6 +159,7 @@ QUERIES = {
     "op1_near_dedup": op1_near_dedup,
     "op2_packing": op2_packing,
     "op3_toxicity": op3_toxicity,
+    "op4_media_columns": op4_media_columns,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_token_counts": op6_token_counts,
     "op7_mixing": op7_mixing,
