@@ -1,4 +1,55 @@
-STAGES = []
+"""A corpus from documents to packed sequences, in five stages.
+
+Each stage takes (spark, docs, sf_dir) and gives a DataFrame that is written as Parquet and read again as the next one's docs. All but
+the last keep the columns of documents. A document that is rejected, or that another of its group stands for, is gone for
+all later stages; removed passages are gone from the texts; the mix repeats and cuts as its targets ask.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tracewright.llm import line_dedup, mixing, near_dedup, packing, queries, toxicity
+from tracewright.llm.common import P, documents, stored
+
+
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose score stays below their language's threshold. A null text is scored as an empty one and kept as it is."""
+    net, thresholds = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    score = f"{P}score"
+    return toxicity.scored(docs, net, score).where(~toxicity.rejected(thresholds, score)).select(*docs.columns)
+
+
+def remove_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without passages of lines that stand elsewhere before. A null text becomes an empty one."""
+    return line_dedup.line_dedup(docs).select(*docs.columns)
+
+
+def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies, the one of smallest doc_id; empty documents stay. Rows that share a doc_id stay if any of them does."""
+    ids = near_dedup.near_dedup(docs).where("kept").select(F.col("doc_id").alias(f"{P}id")).distinct()
+    return docs.join(ids, docs["doc_id"].eqNullSafe(F.col(f"{P}id")), "left_semi")
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix of sources: a row for each time it takes a document; empty documents are not taken."""
+    return mixing.mixture(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences of 2048 tokens."""
+    return packing.pack(docs, queries.tokenizer())
+
+
+STAGES = [("toxicity", reject_toxic), ("line_dedup", remove_lines), ("near_dedup", keep_one), ("mixing", mix), ("packing", pack)]
+
+#: SQL has no classifier or tokenizer.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
