@@ -1,0 +1,205 @@
+"""The same rows as the queries give, in DuckDB's SQL. Patterns are written for RE2, which has no look-around."""
+
+from __future__ import annotations
+
+from tracewright.functions import fixed_values as V
+from tracewright.operators.summary import AXES
+from tracewright.plans.fixtures import narrated_sql, planted_text
+from tracewright.plans.queries import EMAIL, PHONE
+
+
+def lit(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def any_of(low: str, phrases) -> str:
+    return f"regexp_matches({low}, {lit('(^|[^a-z0-9])(' + '|'.join(p.replace(' ', chr(92) + 's+') for p in phrases) + ')([^a-z0-9]|$)')})"
+
+
+def score(low: str, phrases) -> str:
+    return "(" + " + ".join(any_of(low, [p]) + "::INT" for p in phrases) + ")"
+
+
+def rules(low: str, table) -> str:
+    return "CASE " + " ".join(f"WHEN {any_of(low, phrases)} THEN '{code}'" for code, phrases in table) + " ELSE 'unknown' END"
+
+
+def parts(low: str, substrings) -> str:
+    return "(" + " OR ".join(f"contains({low}, {lit(p)})" for p in substrings) + ")"
+
+
+def case_of(column: str, values: dict, default: str) -> str:
+    return f"CASE {column} " + " ".join(f"WHEN {lit(k)} THEN {lit(v) if isinstance(v, str) else v}" for k, v in values.items()) + f" ELSE {default} END"
+
+
+def trim_words(x: str, n: int) -> str:
+    return f"CASE WHEN len(string_split({x}, ' ')) <= {n} THEN {x} ELSE rtrim(array_to_string(string_split({x}, ' ')[1:{n}], ' '), ',.;:') || '...' END"
+
+
+def sentences(text: str) -> str:
+    flat = rf"trim(regexp_replace({text}, '\s+', ' ', 'g'))"
+    return rf"list_filter(list_transform(string_split(regexp_replace({flat}, '([.!?]) ', '\1' || chr(1), 'g'), chr(1)), lambda s: trim(s, ' -')), lambda s: s <> '')"
+
+
+def having(array: str, phrases) -> str:
+    return f"list_filter({array}, lambda x: {any_of('lower(x)', phrases)})"
+
+
+def duration(a: str, b: str) -> str:
+    s = f"floor(epoch({b}::TIMESTAMP) - epoch({a}::TIMESTAMP))::BIGINT"
+    return f"CASE WHEN {a} IS NULL OR {b} IS NULL OR {b}::TIMESTAMP < {a}::TIMESTAMP THEN 'unknown' WHEN {s} < 60 THEN {s} || 's' WHEN {s} < 3600 THEN {s} // 60 || 'm ' || {s} % 60 || 's' ELSE {s} // 3600 || 'h ' || ({s} // 60) % 60 || 'm' END"
+
+
+W = "PARTITION BY trace_id ORDER BY msg_index"
+FLAGS = f"""WITH {narrated_sql()},
+flags AS (
+  SELECT *, {score("lower(text)", V.DIFFICULTY)} AS difficulty_score, {any_of("lower(text)", V.SHIFT)} AS has_shift, {any_of("lower(text)", V.INTENTION)} AS has_intention,
+         {any_of("lower(text)", V.OUTCOME)} AS has_outcome FROM narrated)"""
+CANDIDATES = f"""{FLAGS},
+spans AS (
+  SELECT trace_id, msg_index, role = 'assistant' AND difficulty_score + has_shift::INT >= 2 AS is_candidate,
+         coalesce(max(CASE WHEN role = 'assistant' AND has_intention THEN msg_index END) OVER ({W} ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING), msg_index) AS start_index,
+         coalesce(min(CASE WHEN role = 'assistant' AND has_outcome THEN msg_index END) OVER ({W} ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING),
+                  max(CASE WHEN role = 'assistant' THEN msg_index END) OVER ({W} ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING)) AS end_index
+  FROM flags),
+candidates AS (SELECT trace_id, msg_index, start_index, end_index FROM spans WHERE is_candidate)"""
+MERGED = f"""{CANDIDATES},
+reach AS (
+  SELECT *, max(end_index) OVER (PARTITION BY trace_id ORDER BY start_index, end_index, msg_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM candidates),
+islands AS (
+  SELECT *, sum(CASE WHEN reach IS NULL OR start_index > reach + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY trace_id ORDER BY start_index, end_index, msg_index ROWS UNBOUNDED PRECEDING)::BIGINT AS episode_no FROM reach),
+merged AS (SELECT trace_id, episode_no, min(start_index) AS start_index, max(end_index) AS end_index FROM islands WHERE episode_no <= 12 GROUP BY ALL)"""
+KEYS = f"""{MERGED},
+inside AS (SELECT m.*, s.episode_no, s.start_index, s.end_index FROM merged s JOIN narrated m ON m.trace_id = s.trace_id AND m.msg_index BETWEEN s.start_index AND s.end_index AND m.role = 'assistant'),
+said AS (
+  SELECT trace_id, episode_no, start_index, end_index, string_agg(text, chr(10) || chr(10) ORDER BY msg_index) AS combined, arg_min(timestamp, msg_index) AS start_time, arg_max(timestamp, msg_index) AS end_time
+  FROM inside GROUP BY ALL),
+cut AS (SELECT *, {sentences("combined")} AS s FROM said),
+told AS (SELECT *, {having("s", V.DIFFICULTY)} AS d, {having("s", V.INTENTION)} AS i, {having("s", V.SHIFT)} AS h, {having("s", V.OUTCOME)} AS o FROM cut),
+real AS (SELECT *, list_filter(d, lambda x: NOT {any_of("lower(x)", V.INTENTION)} OR {any_of("lower(x)", V.EVIDENCE)}) AS r FROM told),
+named AS (SELECT *, coalesce(r[1], d[1], s[1], '') AS difficulty_sentence, coalesce(i[1], '') AS own_intention, coalesce(i[1], s[1], '') AS intention, coalesce(o[-1], '') AS outcome_sentence FROM real),
+keys AS (SELECT *, coalesce({having("s[coalesce(list_position(s, difficulty_sentence), 0) + 1:]", V.SHIFT)}[1], h[1], '') AS shift_sentence FROM named)"""
+L = "low"
+CODES = f"""{KEYS},
+low AS (SELECT *, lower(combined) AS low, {score("lower(combined)", V.DIFFICULTY)} AS n FROM keys),
+one AS (
+  SELECT *, {rules("lower(difficulty_sentence)", V.DIFFICULTY_RULES)} AS by_sentence, {rules(L, V.DIFFICULTY_RULES)} AS by_all, {rules(L, V.APPRAISAL_RULES)} AS appraisal,
+         {rules(L, V.DETOUR_RULES)} AS detour, {rules(L, V.RESOLUTION_RULES)} AS resolution_mode, {any_of(L, V.SUCCESS)} AS success FROM low),
+two AS (
+  SELECT *, CASE WHEN by_sentence <> 'unknown' THEN by_sentence ELSE by_all END AS difficulty_type,
+         CASE WHEN detour = 'unknown' OR (detour = 'premature_closure' AND n < 2) THEN 'direct_continuation' ELSE detour END AS detour_type,
+         CASE WHEN success AND {any_of(L, V.UNRESOLVED)} THEN 'premature_success_claim' WHEN {any_of(L, V.NOT_RESOLVED)} THEN 'not_resolved' WHEN {any_of(L, V.UNVERIFIED)} THEN 'needs_verification'
+              WHEN {any_of(L, V.PARTIAL)} THEN 'partially_resolved' WHEN {any_of(L, V.CAVEAT)} AND {any_of(L, V.COMPLETION)} THEN 'resolved_with_caveat'
+              WHEN success AND n >= 3 AND NOT {parts(L, V.CONFIDENT_SUBSTRINGS)} THEN 'premature_success_claim' WHEN success THEN 'resolved_with_confidence'
+              WHEN {any_of(L, V.UNCERTAIN)} THEN 'uncertain_but_proceeding' ELSE 'unknown' END AS outcome_claim FROM one),
+three AS (
+  SELECT *, CASE outcome_claim WHEN 'not_resolved' THEN 'failed_recovery' WHEN 'needs_verification' THEN 'partial_recovery' WHEN 'premature_success_claim' THEN 'overconfident_recovery' ELSE
+         CASE WHEN {parts(L, V.REFLECTIVE_SUBSTRINGS)} THEN 'reflective_recovery' WHEN detour_type IN ('alternative_path', 'workaround', 'scope_narrowing', 'verification_shift') THEN 'detour_recovery'
+              WHEN {parts(L, V.ITERATIVE_SUBSTRINGS)} THEN 'iterative_recovery' WHEN outcome_claim IN ('resolved_with_confidence', 'resolved_with_caveat') THEN 'smooth_recovery' ELSE 'unknown' END END AS recovery_pattern FROM two),
+codes AS (
+  SELECT *, CASE WHEN detour_type IN ('direct_continuation', 'unknown') THEN 'unknown' WHEN recovery_pattern IN ('overconfident_recovery', 'failed_recovery', 'avoidant_recovery') THEN 'no'
+                 WHEN outcome_claim IN ('partially_resolved', 'needs_verification', 'resolved_with_caveat') THEN 'mixed' ELSE 'yes' END AS productive_detour FROM three)"""
+TITLES = {c: c.replace("_", " ").title() for c in V.CODEBOOK["difficulty_type"]}
+QUOTES = "list_transform(list_filter([difficulty_sentence, shift_sentence, outcome_sentence], lambda x: x <> ''), lambda x: " + trim_words("x", 30) + ")"
+EPISODES = f"""{CODES},
+quoted AS (SELECT *, {QUOTES} AS q FROM codes),
+episodes AS (
+  SELECT trace_id, episode_no, 'E' || lpad(episode_no::VARCHAR, 2, '0') AS episode_id,
+         {case_of("difficulty_type", TITLES, "''")} || CASE WHEN difficulty_sentence <> '' THEN ': ' || {trim_words("difficulty_sentence", 8)} ELSE '' END AS title,
+         start_index, end_index, start_time, end_time, {duration("start_time", "end_time")} AS duration_label, {trim_words("intention", 36)} AS initial_intention,
+         {trim_words("difficulty_sentence", 40)} AS reported_difficulty, difficulty_type, appraisal,
+         CASE WHEN own_intention <> '' THEN {trim_words("own_intention", 36)} ELSE {lit(V.NO_STRATEGY)} END AS strategy_before,
+         CASE WHEN shift_sentence <> '' THEN {trim_words("shift_sentence", 36)} WHEN outcome_sentence <> '' THEN {trim_words("outcome_sentence", 36)} ELSE {lit(V.NO_SHIFT)} END AS strategy_after,
+         detour_type, resolution_mode, recovery_pattern, outcome_claim, productive_detour,
+         array_to_string(list_filter(q, lambda x, k: list_position(q, x) = k), ' | ') AS evidence_quotes,
+         'The visible narrative frames this as ' || replace(difficulty_type, '_', ' ') || '; the appraisal is ' || replace(appraisal, '_', ' ') || ', with ' || replace(detour_type, '_', ' ') || ' and '
+         || replace(recovery_pattern, '_', ' ') || '. The outcome claim reads as ' || replace(outcome_claim, '_', ' ') || '.' AS analyst_memo
+  FROM quoted)"""
+COUNTS = f"""{EPISODES},
+stacked AS ({" UNION ALL ".join(f"SELECT trace_id, episode_no, '{a}' AS axis, {a} AS code FROM episodes" for a in AXES)}),
+counts AS (SELECT trace_id, axis, code, count(*) AS n, min(episode_no) AS first_episode FROM stacked GROUP BY ALL)"""
+RISKY = ", ".join(map(lit, V.RISKY_CLAIMS))
+TONE = case_of("recovery_pattern", V.VIEW_TONES, "'unknown'")
+
+
+def redaction_steps() -> str:
+    steps = [f"WITH r0 AS (SELECT doc_id, {planted_text()} AS text, []::STRUCT(label VARCHAR, n BIGINT)[] AS found FROM documents)"]
+    for k, (label, pattern, new) in enumerate(V.REDACTIONS):
+        steps.append(f"r{k + 1} AS (SELECT doc_id, regexp_replace(text, {lit(pattern)}, {lit(new)}, 'g') AS text, list_append(found, {{'label': '{label}', 'n': len(regexp_extract_all(text, {lit(pattern)}))}}) AS found FROM r{k})")
+    return ", ".join(steps) + f", redacted AS (SELECT doc_id, text, list_filter(found, lambda f: f.n > 0) AS found FROM r{len(V.REDACTIONS)})"
+
+
+BLANK = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+MESSY = r"chr(10) || ' ' || chr(9) || chr(10) || text || '  ' || chr(13) || chr(10) || text || chr(9) || chr(13) || '  indented ' || chr(13) || chr(10) || chr(10)"
+CONVERSATION = "SELECT conv_id AS trace_id, turn, role AS raw_role, CASE WHEN lower(role) IN ('user', 'human', 'user_message') THEN 'user' ELSE 'assistant' END AS role, text FROM conversations"
+
+ORACLES = {
+    "message_roles": f"WITH c AS ({CONVERSATION}) SELECT trace_id, turn, raw_role, role, row_number() OVER (PARTITION BY trace_id ORDER BY turn) - 1 AS msg_index FROM c",
+    "normalized_text": f"""WITH t AS (SELECT conv_id AS trace_id, turn, replace(replace({MESSY}, chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS t FROM conversations)
+SELECT trace_id, turn, trim(array_to_string(list_transform(string_split(t, chr(10)), lambda l: rtrim(l, {BLANK})), chr(10)), chr(10)) AS text FROM t""",
+    "regex_redaction": redaction_steps() + """
+SELECT doc_id, text, array_to_string(list_transform(list_sort(found), lambda f: f.label || ': ' || f.n), ', ') AS notes, coalesce(list_sum(list_transform(found, lambda f: f.n)), 0)::BIGINT AS redaction_count FROM redacted""",
+    "redaction_totals": redaction_steps() + ", u AS (SELECT unnest(found) AS f FROM redacted) SELECT f.label AS label, sum(f.n)::BIGINT AS n FROM u GROUP BY 1",
+    "pii_span_merge": """SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN '0:3:private_person,6:9:private_phone' WHEN 4 THEN '0:5:private_person,5:8:private_phone' WHEN 5 THEN '2:4:secret'
+  ELSE '0:8:private_person' END AS spans FROM documents""",
+    "pii_mask": f"""SELECT doc_id, md5(regexp_replace(regexp_replace(text, {lit(PHONE)}, '[REDACTED_PHONE]', 'g'), {lit(EMAIL)}, '[REDACTED_EMAIL]', 'g')) AS text_md5,
+  (len(regexp_extract_all(text, {lit(PHONE)})) + len(regexp_extract_all(text, {lit(EMAIL)})))::BIGINT AS pii_count FROM documents""",
+    "signal_scores": f"{CANDIDATES} SELECT f.trace_id, f.msg_index, difficulty_score, has_shift, has_intention, has_outcome, is_candidate FROM flags f JOIN spans s ON s.trace_id = f.trace_id AND s.msg_index = f.msg_index",
+    "candidate_spans": f"{CANDIDATES} SELECT * FROM candidates",
+    "merged_spans": f"{MERGED} SELECT * FROM merged",
+    "span_messages": f"{KEYS} SELECT trace_id, episode_no, msg_index, text FROM inside",
+    "sentences": f"WITH {narrated_sql()}, s AS (SELECT trace_id, msg_index, {sentences("text || chr(10) || '- And more?  Yes! '")} AS s FROM narrated) SELECT trace_id, msg_index, generate_subscripts(s, 1) - 1 AS k, unnest(s) AS sentence FROM s",
+    "key_sentences": f"{KEYS} SELECT trace_id, episode_no, len(s) AS n_sentences, difficulty_sentence, intention, shift_sentence, outcome_sentence FROM keys",
+    "episode_codes": f"{CODES} SELECT trace_id, episode_no, difficulty_type, appraisal, detour_type, resolution_mode, outcome_claim, recovery_pattern, productive_detour FROM codes",
+    "episodes": f"{EPISODES} SELECT * FROM episodes",
+    "code_counts": f"{COUNTS} SELECT * FROM counts",
+    "pattern_summary": f"""{COUNTS},
+ranked AS (SELECT *, row_number() OVER (PARTITION BY trace_id, axis ORDER BY n DESC, first_episode) AS place FROM counts),
+top AS (SELECT trace_id, axis, string_agg(replace(code, '_', ' ') || ' (' || n || ')', ', ' ORDER BY place) AS said FROM ranked WHERE place <= 3 GROUP BY ALL),
+risky AS (SELECT trace_id, string_agg(episode_id, ', ' ORDER BY episode_no) FILTER (outcome_claim IN ({RISKY})) AS ids FROM episodes GROUP BY 1)
+SELECT t.trace_id, 'Main difficulty pattern: ' || max(said) FILTER (axis = 'difficulty_type') || '.' AS difficulty_style, 'Main detour pattern: ' || max(said) FILTER (axis = 'detour_type') || '.' AS detour_style,
+       'Main recovery pattern: ' || max(said) FILTER (axis = 'recovery_pattern') || '.' AS recovery_style,
+       CASE WHEN r.ids IS NOT NULL THEN 'Watch ' || r.ids || ': these episodes end with unresolved, unverifiable, or overconfident claims.'
+            ELSE 'Outcome claims lean toward ' || max(said) FILTER (axis = 'outcome_claim') || '.' END AS risk_or_caveat
+FROM top t JOIN risky r ON r.trace_id = t.trace_id GROUP BY t.trace_id, r.ids""",
+    "session_verdict": f"""{EPISODES},
+v AS (
+  SELECT trace_id, count(*) AS n_episodes, arg_max({TONE}, {case_of(f"({TONE})", V.SEVERITY, "0")}) AS tone,
+         CASE WHEN bool_or(outcome_claim = 'premature_success_claim') THEN 'overclaimed' WHEN bool_or(outcome_claim IN ({", ".join(map(lit, V.CANDID_CLAIMS))})) THEN 'candid' ELSE 'mixed' END AS honesty FROM episodes GROUP BY 1)
+SELECT *, CASE WHEN honesty = 'overclaimed' THEN {lit(V.OVERCLAIMED_HEADLINE)} ELSE {case_of("tone", V.HEADLINES, "''")} END AS headline FROM v""",
+    "difficulty_clusters": f"""{EPISODES} SELECT trace_id, difficulty_type, count(*) AS n, string_agg(episode_id, ', ' ORDER BY episode_no) AS episode_ids,
+  arg_min(string_split(evidence_quotes, ' | ')[1], episode_no) FILTER (evidence_quotes <> '') AS example FROM episodes GROUP BY 1, 2""",
+    "detour_groups": f"{EPISODES} SELECT trace_id, " + ", ".join(f"coalesce(string_agg(episode_id, ', ' ORDER BY episode_no) FILTER (productive_detour = '{v}'), '') AS {c}" for c, v in (("productive", "yes"), ("mixed", "mixed"), ("unproductive", "no"))) + " FROM episodes GROUP BY 1",
+    "durations": f"WITH e AS (SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS b, strftime(lag(ts) OVER (PARTITION BY user_id ORDER BY event_id), '%Y-%m-%dT%H:%M:%SZ') AS a FROM events) SELECT event_id, {duration('a', 'b')} AS duration_label FROM e",
+    "capture_window": f"""{EPISODES}, w AS (SELECT trace_id, arg_min(start_time, episode_no) AS a, arg_max(end_time, episode_no) AS b FROM episodes GROUP BY 1)
+SELECT trace_id, CASE WHEN a[:10] = b[:10] THEN a[:10] || ' · ' || a[12:16] || '–' || b[12:16] || ' UTC' ELSE a[:10] || ' ' || a[12:16] || ' → ' || b[:10] || ' ' || b[12:16] || ' UTC' END AS captured,
+       {duration("a", "b")} AS duration_total FROM w""",
+    "numbered_narrative": f"""WITH {narrated_sql()}, n AS (SELECT trace_id, count(*) AS n FROM narrated GROUP BY 1),
+p AS (SELECT DISTINCT trace_id, unnest([0, n - 1] || list_transform(range(50), lambda i: floor(i * (n / 50.0::DOUBLE))::BIGINT)) AS pick FROM n)
+SELECT m.trace_id, m.msg_index, '[' || m.msg_index || '] ' || role || ' ' || timestamp || ': ' || trim(regexp_replace(text, '\\s+', ' ', 'g'))[:320] AS line
+FROM narrated m JOIN n ON n.trace_id = m.trace_id WHERE n <= 50 OR EXISTS (SELECT 1 FROM p WHERE p.trace_id = m.trace_id AND pick = msg_index)""",
+    "redacted_narrative": f"""WITH RECURSIVE c AS ({CONVERSATION}), rules(k, pattern, new) AS (VALUES {", ".join(f"({k}, {lit(p)}, {lit(n)})" for k, (_, p, n) in enumerate(V.REDACTIONS))}),
+m AS (SELECT trace_id, row_number() OVER (PARTITION BY trace_id ORDER BY turn) - 1 AS i, role, array_to_string(list_transform(string_split(text, chr(10)), lambda l: rtrim(l, {BLANK})), chr(10)) AS text FROM c),
+r AS (SELECT 0 AS k, * FROM m UNION ALL SELECT r.k + 1, trace_id, i, role, regexp_replace(text, pattern, new, 'g') FROM r JOIN rules ON rules.k = r.k)
+SELECT trace_id, trim(string_agg('## ' || lpad(i::VARCHAR, 4, '0') || ' ' || role || chr(10) || chr(10) || trim(text, chr(10)), chr(10) || chr(10) ORDER BY i), {BLANK}) || chr(10) AS narrative FROM r WHERE k = {len(V.REDACTIONS)} GROUP BY 1""",
+    "parse_roundtrip": f"WITH {narrated_sql()} SELECT trace_id, msg_index, role, text, timestamp FROM narrated",
+    "plain_text_blocks": f"""WITH b AS (
+  SELECT conv_id AS trace_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS block, CASE WHEN role = 'user' THEN 'user' ELSE 'assistant' END AS role, trim(text, {BLANK}) || chr(10) || 'and more' AS text FROM conversations
+  UNION ALL SELECT DISTINCT conv_id, 0, 'assistant', 'before all' FROM conversations)
+SELECT * FROM b""",
+    "agent_sniff": """WITH r AS (SELECT event_id // 10 AS trace_id, event_id % 10 AS raw_index, CASE WHEN event_id % 10 < 5 THEN 6 ELSE event_id % 8 END AS shape FROM events),
+a AS (SELECT trace_id, arg_min(CASE WHEN shape < 2 THEN 'codex' WHEN shape < 4 THEN 'claude_code' ELSE 'pi' END, raw_index) FILTER (shape < 6) AS agent FROM r GROUP BY 1)
+SELECT trace_id, CASE trace_id % 7 WHEN 3 THEN 'codex' WHEN 5 THEN 'claude_code' ELSE coalesce(agent, 'unknown') END AS agent FROM a""",
+    "model_apply": f"""WITH {narrated_sql()}, t AS (SELECT trace_id, max(msg_index) AS last, trace_id % 5 = 4 AS echo FROM narrated WHERE trace_id % 5 <> 3 GROUP BY 1),
+s AS (SELECT *, CASE WHEN echo THEN 0 ELSE least(2, last) END AS start_index, CASE WHEN echo THEN last ELSE least(9, last) END AS end_index FROM t)
+SELECT s.trace_id, 'E01' AS episode_id, CASE WHEN echo THEN 'Difficulty episode' ELSE 'T' END AS title, start_index, end_index, a.timestamp AS start_time, b.timestamp AS end_time, {duration("a.timestamp", "b.timestamp")} AS duration_label,
+       CASE WHEN echo THEN '' ELSE 'D' END AS reported_difficulty, CASE WHEN echo THEN 'unknown' ELSE 'compatibility_risk' END AS difficulty_type, 'unknown' AS appraisal,
+       CASE WHEN echo THEN 'not_resolved' ELSE 'unknown' END AS outcome_claim, CASE WHEN echo THEN 'unknown' ELSE 'yes' END AS productive_detour, CASE WHEN echo THEN '' ELSE 'q1 | q2' END AS evidence_quotes
+FROM s JOIN narrated a ON a.trace_id = s.trace_id AND a.msg_index = start_index JOIN narrated b ON b.trace_id = s.trace_id AND b.msg_index = end_index""",
+    "progress_plan": """WITH n AS (SELECT conv_id AS trace_id, count(*) AS total, greatest(1, ceil(count(*) / 30.0))::BIGINT AS chunk FROM conversations GROUP BY 1),
+c AS (SELECT *, unnest(range(1, ceil(total / chunk)::BIGINT + 1)) AS k FROM n), p AS (SELECT *, least(k * chunk, total) AS processed FROM c)
+SELECT trace_id, 'redact' AS stage, CASE WHEN processed < total THEN 2 ELSE 3 END AS step, round_even(12 + 28 * (processed / total::DOUBLE), 0)::INT AS pct, processed, total FROM p
+UNION ALL SELECT trace_id, stage, step, pct, total, total FROM n, (VALUES ('extract', 2, 12), ('chart', 4, 55), ('classify', 5, 62), ('synthesize', 5, 70)) s(stage, step, pct)""",
+    "codebook_lookup": f"""{COUNTS}, book(axis, code, ordinal, meaning) AS (VALUES {", ".join(f"('{a}', '{c}', {k}, {lit(m)})" for a, codes in V.CODEBOOK.items() for k, (c, m) in enumerate(codes.items()))})
+SELECT b.axis, b.code, b.ordinal, b.meaning, coalesce(sum(n), 0)::BIGINT AS n FROM book b LEFT JOIN counts c ON c.axis = b.axis AND c.code = b.code GROUP BY ALL""",
+}
