@@ -18,20 +18,21 @@ def _extended(text: Column) -> Column:
     return F.when(tidy.rlike(ISO), F.regexp_replace(F.regexp_replace(tidy, ",", "."), rf"^({DATE}).", "$1T"))
 
 
-def _minuted(text: Column) -> Column:
-    """With minutes after the hour."""
-    return F.regexp_replace(_extended(text), r"(T\d{2})(Z|[+-].*)?$", "$1:00$2")
+def _whole(text: Column) -> Column:
+    """With minutes and seconds after the hour."""
+    minutes = F.regexp_replace(_extended(text), r"(T\d{2})(Z|[+-].*)?$", "$1:00$2")
+    return F.regexp_replace(minutes, r"(T\d{2}:\d{2})(Z|[+-].*)?$", "$1:00$2")
 
 
 def instant(text: Column) -> Column:
     """The moment; texts without an offset count as UTC (the session's time zone must be UTC). Null where it cannot be read."""
-    colons = F.regexp_replace(_minuted(text), r"(T.*[+-]\d{2})(\d{2})$", "$1:$2")
+    colons = F.regexp_replace(_whole(text), r"(T.*[+-]\d{2})(\d{2})$", "$1:$2")
     return F.regexp_replace(colons, r"(T.*[+-]\d{2})$", "$1:00").try_cast("timestamp")
 
 
 def wall(text: Column) -> Column:
     """'yyyy-MM-dd HH:mm:ss' as the text itself says it, in its own offset; null where it cannot be read."""
-    local = F.regexp_replace(_minuted(text), r"(T[^Z+-]*)(?:Z|[+-].*)$", "$1")
+    local = F.regexp_replace(_whole(text), r"(T[^Z+-]*)(?:Z|[+-].*)$", "$1")
     clock = F.substring(local, 12, 8)
     whole = F.concat(clock, F.substring(F.lit("00:00:00"), F.length(clock) + 1, F.lit(8)))
     return F.when(instant(text).isNotNull(), F.concat(F.substring(local, 1, 10), F.lit(" "), whole))
