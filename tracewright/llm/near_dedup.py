@@ -109,7 +109,7 @@ def sketches(sets: list[np.ndarray], coordinates: int = COORDINATES) -> np.ndarr
 
 def band_keys(sketch: np.ndarray, bands: int = BANDS) -> np.ndarray:
     """A signed 64-bit key for each band; the band's number is part of it."""
-    wide = sketch.reshape(len(sketch), bands, -1)
+    wide = sketch.reshape(len(sketch), bands, sketch.shape[1] // bands)
     key = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64) * STEP, wide.shape[:2]).copy()
     for k in range(wide.shape[2]):
         key = mixed(key + wide[:, :, k])
