@@ -40,8 +40,13 @@ def wall(text: Column) -> Column:
 
 def duration_label(start: Column, end: Column) -> Column:
     """'12s', '3m 4s' or '5h 6m' between two texts; 'unknown' if one is missing, unreadable or they are out of order."""
-    micros = F.unix_micros(instant(end)) - F.unix_micros(instant(start))
-    s = F.floor(micros / 1_000_000).cast("long")
-    pair = lambda a, x, b, y: F.concat(a.cast("long").cast("string"), F.lit(x), b.cast("long").cast("string"), F.lit(y))
-    label = F.when(s < 60, F.concat(s.cast("string"), F.lit("s"))).when(s < 3600, pair(F.floor(s / 60), "m ", s % 60, "s")).otherwise(pair(F.floor(s / 3600), "h ", F.floor(s / 60) % 60, "m"))
-    return F.when(micros >= 0, label).otherwise("unknown")
+    text = lambda x: F.floor(x).cast("long").cast("string")
+
+    def label(micros: Column) -> Column:
+        s = micros / 1_000_000
+        hours = F.concat(text(s / 3600), F.lit("h "), text(F.floor(s / 60) % 60), F.lit("m"))
+        return F.when(s < 60, F.concat(text(s), F.lit("s"))).when(s < 3600, F.concat(text(s / 60), F.lit("m "), text(F.floor(s) % 60), F.lit("s"))).otherwise(hours)
+
+    # within an array, so that reading the two texts is not written out for every use of their difference
+    between = F.array(F.unix_micros(instant(end)) - F.unix_micros(instant(start)))
+    return F.coalesce(F.get(F.transform(F.filter(between, lambda m: m >= 0), label), 0), F.lit("unknown"))

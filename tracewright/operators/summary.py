@@ -30,17 +30,24 @@ def code_counts(episodes: DataFrame) -> DataFrame:
 
 
 def patterns(episodes: DataFrame) -> DataFrame:
-    """trace_id, difficulty_style, detour_style, recovery_style, risk_or_caveat for traces with episodes. The three commonest codes are named; ties go to the one seen first."""
-    top = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("less"), "first_episode", "code"))), 1, 3)
-    said = F.array_join(F.transform(top, lambda x: F.concat(spoken(x["code"]), F.lit(" ("), (-x["less"]).cast("string"), F.lit(")"))), ", ")
-    by_axis = code_counts(episodes).groupBy("trace_id", "axis").agg(said.alias("said"))
-    wide = by_axis.groupBy("trace_id").pivot("axis", list(AXES)).agg(F.first("said"))
-    risky = episodes.groupBy("trace_id").agg(F.array_join(in_order(F.col("episode_id"), F.col("outcome_claim").isin(*V.RISKY_CLAIMS)), ", ").alias("risky"))
-    caveat = F.when(
-        F.col("risky") != "", F.concat(F.lit("Watch "), "risky", F.lit(": these episodes end with unresolved, unverifiable, or overconfident claims."))
-    ).otherwise(F.concat(F.lit("Outcome claims lean toward "), "outcome_claim", F.lit(".")))
-    style = lambda name, c: F.concat(F.lit(f"Main {name} pattern: "), c, F.lit("."))
-    return wide.join(risky, "trace_id").select(
+    """trace_id, difficulty_style, detour_style, recovery_style, risk_or_caveat for traces with episodes. The three commonest codes are named; ties go to the one seen first.
+
+    One group-by on the exchange that made the episodes; a trace's few episodes are then counted within the row.
+    """
+    by_trace = episodes.groupBy("trace_id").agg(F.array_sort(F.collect_list(F.struct("episode_no", "episode_id", *AXES))).alias("e"))
+    named = by_trace.withColumns({a: F.col(f"e.{a}") for a in AXES})
+
+    def top(axis: str) -> Column:
+        count = lambda c: F.size(F.filter(axis, lambda x: x == c))
+        ranked = F.array_sort(F.transform(F.array_distinct(axis), lambda c, k: F.struct((-count(c)).alias("less"), k.alias("first"), c.alias("code"))))
+        return F.array_join(F.transform(F.slice(ranked, 1, 3), lambda x: F.concat(spoken(x["code"]), F.lit(" ("), (-x["less"]).cast("string"), F.lit(")"))), ", ")
+
+    risky = F.array_join(F.transform(F.filter("e", lambda x: x["outcome_claim"].isin(*V.RISKY_CLAIMS)), lambda x: x["episode_id"]), ", ")
+    caveat = F.when(risky != "", F.concat(F.lit("Watch "), risky, F.lit(": these episodes end with unresolved, unverifiable, or overconfident claims."))).otherwise(
+        F.concat(F.lit("Outcome claims lean toward "), top("outcome_claim"), F.lit("."))
+    )
+    style = lambda name, axis: F.concat(F.lit(f"Main {name} pattern: "), top(axis), F.lit("."))
+    return named.select(
         "trace_id", style("difficulty", "difficulty_type").alias("difficulty_style"), style("detour", "detour_type").alias("detour_style"),
         style("recovery", "recovery_pattern").alias("recovery_style"), caveat.alias("risk_or_caveat"),
     )

@@ -12,6 +12,7 @@ from tracewright.operators.messages import narrative, trace_title
 from tracewright.operators.redaction import redact, totals
 from tracewright.operators.report import privacy_notes, reports
 from tracewright.sources import traces as files_source
+from tracewright.sources.scratch import stored
 
 #: Share of the work done after each stage: stage, step, percent (fixed values); redaction ramps from 12 to 40.
 PLAN = (("extract", 2, 12), ("chart", 4, 55), ("classify", 5, 62), ("synthesize", 5, 70))
@@ -27,9 +28,12 @@ def trace_facts(redacted: DataFrame) -> DataFrame:
 
 
 def analyze(messages: DataFrame, titles: DataFrame | None = None) -> dict[str, DataFrame]:
-    """Relations of the analysis by name; titles (trace_id, agent, trace_title) where known."""
-    redacted = redact(messages)
-    found = E.episodes(redacted)
+    """Relations of the analysis by name; titles (trace_id, agent, trace_title) where known.
+
+    Redacted messages and episodes, which the other relations all read, are written once.
+    """
+    redacted = stored(redact(messages), "messages")
+    found = stored(E.episodes(redacted), "episodes")
     facts = trace_facts(redacted)
     named = facts.join(titles, "trace_id", "left") if titles is not None else facts.withColumns({"agent": F.lit(None).cast("string"), "trace_title": F.lit(None).cast("string")})
     unnamed = F.concat(F.lit("Agent trace: "), F.col("trace_id").cast("string"))
