@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import tempfile
-import uuid
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracewright.sources.scratch import shared_folder, stored
+
+__all__ = ["BLANKS", "P", "WORD", "documents", "shared_folder", "ship", "stored", "text_of", "with_text"]
+
 #: A word is a run of characters other than these six white-space characters (space, \t \n \v \f \r).
 WORD = r"[^\x20\x09-\x0D]+"
 BLANKS = " \t\n\x0b\f\r"
@@ -27,24 +30,6 @@ def text_of(docs: DataFrame, column: str = "text") -> Column:
     return F.coalesce(docs[column], F.lit(""))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or for a session without one a temporary folder of this machine (tests, local mode)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        context = spark.sparkContext
-        if not context.getCheckpointDir():
-            context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-        folder = context.getCheckpointDir()
-    return folder.rstrip("/")
-
-
-def stored(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
-    """df written to the shared folder and read again: cuts the lineage, survives lost executors, is computed once."""
-    path = f"{shared_folder(df.sparkSession)}/tracewright/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors once for each SparkContext; tasks import their functions from it."""
     context = spark.sparkContext
