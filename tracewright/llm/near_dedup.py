@@ -9,7 +9,7 @@ Banding: with 32 bands of 4 coordinates a pair at similarity 0.75 shares no band
 
 Verification on full sets: documents with equal sets are one class (by a 128-bit digest). In a bucket, a class is first checked against the
 bucket's leader, then against another. Where that leaves a bucket in several components, everything outside the largest is compared
-with all of it in blocks. So close copies cost about one check each, pairs are never listed, and
+with all of the bucket, in blocks. So close copies cost about one check each, pairs are never listed, and
 any two documents that share a band are either compared or already connected. Links become components by contraction. Nothing is capped, sampled
 or collected.
 """
@@ -218,13 +218,14 @@ def _apart(buckets: DataFrame, roots: DataFrame) -> DataFrame:
 def across(apart: DataFrame, sets: DataFrame, percent: int = PERCENT, most: int = BLOCK_NODES, shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """Links (a, b) that tie together what is still apart, enough of them to connect all that is linked.
 
-    Members of buckets that overlap form a cluster. In a cluster everything outside its largest component is compared with all of
-    it, block against block: a task holds two blocks (of about `most` nodes or so many shingles) and gives back, for each of
-    the one's nodes, a link to every component that it meets. Pairs are never rows.
+    In a bucket everything outside its largest component is compared with all of it, block against block: a task holds two
+    blocks (of about `most` nodes or so many shingles) and gives back, for each of the one's nodes, a link to every component
+    that it meets. Pairs are never rows. Of buckets with the same members one is enough.
     """
-    member = apart.select("node", "n", "root").distinct()
-    clusters = components(apart.select(F.col("node").alias("a"), F.col("one.node").alias("b")))
-    member = stored(member.join(clusters.select("node", F.col("root").alias("cluster")), "node"), "clusters")
+    member = apart.select(F.col("band").alias("cluster"), "node", "n", "root")
+    marks = [F.count("*").alias("m"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")]
+    chosen = member.groupBy("cluster").agg(*marks).groupBy("m", "x", "y").agg(F.min("cluster").alias("cluster")).select("cluster")
+    member = stored(member.join(chosen, "cluster", "left_semi"), "clusters")
     sizes = member.groupBy("cluster", "root").agg(F.count("*").alias("m"), F.sum("n").alias("all"))
     facts = sizes.groupBy("cluster").agg(F.max(F.struct("m", "root")).alias("largest"), F.sum("m").alias("m"), F.sum("all").alias("all"))
     blocks = lambda m, n: F.greatest(F.ceil(m / most), F.ceil(n / shingles), F.lit(1)).cast("int")
