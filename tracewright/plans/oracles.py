@@ -50,6 +50,11 @@ def duration(a: str, b: str) -> str:
     return f"CASE WHEN {a} IS NULL OR {b} IS NULL OR {b}::TIMESTAMP < {a}::TIMESTAMP THEN 'unknown' WHEN {s} < 60 THEN {s} || 's' WHEN {s} < 3600 THEN {s} // 60 || 'm ' || {s} % 60 || 's' ELSE {s} // 3600 || 'h ' || ({s} // 60) % 60 || 'm' END"
 
 
+def label(column: str) -> str:
+    words = f"replace({column}, '_', ' ')"
+    return case_of(column, V.LABELS, f"upper({words}[1]) || {words}[2:]")
+
+
 W = "PARTITION BY trace_id ORDER BY msg_index"
 FLAGS = f"""WITH {narrated_sql()},
 flags AS (
@@ -134,6 +139,15 @@ MESSY = r"chr(10) || ' ' || chr(9) || chr(10) || text || '  ' || chr(13) || chr(
 CONVERSATION = "SELECT conv_id AS trace_id, turn, role AS raw_role, CASE WHEN lower(role) IN ('user', 'human', 'user_message') THEN 'user' ELSE 'assistant' END AS role, text FROM conversations"
 
 ORACLES = {
+    "outcome_audit": f"""{EPISODES} SELECT trace_id, episode_id, {label("outcome_claim")} AS claim, {case_of("outcome_claim", {c: v[0] for c, v in V.CLAIM_NOTES.items()}, "'unknown'")} AS tone,
+  {case_of("outcome_claim", {c: v[1] for c, v in V.CLAIM_NOTES.items()}, "'—'")} AS note, nullif(string_split(evidence_quotes, ' | ')[-1], '') AS quote FROM episodes""",
+    "ranked_clusters": f"""{EPISODES}, c AS (SELECT trace_id, difficulty_type, count(*) AS n, min(episode_no) AS first, string_agg(episode_id, ', ' ORDER BY episode_no) AS episode_ids FROM episodes GROUP BY 1, 2)
+SELECT trace_id, row_number() OVER (PARTITION BY trace_id ORDER BY n DESC, first) AS place, {label("difficulty_type")} AS label, n, episode_ids FROM c""",
+    "trail_layout": f"""{EPISODES}, t AS (SELECT trace_id, episode_id, {TONE} AS tone, row_number() OVER (PARTITION BY trace_id ORDER BY episode_no) - 1 AS i, count(*) OVER (PARTITION BY trace_id) AS n FROM episodes)
+SELECT trace_id, episode_id, tone, round({V.FRAME["left"]} + CASE WHEN n = 1 THEN {V.FRAME["width"] / 2}::DOUBLE ELSE i::DOUBLE / greatest(n - 1, 1) * {V.FRAME["width"]} END, 4) AS x,
+  round({V.FRAME["base"]} - least(0.97::DOUBLE, greatest(0.06::DOUBLE, {case_of("tone", V.ELEVATION, "0.3")}::DOUBLE + (i % 2 * 2 - 1) * 0.015::DOUBLE)) * {V.FRAME["height"]}, 4) AS y FROM t""",
+    "seconds_labels": """SELECT event_id, CASE WHEN value IS NULL OR isnan(value) THEN '—' WHEN floor(value / 60) > 0 THEN floor(value / 60)::BIGINT || 'm ' || floor(value % 60 + 0.5)::BIGINT || 's'
+  ELSE floor(value % 60 + 0.5)::BIGINT || 's' END AS label FROM events""",
     "message_roles": f"WITH c AS ({CONVERSATION}) SELECT trace_id, turn, raw_role, role, row_number() OVER (PARTITION BY trace_id ORDER BY turn) - 1 AS msg_index FROM c",
     "normalized_text": f"""WITH t AS (SELECT conv_id AS trace_id, turn, replace(replace({MESSY}, chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS t FROM conversations)
 SELECT trace_id, turn, trim(array_to_string(list_transform(string_split(t, chr(10)), lambda l: rtrim(l, {BLANK})), chr(10)), chr(10)) AS text FROM t""",

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tracewright.functions import text as X
 from tracewright.functions.times import duration_label
 from tracewright.operators import episodes as E
-from tracewright.operators import model, redaction
+from tracewright.operators import display, model, redaction
 from tracewright.operators import summary as S
 from tracewright.operators.messages import narrative, role_of, sampled, settle
 from tracewright.plans import analysis
@@ -193,11 +193,28 @@ def codebook_lookup(spark: SparkSession, sf: str) -> DataFrame:
     return S.codebook(spark).join(found, ["axis", "code"], "left").select("axis", "code", "ordinal", "meaning", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
+def outcome_audit(spark: SparkSession, sf: str) -> DataFrame:
+    return display.outcome_audit(E.episodes(narrated(spark, sf)))
+
+
+def ranked_clusters(spark: SparkSession, sf: str) -> DataFrame:
+    return display.ranked_clusters(E.episodes(narrated(spark, sf)))
+
+
+def trail_layout(spark: SparkSession, sf: str) -> DataFrame:
+    return display.trail(E.episodes(narrated(spark, sf)))
+
+
+def seconds_labels(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/events.parquet").select("event_id", display.seconds_label(F.col("value")).alias("label"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         message_roles, normalized_text, regex_redaction, redaction_totals, pii_span_merge, pii_mask, signal_scores, candidate_spans, merged_spans, span_messages, sentences, key_sentences, episode_codes,
         episodes, pattern_summary, code_counts, session_verdict, difficulty_clusters, detour_groups, durations, capture_window, numbered_narrative, redacted_narrative, field_report, view_model,
-        parse_roundtrip, plain_text_blocks, agent_sniff, model_apply, progress_plan, codebook_lookup,
+        parse_roundtrip, plain_text_blocks, agent_sniff, model_apply, progress_plan, codebook_lookup, outcome_audit,
+        ranked_clusters, trail_layout, seconds_labels,
     )
 }
