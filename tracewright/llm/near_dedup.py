@@ -69,7 +69,8 @@ def shingle_sets(texts: list[bytes], words: int = WORDS) -> list[np.ndarray]:
     flat = np.fromiter((held[w] for ws in split for w in ws), np.uint64, int(n.sum()))
     runs = flat * np.uint64(1)
     for k in range(1, words):
-        runs[: len(flat) - k] = mixed(runs[: len(flat) - k] + STEP) + flat[k:]
+        stop = max(0, len(flat) - k)  # a slice may hold fewer words than a shingle
+        runs[:stop] = mixed(runs[:stop] + STEP) + flat[k:]
     runs = mixed(runs)
     out, at = [], 0
     for k in n.tolist():
