@@ -56,7 +56,7 @@ RULES = (
     ("gpl3-notice", "GPL-3.0-only", True, ("gpl3-notice",)),
     ("bsd3-text", "BSD-3-Clause", True, ("bsd-redistribution", "bsd-source", "bsd-binary", "bsd-endorse")),
     ("bsd2-text", "BSD-2-Clause", True, ("bsd-redistribution", "bsd-source", "bsd-binary")),
-    ("mpl-notice", "MPL-2.0", True, ("mpl-notice",)),
+    ("mpl-notice", "MPL-2.0", True, ("mpl-notice", "mpl-notice.2")),
     ("cc-by-nc-notice", "CC-BY-NC-4.0", False, ("cc-by-nc-notice",)),
     ("cc-by-notice", "CC-BY-4.0", True, ("cc-by-notice",)),
     ("cc-by-sa-notice", "CC-BY-SA-4.0", True, ("cc-by-sa-notice",)),
@@ -78,8 +78,8 @@ def plain_column(sentence: Column) -> Column:
 
 
 def known(sentences: dict[str, str] = SENTENCES) -> dict[str, list[str]]:
-    """The identifiers of every part of a known sentence that ends as a sentence does: a licence sentence with a semicolon or an inner 'v. 2.0' has several parts, and the last one names it."""
-    return {plain([x for x in re.split(SENTENCE_END, s) if plain(x)][-1]): i for i, s in sentences.items()}
+    """Identifiers by sentence. One that splits, as at an inner 'v. 2.0', gives an identifier for each part: its own, then with .2, .3 and so on, which a rule asks for in order."""
+    return {part: i if k == 0 else f"{i}.{k + 1}" for i, s in sentences.items() for k, part in enumerate(x for x in map(plain, re.split(SENTENCE_END, s)) if x)}
 
 
 def licences(docs: DataFrame, sentences: dict[str, str] = SENTENCES, rules=RULES) -> DataFrame:
