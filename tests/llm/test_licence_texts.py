@@ -12,3 +12,51 @@ def test_a_number_alone_is_no_licence(spark):
     notice = licenses.SENTENCES["mpl-notice"]
     found = scan(spark, ["2.0", "# 2.0\ntext", "Under the GPL v. 2.0. More.", f"{notice}.", notice.replace("v. 2.0", "v. 1.1")])
     assert [r["licence"] for r in found] == [None, None, None, "MPL-2.0", None]
+
+
+MIT = """MIT License
+
+Copyright (c) 2020 A. Person
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS BE LIABLE.
+"""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+ * Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+ * Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+ * Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+APACHE = """Copyright 2020 A. Person
+
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+is distributed on an "AS IS" BASIS.
+"""
+
+
+def test_wrapped_texts(spark):
+    commented = "".join(f"# {x}\r\n" for x in APACHE.split("\n"))
+    texts = [MIT, BSD, APACHE, commented, "Code\nReleased under the\nMIT License\nmore", "Not released under the\nMIT License\n"]
+    assert [r["rules"] for r in scan(spark, texts)] == [["mit-text"], ["bsd3-text"], ["apache-header-2"], ["apache-header-2"], ["mit-notice"], []]

@@ -39,9 +39,17 @@ SENTENCES = {
     "cc-by-notice": "Licensed under CC BY 4.0",
     "cc-by-sa-notice": "Licensed under CC BY-SA 4.0",
     "cc0-notice": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work",
+    "apache-obtain-at": "You may obtain a copy of the License at",
+    "apache-url": "http://www.apache.org/licenses/LICENSE-2.0",
     "unlicense": "This is free and unencumbered software released into the public domain",
 }
 
+#: The sentences of which the table above has only the beginning, in full; they have the same identifiers.
+IN_FULL = {
+    "mit-grant": f"{SENTENCES['mit-grant']}, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions",
+    "as-is": f"{SENTENCES['as-is']}, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT",
+}
+
 #: Ordered rules: name, licence, whether it may be used commercially, identifiers in order. Longer rules of a licence stand before shorter ones.
 RULES = (
     ("mit-text", "MIT", True, ("mit-grant", "mit-condition", "as-is")),
@@ -49,6 +57,7 @@ RULES = (
     ("mit-notice", "MIT", True, ("mit-notice",)),
     ("mit-notice-2", "MIT", True, ("mit-notice-2",)),
     ("apache-header", "Apache-2.0", True, ("apache-notice-2", "apache-use", "apache-obtain")),
+    ("apache-header-2", "Apache-2.0", True, ("apache-notice-2", "apache-use", "apache-obtain-at", "apache-url")),
     ("apache-notice", "Apache-2.0", True, ("apache-notice",)),
     ("apache-notice-2", "Apache-2.0", True, ("apache-notice-2",)),
     ("gpl3-header", "GPL-3.0-or-later", True, ("gpl-free", "gpl-hope")),
@@ -64,7 +73,7 @@ RULES = (
     ("unlicense", "Unlicense", True, ("unlicense",)),
 )
 
-#: A sentence ends at a line end, or at . ! ? ; and white space; a full stop inside a number ends none.
+#: A sentence ends at a line end (a known one may run over several lines), or at . ! ? ; and white space; a full stop inside a number ends none.
 SENTENCE_END = r"\n|[.!?;]+(?=[\x20\x09-\x0D]|$)"
 SHORTEST = min(map(len, SENTENCES.values())) // 2
 
@@ -79,7 +88,8 @@ def plain_column(sentence: Column) -> Column:
 
 def known(sentences: dict[str, str] = SENTENCES) -> dict[str, list[str]]:
     """Identifiers by sentence. One that splits, as at an inner 'v. 2.0', gives an identifier for each part: its own, then with .2, .3 and so on, which a rule asks for in order."""
-    return {part: i if k == 0 else f"{i}.{k + 1}" for i, s in sentences.items() for k, part in enumerate(x for x in map(plain, re.split(SENTENCE_END, s)) if x)}
+    pairs = [*sentences.items(), *((i, s) for i, s in IN_FULL.items() if i in sentences)]
+    return {part: i if k == 0 else f"{i}.{k + 1}" for i, s in pairs for k, part in enumerate(x for x in map(plain, re.split(SENTENCE_END, s)) if x)}
 
 
 def licences(docs: DataFrame, sentences: dict[str, str] = SENTENCES, rules=RULES) -> DataFrame:
@@ -91,12 +101,16 @@ def licences(docs: DataFrame, sentences: dict[str, str] = SENTENCES, rules=RULES
     """
     table = known(sentences)
     wanted = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
-    lengths = [len(s) for s in table]
-    cut = docs.select("doc_id", F.filter(F.split(text_of(docs), SENTENCE_END), lambda s: s.rlike("[A-Za-z0-9]")).alias(f"{P}sentences"))
-    # only sentences of a fitting length are normalised
-    fitting = F.filter(f"{P}sentences", lambda s: (F.length(s) >= min(lengths)) & (F.length(s) <= 4 * max(lengths)))
-    found = cut.select("doc_id", F.size(f"{P}sentences").cast("long").alias("n_sentences"), F.transform(fitting, plain_column).alias(f"{P}plain"))
-    ids = found.withColumn("sentence_ids", F.filter(F.transform(f"{P}plain", lambda s: F.try_element_at(wanted, s)), lambda i: i.isNotNull()))
+    n_sentences = F.size(F.filter(F.split(text_of(docs), SENTENCE_END), lambda s: s.rlike("[A-Za-z0-9]"))).cast("long")
+    # the text as words parted by spaces, by single line ends, or by X where a sentence or a paragraph ends: each step is linear
+    ended = F.regexp_replace(F.lower(text_of(docs)), SENTENCE_END.removeprefix(r"\n|"), "\n\n")
+    lines = F.regexp_replace(F.regexp_replace(ended, "[^a-z0-9\n]+", " "), " ?\n ?", "\n")
+    marked = F.concat(F.lit("X"), F.trim(F.regexp_replace(lines, "\n\n+", "X")), F.lit("X"))
+    # whole lines or sentences, the longest first: a known sentence may be wrapped, but begins and ends where a line does
+    any_of = "|".join(s.replace(" ", "[ \n]") for s in sorted(table, key=len, reverse=True))
+    hits = F.regexp_extract_all(marked, F.lit(f"[X\n]({any_of})(?=[X\n])"), F.lit(1))
+    found = docs.select("doc_id", n_sentences.alias("n_sentences"), hits.alias(f"{P}hits"))
+    ids = found.withColumn("sentence_ids", F.transform(f"{P}hits", lambda s: F.element_at(wanted, F.translate(s, "\n", " "))))
     # the sequence as text, ",a,b,": a rule is its identifiers in order with anything between
     marked = ids.withColumn(f"{P}marked", F.concat(F.lit(","), F.array_join("sentence_ids", ","), F.lit(",")))
     pattern = lambda seq: ",(?:.*,)?".join(map(re.escape, seq))
