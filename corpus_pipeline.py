@@ -22,8 +22,8 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def remove_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without passages of lines that stand elsewhere before. A null text becomes an empty one."""
-    return line_dedup.line_dedup(docs).select(*docs.columns)
+    """All documents, without passages of lines, and then of over 50 words, that stand elsewhere before. A null text becomes an empty one."""
+    return line_dedup.passage_dedup(stored(line_dedup.line_dedup(docs).select(*docs.columns), "lines"))
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

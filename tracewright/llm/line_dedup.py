@@ -103,3 +103,55 @@ def line_dedup(docs: DataFrame, **cut: int) -> DataFrame:
     )
     left = F.when(F.size(f"{P}kept") == 0, 0).otherwise(F.size(F.split("text", "\n", -1)))
     return kept.withColumn("removed_lines", (F.col("n_lines") - left).cast("long")).drop(DOC, SUM, f"{P}sum2", GONE, CHUNKS, f"{P}lines", f"{P}kept")
+
+
+#: A passage has this many words at least. Of any such run, one of the RUN-word runs in it is an anchor.
+PASSAGE, RUN = 51, 20
+ANCHORS = PASSAGE - RUN + 1
+
+
+def _windows(docs: DataFrame) -> DataFrame:
+    """(DOC, SUM, POS, DIGEST): runs of PASSAGE words, by the position of their first word from 1, that hold an anchor which repeats; no others can repeat.
+
+    Of ANCHORS neighbouring runs of RUN words the one of smallest hash is an anchor: equal passages have equal ones.
+    """
+    words = lambda df: df.withColumn(f"{P}words", F.regexp_extract_all("text", F.lit(WORD), F.lit(0)))
+    keyed = docs.select(F.col("doc_id").alias(DOC), text_of(docs).alias("text")).withColumn(SUM, F.md5("text"))
+    hashed = words(keyed).where(F.size(f"{P}words") >= PASSAGE).withColumn(f"{P}hash", F.transform(f"{P}words", lambda w: F.xxhash64(w)))
+    runs = hashed.withColumn(f"{P}runs", F.transform(F.sequence(F.lit(1), F.size(f"{P}hash") - RUN + 1), lambda i: F.xxhash64(F.slice(f"{P}hash", i, RUN))))
+    near = lambda i: F.slice(f"{P}runs", i, ANCHORS)
+    least = F.transform(F.sequence(F.lit(1), F.size(f"{P}runs") - ANCHORS + 1), lambda i: (i - 1 + F.array_position(near(i), F.array_min(near(i)))).cast("int"))
+    spots = runs.select(DOC, SUM, f"{P}runs", F.array_distinct(least).alias(f"{P}spots"))
+    each = spots.select(DOC, SUM, F.explode(F.transform(f"{P}spots", lambda p: F.struct(p.alias("p"), F.element_at(f"{P}runs", p).alias("run")))).alias("a"))
+    anchors = stored(each.select(DOC, SUM, "a.p", "a.run").distinct(), "anchors")
+    repeated = anchors.groupBy("run").agg(F.count("*").alias("n")).where("n > 1").select("run")
+    hits = anchors.join(repeated, "run", "left_semi").groupBy(DOC, SUM).agg(F.collect_list("p").alias(f"{P}spots"))
+    same = hits.withColumnsRenamed({DOC: f"{P}doc2", SUM: f"{P}sum2"})
+    held = words(keyed.distinct().join(same, F.col(DOC).eqNullSafe(F.col(f"{P}doc2")) & (F.col(SUM) == F.col(f"{P}sum2"))))
+    last = F.size(f"{P}words") - PASSAGE + 1
+    starts = F.array_distinct(F.flatten(F.transform(f"{P}spots", lambda p: F.sequence(F.greatest(F.lit(1), p - ANCHORS + 1), F.least(p, last)))))
+    digest = lambda s: F.unhex(F.md5(F.array_join(F.slice(f"{P}words", s, PASSAGE), " ")))
+    found = held.withColumn(f"{P}starts", starts).where(F.size(f"{P}words") > 0).select(DOC, SUM, F.explode(F.transform(f"{P}starts", lambda s: F.struct(s.alias("s"), digest(s).alias("digest")))).alias("w"))
+    return found.select(DOC, SUM, F.col("w.s").alias(POS), F.col("w.digest").alias(DIGEST))
+
+
+def passage_dedup(docs: DataFrame) -> DataFrame:
+    """docs without runs of over 50 words that stand earlier (by doc_id, null last, then position), wherever lines end; text and n_chars change.
+
+    Words are compared, not the white space between them, by a 128-bit digest of each run of 51. A run that overlaps its own
+    first place loses only what is beyond that. Nothing is sampled or capped. Rows that repeat doc_id and text are alike.
+    """
+    windows = stored(_windows(docs), "windows")
+    place = F.struct(F.col(DOC).isNull().alias("unknown"), F.col(DOC).alias("doc"), F.col(SUM).alias("sum"), F.col(POS).alias("pos"))
+    first = windows.groupBy(DIGEST).agg(F.min(place).alias(FIRST), F.count("*").alias("n")).where("n > 1").drop("n")
+    own = F.col(DOC).eqNullSafe(F.col(f"{FIRST}.doc")) & (F.col(SUM) == F.col(f"{FIRST}.sum"))
+    start = F.when(own, F.greatest(F.col(POS), F.col(f"{FIRST}.pos") + PASSAGE)).otherwise(F.col(POS))
+    later = windows.join(first, DIGEST).where(place != F.col(FIRST)).select(DOC, SUM, F.sequence(start, F.col(POS) + PASSAGE - 1).alias("s"))
+    gone = later.groupBy(DOC, SUM).agg(F.array_distinct(F.flatten(F.collect_list("s"))).alias(GONE)).withColumnsRenamed({SUM: f"{P}sum2"})
+    keyed = docs.withColumn(SUM, F.md5(text_of(docs)))
+    joined = keyed.join(gone, F.col("doc_id").eqNullSafe(F.col(DOC)) & (F.col(SUM) == F.col(f"{P}sum2")), "left")
+    blank = r"[\x20\x09-\x0D]*"
+    pieces = joined.withColumn(f"{P}pieces", F.when(F.col(GONE).isNotNull(), F.regexp_extract_all(text_of(joined), F.lit(f"(?:^{blank})?{WORD}{blank}"), F.lit(0))))
+    kept = F.array_except(F.sequence(F.lit(1), F.size(f"{P}pieces")), F.col(GONE))
+    text = F.when(F.col(GONE).isNotNull(), F.array_join(F.transform(kept, lambda i: F.element_at(f"{P}pieces", i)), "")).otherwise(text_of(joined))
+    return with_text(pieces, text).select(*docs.columns)
