@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewright.llm import exact_dedup, licenses, line_dedup, media, mixing, near_dedup, packing, sharding, token_counts, toxicity
-from tracewright.llm.common import documents
+from tracewright.llm.common import documents, stored
 
 
 def tokenizer() -> str:
@@ -54,6 +54,12 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", "n_lines", "removed_chunks", "removed_lines", F.sha2("text", 256).alias("text_sha256"))
 
 
+def op9_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As the pipeline's stage: line dedup, then passages wherever lines end."""
+    lines = stored(line_dedup.line_dedup(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "text"), "lines")
+    return line_dedup.passage_dedup(lines).select("doc_id", F.sha2("text", 256).alias("text_sha256"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(documents(spark, sf_dir).select("doc_id", "source"))
 
@@ -166,6 +172,7 @@ QUERIES = {
     "op8_license_scan": op8_license_scan,
     "op9_line_dedup": op9_line_dedup,
     "op10_sharding": op10_sharding,
+    "op9_passage_dedup": op9_passage_dedup,
 }
 
 ORACLES = {
