@@ -11,20 +11,23 @@ from tracewright.llm.common import stored
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of `edges` (a, b): connected nodes share a root, itself one of them.
 
-    Each round every node moves to its smallest neighbour, and edges become edges between where their ends moved; ends that
-    met drop out, so the graph shrinks until no edge is left. Rounds are written to the shared folder; nothing is collected.
+    Each round every node moves to the first of its neighbours and itself in an order that is drawn anew for the round, and edges become edges between
+    where their ends moved; ends that met drop out, so the graph shrinks by a share, however nodes are named, until no edge is left. Edges
+    and moves of a round are written to the shared folder; nothing is collected, and no join is broadcast.
     """
     left = stored(edges.where("a <> b").select("a", "b").distinct(), "edges")
-    nodes = None
-    while nodes is None or not left.isEmpty():
+    nodes, number = left.select(F.col("a").alias("node"), F.col("a").alias("root")).limit(0), 0
+    while not left.isEmpty():
+        place = lambda x, number=number: F.struct(F.xxhash64(F.lit(number), x).alias("h"), F.col(x).alias("x"))
         both = left.union(left.select("b", "a"))
-        moves = stored(both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("from"), F.least("a", "low").alias("to")), "moves")
-        if nodes is None:
+        moves = both.groupBy("a").agg(F.min(place("b")).alias("low")).select(F.col("a").alias("from"), F.least(place("a"), "low")["x"].alias("to"))
+        moves = stored(moves, "moves")
+        if number == 0:
             nodes = moves.select(F.col("from").alias("node"), F.col("to").alias("root"))
         else:
-            nodes = nodes.join(moves, F.col("root") == F.col("from"), "left").select("node", F.coalesce("to", "root").alias("root"))
-        nodes = stored(nodes, "components")
-        first = left.join(moves, F.col("a") == F.col("from")).select(F.col("to").alias("a"), "b")
-        both_ends = first.join(moves, F.col("b") == F.col("from")).select("a", F.col("to").alias("b"))
+            nodes = nodes.join(moves.hint("merge"), F.col("root") == F.col("from"), "left").select("node", F.coalesce("to", "root").alias("root"))
+        first = left.join(moves.hint("merge"), F.col("a") == F.col("from")).select(F.col("to").alias("a"), "b")
+        both_ends = first.join(moves.hint("merge"), F.col("b") == F.col("from")).select("a", F.col("to").alias("b"))
         left = stored(both_ends.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
-    return nodes
+        number += 1
+    return stored(nodes, "components")

@@ -7,11 +7,11 @@ with a chance of their Jaccard similarity.
 
 Banding: with 32 bands of 4 coordinates a pair at similarity 0.75 shares no band with a chance of (1 - 0.75^4)^32, 5 in a million, and a closer pair with less.
 
-Verification on full sets: documents with equal sets are one class (by a 128-bit digest). In a bucket, a class is first checked against the
-bucket's leader, then against another. Where that leaves a bucket in several components, everything outside the largest is compared
-with all of it in blocks. So close copies cost about one check each, pairs are never listed, and
+Verification on full sets: documents with equal sets are one class (by a 128-bit digest). In a bucket, a class is first checked against
+two leaders of the bucket. Where that leaves a bucket in several components, everything outside its largest is compared
+with all of the bucket in blocks. So close copies cost about two checks each, pairs are never listed, and
 any two documents that share a band are either compared or already connected. Links become components by contraction. Nothing is capped, sampled
-or collected.
+or collected. Joins are asked to merge: what they meet grows with the corpus, and the driver keeps no relations of the many rounds.
 """
 
 from __future__ import annotations
@@ -164,7 +164,7 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFra
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(said)], ["a", "b", "linked"])
 
     side = lambda node, name: sets.select(F.col("node").alias(node), F.col("shingles").alias(name))
-    return pairs.join(side("a", "left"), "a").join(side("b", "right"), "b").select("a", "b", "left", "right").mapInArrow(verify, "a binary, b binary, linked boolean")
+    return pairs.join(side("a", "left").hint("merge"), "a").join(side("b", "right").hint("merge"), "b").select("a", "b", "left", "right").mapInArrow(verify, "a binary, b binary, linked boolean")
 
 
 def near_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -176,61 +176,60 @@ def near_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     stays. Only doc_id and text are read. Very long texts are sketched whole. An empty table gives an empty result.
     """
     rows = stored(sketched(docs), "sketches")
-    classes = rows.where("n_shingles > 0").select("node", F.col("n_shingles").alias("n"), "bands").distinct()
-    members = stored(classes.select("node", "n", F.explode("bands").alias("band")), "bands")
+    some = rows.where("node IS NOT NULL")  # rows without words meet no join: their null nodes would be one key
+    # documents of one set are merged before they are dealt out, so many copies are one small row for each task
+    classes = stored(some.groupBy("node").agg(F.min("doc_id").alias("smallest")), "classes")
+    sets_bands = some.select("node", F.col("n_shingles").alias("n"), "bands").distinct()
+    members = stored(sets_bands.select("node", "n", F.explode("bands").alias("band")), "bands")
     order = F.xxhash64("node")
     first = members.groupBy("band").agg(F.count("*").alias("size"), F.min(F.struct("node", "n")).alias("one"), F.min(F.struct(order, "node", "n")).alias("other")).where("size > 1").drop("size")
-    buckets = stored(members.join(first, "band"), "buckets")
+    buckets = stored(members.join(first.hint("merge"), "band"), "buckets")
 
     wanted = buckets.select("node").distinct()
-    holders = rows.join(wanted, "node").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id")).alias("holder")).select(F.col("holder.doc_id").alias(f"{P}doc"))
-    held = docs.join(holders.distinct(), docs["doc_id"].eqNullSafe(F.col(f"{P}doc")), "left_semi").select("doc_id", "text")
-    sets = stored(shingled(held).join(wanted, "node", "left_semi").dropDuplicates(["node"]), "sets")  # a doc_id may have several texts
+    holders = classes.join(wanted.hint("merge"), "node").select(F.col("smallest").alias(f"{P}doc")).distinct()
+    held = docs.join(holders, docs["doc_id"].eqNullSafe(F.col(f"{P}doc")), "left_semi").select("doc_id", "text")
+    sets = stored(shingled(held).join(wanted.hint("merge"), "node", "left_semi").dropDuplicates(["node"]), "sets")  # a doc_id may have several texts
 
     fits = lambda n, m: 100 * F.least(n, m) >= percent * F.greatest(n, m)
-    pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    to = lambda leader: buckets.where((F.col("node") != F.col(f"{leader}.node")) & fits(F.col("n"), F.col(f"{leader}.n"))).select(*pair("node", f"{leader}.node")).distinct()
-
-    checked = stored(linked(to("one"), sets, percent), "checked")
-    roots = components(checked.where("linked"))
-    apart = _apart(buckets, roots)
-    second = to_other(apart, fits, pair).join(checked.select("a", "b"), ["a", "b"], "left_anti")
-    checked = stored(checked.unionByName(linked(second, sets, percent)), "checked")
-    roots = components(checked.where("linked"))
-
-    found = across(_apart(buckets, roots), sets, percent)
-    roots = components(stored(checked.where("linked").select("a", "b").union(found), "links"))
-
-    set_root = rows.select("doc_id", "n_shingles", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    smallest = set_root.groupBy("root").agg(F.min("doc_id").alias("smallest"))
-    full = set_root.where("n_shingles > 0").join(smallest, "root").withColumn("component_id", F.col("smallest"))
-    none = set_root.where("n_shingles = 0").withColumn("component_id", F.col("doc_id"))
+    to = lambda leader: buckets.where((F.col("node") != F.col(f"{leader}.node")) & fits(F.col("n"), F.col(f"{leader}.n"))).select(F.least("node", f"{leader}.node").alias("a"), F.greatest("node", f"{leader}.node").alias("b"))
+    links = stored(linked(to("one").union(to("other")).distinct(), sets, percent).where("linked").select("a", "b"), "links")
+    found = stored(across(_apart(buckets, components(links)), sets, percent).distinct(), "links")
+    roots = components(links.union(found))
+
+    # only what is linked is looked at again: the smallest doc_id of each component, then of each node
+    tied = stored(classes.join(roots.hint("merge"), "node"), "tied")
+    tops = tied.groupBy("root").agg(F.min("smallest").alias("top"))
+    tops = tied.select("node", "root").join(tops.hint("merge"), "root").select("node", "top", F.lit(True).alias("tied"))
+    reached = classes.join(tops.hint("merge"), "node", "left").select("node", F.when(F.col("tied"), F.col("top")).otherwise(F.col("smallest")).alias("component_id"))
     columns = ["doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), F.hex("node").alias("set_id")]
+    full = some.select("doc_id", "n_shingles", "node").join(reached.hint("merge"), "node")
+    none = rows.where("node IS NULL").withColumn("component_id", F.col("doc_id"))
     return full.select(*columns).unionByName(none.select(*columns))
 
 
 def _apart(buckets: DataFrame, roots: DataFrame) -> DataFrame:
-    """The members, with their roots, of buckets that hold more than one component."""
-    rooted = buckets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    """(band, node, n, root): the members of buckets that hold more than one component."""
+    rooted = buckets.select("band", "node", "n").join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     several = rooted.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-    return stored(rooted.join(several.select("band"), "band", "left_semi"), "apart")
+    return stored(rooted.join(several.select("band").hint("merge"), "band", "left_semi"), "apart")
 
 
 def across(apart: DataFrame, sets: DataFrame, percent: int = PERCENT, most: int = BLOCK_NODES, shingles: int = BLOCK_SHINGLES) -> DataFrame:
-    """Links (a, b) that tie together what is still apart, enough of them to connect all that is linked.
+    """Links (a, b) that tie together what is still apart, enough of them to connect all that is linked and shares a bucket.
 
-    Members of buckets that overlap form a cluster. In a cluster everything outside its largest component is compared with all of
-    it, block against block: a task holds two blocks (of about `most` nodes or so many shingles) and gives back, for each of
-    the one's nodes, a link to every component that it meets. Pairs are never rows.
+    In a bucket everything outside its largest component is compared with all of it, block against block: a task holds two
+    blocks (of about `most` nodes or so many shingles) and gives back, for each of the one's nodes, a link to every component
+    that it meets. Pairs are never rows. Of buckets with the same members one is enough.
     """
-    member = apart.select("node", "n", "root").distinct()
-    clusters = components(apart.select(F.col("node").alias("a"), F.col("one.node").alias("b")))
-    member = stored(member.join(clusters.select("node", F.col("root").alias("cluster")), "node"), "clusters")
+    member = apart.select(F.col("band").alias("cluster"), "node", "n", "root")
+    marks = [F.count("*").alias("m"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")]
+    chosen = member.groupBy("cluster").agg(*marks).groupBy("m", "x", "y").agg(F.min("cluster").alias("cluster")).select("cluster")
+    member = stored(member.join(chosen.hint("merge"), "cluster", "left_semi"), "clusters")
     sizes = member.groupBy("cluster", "root").agg(F.count("*").alias("m"), F.sum("n").alias("all"))
     facts = sizes.groupBy("cluster").agg(F.max(F.struct("m", "root")).alias("largest"), F.sum("m").alias("m"), F.sum("all").alias("all"))
     blocks = lambda m, n: F.greatest(F.ceil(m / most), F.ceil(n / shingles), F.lit(1)).cast("int")
     facts = facts.select("cluster", F.col("largest.root").alias("main"), blocks(F.col("m"), F.col("all")).alias("n_blocks"))
-    placed = member.join(facts, "cluster").join(sets, "node").withColumns({"block": F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int"), "outside": F.col("root") != F.col("main")})
+    placed = member.join(facts.hint("merge"), "cluster").join(sets.hint("merge"), "node").withColumns({"block": F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int"), "outside": F.col("root") != F.col("main")})
     every = F.sequence(F.lit(0), F.col("n_blocks") - 1)
     columns = ["node", "root", "shingles"]
     left = placed.where("outside").select("cluster", F.col("block").alias("i"), F.explode(every).alias("j"), F.lit(True).alias("asks"), *columns)
@@ -263,9 +262,3 @@ def across(apart: DataFrame, sets: DataFrame, percent: int = PERCENT, most: int
 
     both = left.union(right).repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
     return both.mapInArrow(compare, "a binary, b binary")
-
-
-def to_other(apart: DataFrame, fits, pair) -> DataFrame:
-    """Pairs of members with the bucket's second leader, where that is in another component."""
-    lead = apart.where(F.col("node") == F.col("other.node")).select("band", F.col("root").alias("lead_root"))
-    return apart.join(lead, "band").where((F.col("root") != F.col("lead_root")) & fits(F.col("n"), F.col("other.n"))).select(*pair("node", "other.node")).distinct()
