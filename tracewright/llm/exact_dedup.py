@@ -1,10 +1,10 @@
 """Operator 5, exact dedup: a log-structured merge index of text digests.
 
-Memtable: each task of a flush holds the digests of its own rows, merges equal ones and sorts them. Flush: it writes
-them as one sorted run, a Parquet file with a Bloom filter on the digest. Compaction: runs are merged into one level,
-and of equal digests the smallest identifier stays. Hits, that is rows whose digest more than one row has, are compared
-byte by byte: their groups are formed by the normalised text itself, so a collision of digests splits them.
-Shuffles carry digests for all rows, texts for hits only; equal keys are merged before each shuffle.
+Memtable: a task of a flush holds the digests of its range; equal ones are merged where they are read, and again in the memtable.
+Flush: memtables are written in the order of the digest, a sorted run on level 0, beside it a filter of its digests. Compaction: when a level has
+`FANOUT` runs they are merged into one of the next level; of equal digests the smallest identifier stays, and counts add up.
+Hits, that is rows whose digest more than one row has, are compared byte by byte with the row that stays: their texts alone are moved,
+told from all others by a filter that each task consults before the shuffle. Groups of copies are dealt out in parts of `PART` rows.
 """
 
 from __future__ import annotations
@@ -15,9 +15,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import BLANKS, P, shared_folder, text_of
+from tracewright.llm.common import BLANKS, P, shared_folder, stored, text_of
 
-DIGEST, FIRST, ROWS, NORMAL = f"{P}digest", f"{P}first", f"{P}rows", f"{P}normal"
+DIGEST, FIRST, ROWS, NORMAL, KEEP = (f"{P}{x}" for x in ("digest", "first", "rows", "normal", "keep"))
+#: Runs of a level that are merged into one of the next; batches that a corpus is flushed in; rows of a group that a task compares.
+FANOUT, BATCHES, PART = 4, 4, 10_000
+#: Bits of a filter for each digest, and at most: 8 MB of bitmaps, which is what a broadcast filter may have.
+BITS_A_DIGEST, MOST_BITS = 16, 1 << 26
 
 
 def normalised(text: Column) -> Column:
@@ -29,30 +33,64 @@ def sha256(text: Column) -> Column:
     return F.unhex(F.sha2(text, 256))
 
 
-class DigestIndex:
-    """Runs of (digest, smallest identifier, rows) under `path`: level 0 as flushed, level 1 after compaction."""
+def _bit(digest: Column, bits: int) -> Column:
+    """The place of a digest in a filter, from 1."""
+    return F.pmod(F.xxhash64(digest), F.lit(bits)) + 1
 
-    def __init__(self, spark: SparkSession, path: str) -> None:
-        self.spark, self.path = spark, path
 
-    def _write(self, runs: DataFrame, level: int) -> str:
-        target = f"{self.path}/level{level}/run-{uuid.uuid4().hex}"
-        runs.sortWithinPartitions(DIGEST).write.option(f"parquet.bloom.filter.enabled#{DIGEST}", "true").parquet(target)
-        return target
+def filter_of(digests: DataFrame, n: int) -> tuple[DataFrame, int]:
+    """A filter of n digests: bitmaps by bucket, at most MOST_BITS bits, and how many."""
+    bits = 1 << 15
+    while bits < min(MOST_BITS, BITS_A_DIGEST * n):
+        bits <<= 1
+    at = _bit(F.col(DIGEST), bits)
+    return digests.groupBy(F.bitmap_bucket_number(at).alias(f"{P}bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias(f"{P}bitmap")), bits
+
 
-    def flush(self, rows: DataFrame) -> str:
-        """Write a memtable for each task of `rows` (digest, identifier as a struct that sorts smallest first)."""
-        return self._write(rows.select(DIGEST, FIRST, F.lit(1).cast("long").alias(ROWS)), 0)
+def may_hold(rows: DataFrame, bitmaps: DataFrame, bits: int) -> DataFrame:
+    """The rows whose digest the filter may hold: all that it holds, and one in BITS_A_DIGEST or fewer of the others, more where MOST_BITS is too few."""
+    at = _bit(F.col(DIGEST), bits)
+    byte = F.conv(F.hex(F.substring(F.col(f"{P}bitmap"), F.floor(F.bitmap_bit_position(at) / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
+    found = rows.join(F.broadcast(bitmaps), F.bitmap_bucket_number(at) == F.col(f"{P}bucket"))  # MOST_BITS / 8 bytes at most
+    return found.where(F.call_function("bit_get", byte, (F.bitmap_bit_position(at) % 8).cast("int")) == 1).drop(f"{P}bucket", f"{P}bitmap")
 
-    def compact(self, runs: list[str], rows: DataFrame) -> DataFrame:
-        """Merge runs into one of level 1: the smallest identifier of each digest, and how many rows have it."""
-        schema = rows.select(DIGEST, FIRST).withColumn(ROWS, F.lit(1).cast("long")).schema
-        old = self.spark.read.schema(schema).parquet(*runs)
-        merged = old.groupBy(DIGEST).agg(F.min(FIRST).alias(FIRST), F.sum(ROWS).alias(ROWS))
-        return self.spark.read.schema(merged.schema).parquet(self._write(merged, 1))
 
+class DigestIndex:
+    """Runs of (digest, smallest identifier, rows) under `path`, by level; each is sorted and has a filter."""
 
-def exact_dedup(docs: DataFrame, digest: Callable[[Column], Column] = sha256) -> DataFrame:
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.spark, self.path, self.levels = spark, path, [[]]
+
+    def _write(self, merged: DataFrame, level: int) -> DataFrame:
+        run = f"{self.path}/level{level}/run-{uuid.uuid4().hex}"
+        merged.sortWithinPartitions(DIGEST).write.parquet(run)
+        return self.spark.read.schema(merged.schema).parquet(run)
+
+    def flush(self, rows: DataFrame) -> None:
+        """Merge rows (digest, identifier as a struct that sorts smallest first) in memtables and write them as a run of level 0; merge full levels."""
+        self.levels[0].append(self._write(rows.groupBy(DIGEST).agg(F.min(FIRST).alias(FIRST), F.count("*").alias(ROWS)), 0))
+        level = 0
+        while len(self.levels[level]) >= FANOUT:
+            self._compact(level)
+            level += 1
+
+    def _compact(self, level: int) -> None:
+        runs = self.levels[level][0]
+        for run in self.levels[level][1:]:
+            runs = runs.unionByName(run)
+        if level + 1 == len(self.levels):
+            self.levels.append([])
+        self.levels[level + 1].append(self._write(runs.groupBy(DIGEST).agg(F.min(FIRST).alias(FIRST), F.sum(ROWS).alias(ROWS)), level + 1))
+        self.levels[level] = []
+
+    def merged(self) -> DataFrame:
+        """All levels as one run: each digest once, with its smallest identifier and its rows."""
+        while sum(map(len, self.levels)) > 1:
+            self._compact(next(k for k, runs in enumerate(self.levels) if runs))
+        return next(runs[0] for runs in self.levels if runs)
+
+
+def exact_dedup(docs: DataFrame, digest: Callable[[Column], Column] = sha256, batches: int = BATCHES, part: int = PART) -> DataFrame:
     """One row for each row of docs: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal if they are identical without white space; null counts as empty, and empty texts equal each other.
@@ -61,25 +99,39 @@ def exact_dedup(docs: DataFrame, digest: Callable[[Column], Column] = sha256) ->
     other columns may have any name. An empty table gives an empty result.
     """
     spark = docs.sparkSession
-    index = DigestIndex(spark, f"{shared_folder(spark)}/tracewright/digests-{uuid.uuid4().hex}")
     text = text_of(docs)
     first = F.struct((-F.length(text)).alias("longest"), docs["doc_id"].isNull().alias("unknown"), docs["doc_id"].alias("doc_id"))
-    # one read of the texts; the hits, which need theirs again, read it a second time
-    rows = docs.select(first.alias(FIRST), normalised(text).alias(NORMAL)).withColumn(DIGEST, digest(F.col(NORMAL)))
-    keys = rows.select(DIGEST, FIRST)
-    level = index.compact([index.flush(keys)], keys)
+    # texts are read twice, here for their digests and below for those of hits; the mark tells texts of one doc_id apart
+    rows = docs.select(first.alias(FIRST), F.xxhash64(text).alias(f"{P}mark"), normalised(text).alias(NORMAL))
+    keys = stored(rows.select(FIRST, f"{P}mark", digest(F.col(NORMAL)).alias(DIGEST)), "digests")
+    index = DigestIndex(spark, f"{shared_folder(spark)}/tracewright/digest-index-{uuid.uuid4().hex}")
+    for k in range(batches):
+        index.flush(keys.where(F.pmod(F.xxhash64(f"{FIRST}.doc_id", FIRST), F.lit(batches)) == k).select(DIGEST, FIRST))
+    level = index.merged()
     single = level.where(f"{ROWS} = 1").select(
         F.col(f"{FIRST}.doc_id").alias("doc_id"), F.col(f"{FIRST}.doc_id").alias("keep_id"),
         F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), DIGEST,
     )
-    several = level.where(f"{ROWS} > 1").select(DIGEST)
-    hits = rows.join(several, DIGEST, "left_semi")
-    groups = hits.groupBy(DIGEST, NORMAL).agg(F.min(FIRST).alias(f"{P}keep"), F.count("*").alias("group_size"))
-    verified = hits.join(groups, [DIGEST, NORMAL]).select(
-        F.col(f"{FIRST}.doc_id").alias("doc_id"), F.col(f"{P}keep.doc_id").alias("keep_id"), "group_size",
-        (F.col(FIRST) == F.col(f"{P}keep")).alias("kept"), DIGEST,
-    )
-    every = single.unionByName(verified)
+    several = level.where(f"{ROWS} > 1").select(DIGEST, F.col(FIRST).alias(KEEP), ROWS)
+    bitmaps, bits = filter_of(several, several.count())
+    known = keys.join(several.hint("merge"), DIGEST).select(F.col(FIRST).alias(f"{P}own"), F.col(f"{P}mark").alias(f"{P}own_mark"), F.col(DIGEST).alias(f"{P}own_digest"), KEEP, ROWS)
+    texts = may_hold(rows.withColumn(DIGEST, digest(F.col(NORMAL))), bitmaps, bits)
+    same = (F.col(FIRST) == F.col(f"{P}own")) & (F.col(f"{P}mark") == F.col(f"{P}own_mark")) & (F.col(DIGEST) == F.col(f"{P}own_digest"))
+    # doc_ids, not digests, deal out the texts of hits; a row that repeats another in all that is read is one
+    hits = stored(texts.join(known.distinct().hint("merge"), same).select(DIGEST, FIRST, KEEP, ROWS, NORMAL), "hits")
+    models = hits.where(F.col(FIRST) == F.col(KEEP)).groupBy(DIGEST).agg(F.min(NORMAL).alias(f"{P}model"), F.max(ROWS).alias(ROWS))
+    parts = F.ceil(F.col(ROWS) / part)
+    spread = models.select(DIGEST, f"{P}model", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias(f"{P}part"))
+    compared = hits.withColumn(f"{P}part", F.pmod(F.xxhash64(FIRST), parts)).join(spread.hint("merge"), [DIGEST, f"{P}part"])
+    compared = stored(compared.withColumn(f"{P}equal", F.col(NORMAL) == F.col(f"{P}model")).select(DIGEST, FIRST, KEEP, ROWS, f"{P}equal", F.when(~F.col(f"{P}equal"), F.col(NORMAL)).alias(NORMAL)), "compared")
+    # texts that a digest threw together with others form groups of their own
+    other = compared.where(~F.col(f"{P}equal"))
+    groups = other.groupBy(DIGEST, NORMAL).agg(F.min(FIRST).alias(f"{P}keep2"), F.count("*").alias("group_size"))
+    strayed = other.groupBy(DIGEST).agg(F.count("*").alias(f"{P}strayed"))
+    row = lambda keep: [F.col(f"{FIRST}.doc_id").alias("doc_id"), F.col(f"{keep}.doc_id").alias("keep_id"), "group_size", (F.col(FIRST) == F.col(keep)).alias("kept"), DIGEST]
+    verified = compared.where(f"{P}equal").drop(NORMAL).join(strayed, DIGEST, "left").withColumn("group_size", F.col(ROWS) - F.coalesce(f"{P}strayed", F.lit(0))).select(*row(KEEP))
+    apart = other.join(groups, [DIGEST, NORMAL]).select(*row(f"{P}keep2"))
+    every = single.unionByName(verified).unionByName(apart)
     if digest is sha256:
         return every.withColumn("text_sha256", F.lower(F.hex(DIGEST))).drop(DIGEST)
     return every.withColumn("text_sha256", F.lit(None).cast("string")).drop(DIGEST)
