@@ -118,7 +118,7 @@ def test_blocks_connect_all_that_is_apart(spark):
     texts = sorted({varied(rng, base, rng.randrange(0, 8)) for _ in range(60)})
     sets = near_dedup.shingle_sets([t.encode() for t in texts])
     nodes = [near_dedup.set_digest(s) for s in sets]
-    apart = spark.createDataFrame([(1, n, len(s), n, (nodes[0], len(s))) for n, s in zip(nodes, sets, strict=True)], "band long, node binary, n long, root binary, one struct<node:binary,n:long>")
+    apart = spark.createDataFrame([(1, n, len(s), n) for n, s in zip(nodes, sets, strict=True)], "band long, node binary, n long, root binary")
     held = spark.createDataFrame([(n, s.tobytes()) for n, s in zip(nodes, sets, strict=True)], "node binary, shingles binary")
     links = near_dedup.across(apart, held, most=7)
     found = {bytes(r["node"]): bytes(r["root"]) for r in components(links).collect()}
@@ -217,17 +217,28 @@ def test_other_tokenizers(library):
     assert np.frombuffer(pieces(["Hello there"])[0], "<u4").tolist() == want
 
 
-def test_token_counts_and_their_cache(spark, odd, empty, library, tmp_path):
-    cache = str(tmp_path / "cache")
+def test_token_counts_and_their_cache(spark, odd, empty, library, tmp_path, monkeypatch):
+    cache, encoded = str(tmp_path / "cache"), []
+    real = token_counts.encode_counts
+    monkeypatch.setattr(token_counts, "encode_counts", lambda misses, tokenizer: encoded.append(misses.select(token_counts.DIGEST).distinct().count()) or real(misses, tokenizer))
     want = sorted(((r["doc_id"], len((r["text"] or "").encode()), len(library(r["text"])), len(library(r["text"])) > 2048) for r in odd.collect()), key=repr)
     for _ in range(2):
         found = token_counts.token_counts(odd, queries.tokenizer(), cache=cache)
         assert sorted((tuple(r) for r in found.collect()), key=repr) == want
     held = spark.read.parquet(cache)
-    assert held.count() == held.select("digest").distinct().count() + 1  # the repeated row was encoded twice
+    assert held.count() == held.select("digest").distinct().count() == encoded[0] and encoded[1] == 0
+    more = odd.union(docs_of(spark, [(70, "a text that no call has met", "a"), (71, LONG, "a")]))
+    assert token_counts.token_counts(more, queries.tokenizer(), cache=cache).count() == odd.count() + 2 and encoded[2] == 1
     assert token_counts.token_counts(empty, queries.tokenizer()).count() == 0
 
 
+def test_the_query_keeps_its_cache(spark, monkeypatch):
+    encoded, real = [], token_counts.encode_counts
+    monkeypatch.setattr(token_counts, "encode_counts", lambda misses, tokenizer: encoded.append(misses.count()) or real(misses, tokenizer))
+    rows = [sorted(queries.op6_token_counts(spark, SF).collect()) for _ in range(2)]
+    assert rows[0] == rows[1] and encoded[1] == 0
+
+
 # --- toxicity
 
 
@@ -312,9 +323,30 @@ def test_exact_dedup_takes_odd_rows_and_collisions(odd, empty):
     for digest in (exact_dedup.sha256, lambda t: F.unhex(F.hex(F.length(t) % 3))):
         found = [(r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.exact_dedup(odd, digest).collect()]
         assert sorted(found, key=key) == sorted(expected, key=key)
+    found = [(r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.exact_dedup(odd, batches=9, part=1).collect()]
+    assert sorted(found, key=key) == sorted(expected, key=key)
     assert exact_dedup.exact_dedup(empty).count() == 0
 
 
+def test_digest_index_levels_and_filters(spark, tmp_path):
+    rows = spark.range(2000).select(F.unhex(F.md5((F.col("id") % 700).cast("string"))).alias(exact_dedup.DIGEST), F.struct(F.col("id").alias("doc_id")).alias(exact_dedup.FIRST))
+    index = exact_dedup.DigestIndex(spark, str(tmp_path / "index"))
+    for k in range(6):
+        index.flush(rows.where(F.col(f"{exact_dedup.FIRST}.doc_id") % 6 == k))
+    assert [len(runs) for runs in index.levels] == [2, 1]
+    level = index.merged()
+    got = {bytes(r[0]): (r[1]["doc_id"], r[2]) for r in level.collect()}
+    want = {}
+    for r in rows.collect():
+        first, n = want.get(bytes(r[0]), (r[1]["doc_id"], 0))
+        want[bytes(r[0])] = (min(first, r[1]["doc_id"]), n + 1)
+    assert got == want
+    some = level.where(f"{exact_dedup.FIRST}.doc_id < 90")
+    bitmaps, bits = exact_dedup.filter_of(some, 90)
+    held = exact_dedup.may_hold(level, bitmaps, bits)
+    assert held.join(some, exact_dedup.DIGEST, "left_semi").count() == 90 and held.count() < 150 and bits == 1 << 15
+
+
 def test_sharding(odd, empty):
     owners = sharding.lookup_table()
     counts = np.bincount(owners)

