@@ -16,12 +16,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewright.llm.common import BLANKS, P, shared_folder, stored, text_of
+from tracewright.llm.filters import Filter
 
 DIGEST, FIRST, ROWS, NORMAL, KEEP = (f"{P}{x}" for x in ("digest", "first", "rows", "normal", "keep"))
 #: Runs of a level that are merged into one of the next; batches that a corpus is flushed in; rows of a group that a task compares.
 FANOUT, BATCHES, PART = 4, 4, 10_000
-#: Bits of a filter for each digest, and at most: 8 MB of bitmaps, which is what a broadcast filter may have.
-BITS_A_DIGEST, MOST_BITS = 16, 1 << 26
 
 
 def normalised(text: Column) -> Column:
@@ -33,28 +32,6 @@ def sha256(text: Column) -> Column:
     return F.unhex(F.sha2(text, 256))
 
 
-def _bit(digest: Column, bits: int) -> Column:
-    """The place of a digest in a filter, from 1."""
-    return F.pmod(F.xxhash64(digest), F.lit(bits)) + 1
-
-
-def filter_of(digests: DataFrame, n: int) -> tuple[DataFrame, int]:
-    """A filter of n digests: bitmaps by bucket, at most MOST_BITS bits, and how many."""
-    bits = 1 << 15
-    while bits < min(MOST_BITS, BITS_A_DIGEST * n):
-        bits <<= 1
-    at = _bit(F.col(DIGEST), bits)
-    return digests.groupBy(F.bitmap_bucket_number(at).alias(f"{P}bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias(f"{P}bitmap")), bits
-
-
-def may_hold(rows: DataFrame, bitmaps: DataFrame, bits: int) -> DataFrame:
-    """The rows whose digest the filter may hold: all that it holds, and one in BITS_A_DIGEST or fewer of the others, more where MOST_BITS is too few."""
-    at = _bit(F.col(DIGEST), bits)
-    byte = F.conv(F.hex(F.substring(F.col(f"{P}bitmap"), F.floor(F.bitmap_bit_position(at) / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
-    found = rows.join(F.broadcast(bitmaps), F.bitmap_bucket_number(at) == F.col(f"{P}bucket"))  # MOST_BITS / 8 bytes at most
-    return found.where(F.call_function("bit_get", byte, (F.bitmap_bit_position(at) % 8).cast("int")) == 1).drop(f"{P}bucket", f"{P}bitmap")
-
-
 class DigestIndex:
     """Runs of (digest, smallest identifier, rows) under `path`, by level; each is sorted and has a filter."""
 
@@ -113,9 +90,8 @@ def exact_dedup(docs: DataFrame, digest: Callable[[Column], Column] = sha256, ba
         F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), DIGEST,
     )
     several = level.where(f"{ROWS} > 1").select(DIGEST, F.col(FIRST).alias(KEEP), ROWS)
-    bitmaps, bits = filter_of(several, several.count())
     known = keys.join(several.hint("merge"), DIGEST).select(F.col(FIRST).alias(f"{P}own"), F.col(f"{P}mark").alias(f"{P}own_mark"), F.col(DIGEST).alias(f"{P}own_digest"), KEEP, ROWS)
-    texts = may_hold(rows.withColumn(DIGEST, digest(F.col(NORMAL))), bitmaps, bits)
+    texts = Filter(several, DIGEST).may_hold(rows.withColumn(DIGEST, digest(F.col(NORMAL))), DIGEST)
     same = (F.col(FIRST) == F.col(f"{P}own")) & (F.col(f"{P}mark") == F.col(f"{P}own_mark")) & (F.col(DIGEST) == F.col(f"{P}own_digest"))
     # doc_ids, not digests, deal out the texts of hits; a row that repeats another in all that is read is one
     hits = stored(texts.join(known.distinct().hint("merge"), same).select(DIGEST, FIRST, KEEP, ROWS, NORMAL), "hits")
