@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tracewright.llm import exact_dedup, jpeg, licenses, line_dedup, media, mixing, near_dedup, packing, queries, sharding, token_counts, toxicity
+from tracewright.llm import exact_dedup, filters, jpeg, licenses, line_dedup, media, mixing, near_dedup, packing, queries, sharding, token_counts, toxicity
 from tracewright.llm.common import stored
 from tracewright.llm.components import components
 from tracewright.llm.word_encoder import Encoder
@@ -342,9 +342,10 @@ def test_digest_index_levels_and_filters(spark, tmp_path):
         want[bytes(r[0])] = (min(first, r[1]["doc_id"]), n + 1)
     assert got == want
     some = level.where(f"{exact_dedup.FIRST}.doc_id < 90")
-    bitmaps, bits = exact_dedup.filter_of(some, 90)
-    held = exact_dedup.may_hold(level, bitmaps, bits)
-    assert held.join(some, exact_dedup.DIGEST, "left_semi").count() == 90 and held.count() < 150 and bits == 1 << 15
+    few = filters.Filter(some, exact_dedup.DIGEST)
+    held = few.may_hold(level, exact_dedup.DIGEST)
+    assert held.join(some, exact_dedup.DIGEST, "left_semi").count() == 90 and held.count() < 150 and few.bits == 1 << 15
+    assert filters.Filter(some.limit(0), exact_dedup.DIGEST).may_hold(level, exact_dedup.DIGEST).count() == 0
 
 
 def test_sharding(odd, empty):
@@ -382,21 +383,38 @@ def test_licence_rules(spark, odd, empty):
 # --- line dedup and mixing
 
 
-def test_line_dedup_finds_shifted_passages_and_long_lines(spark):
+def test_line_dedup_finds_shifted_passages_in_lines_and_paragraphs(spark):
     rng = random.Random(4)
     line = lambda: " ".join(f"v{rng.randrange(10**6)}" for _ in range(8))
-    passage, long_line = [line() for _ in range(30)], " ".join(f"p{k}" for k in range(60))
-    rows = [(k, "\n".join([line() for _ in range(rng.randrange(1, 9))] + passage + [line(), long_line, line()]), "a") for k in range(6)] + [(9, "\n".join(line() for _ in range(20)), "a"), (10, "same\n\n\n\n", "a"), (11, "same\n\n\n\n", "a")]
+    passage, said = [line() for _ in range(30)], [line() + "." for _ in range(20)]
+    rows = [(k, "\n".join([line() for _ in range(rng.randrange(1, 9))] + passage + [line(), line() + ". " + " ".join(said) + " " + line(), line()]), "a") for k in range(6)]
+    rows += [(9, "\n".join(line() for _ in range(20)), "a"), (10, "same\n\n\n\n", "a"), (11, "same\n\n\n\n", "a")]
     docs = docs_of(spark, rows)
     out = {r["doc_id"]: r for r in line_dedup.line_dedup(docs).collect()}
     assert out[0]["text"] == rows[0][1] and out[9]["text"] == rows[6][1] and out[0]["removed_lines"] == 0
     for k in range(1, 6):
-        left = set(out[k]["text"].split("\n"))
-        assert long_line not in left and len(left & set(passage)) <= 12
-        assert left >= set(rows[k][1].split("\n")) - set(passage) - {long_line}
+        left = re.split(r"\n|(?<=\.) ", out[k]["text"])
+        assert len(set(left) & set(passage)) <= 12 and len(set(left) & set(said)) <= 12
+        assert set(left) >= set(re.split(r"\n|(?<=\.) ", rows[k][1])) - set(passage) - set(said)
         assert out[k]["n_chars"] == len(out[k]["text"])
-    whole = line_dedup.chunked(docs).select("text", F.array_join(F.transform(line_dedup.CHUNKS, lambda c: c["body"]), "\n").alias("again"))
-    assert whole.where("text <> again").count() == 0
+    whole = line_dedup.chunked(docs).select("text", F.array_join(line_dedup.LINES, "").alias("again"), F.aggregate(line_dedup.CHUNKS, F.lit(0), lambda n, c: n + c["lines"]).alias("n"), F.size(line_dedup.LINES).alias("m"))
+    assert whole.where("text <> again OR n <> m").count() == 0
+
+
+def test_one_long_line_counts_as_one(spark):
+    """No length turns a line into several: a repeated line of 50, 51 or 5000 words without a sentence's end stays where no chunk holds it with another."""
+    rows = [(10 * k + j, " ".join(f"p{k}x{i}" for i in range(n)), "a") for k, n in enumerate((50, 51, 5000)) for j in range(2)]
+    docs = docs_of(spark, rows)
+    assert {r["removed_chunks"] for r in line_dedup.line_dedup(docs).collect()} == {0}
+    assert [len(r["text"].split()) for r in line_dedup.passage_dedup(docs).orderBy("doc_id").collect()] == [50, 50, 51, 0, 5000, 0]
+
+
+def test_unlike_chunks_of_one_digest_stay(spark, monkeypatch):
+    """Bytes decide: with a digest that says nothing, only what equals its first is removed."""
+    docs = docs_of(spark, [(k, f"one{k % 3} two.\nthree four{k % 3}.", "a") for k in range(9)])
+    monkeypatch.setattr(line_dedup.F, "md5", lambda c: F.lit("00"))
+    out = {r["doc_id"]: r["text"] for r in line_dedup.line_dedup(docs).collect()}
+    assert {k for k, t in out.items() if not t} == {3, 6} and out[1] == "one1 two.\nthree four1."
 
 
 def test_line_dedup_takes_odd_rows(odd, empty):
@@ -404,6 +422,7 @@ def test_line_dedup_takes_odd_rows(odd, empty):
     assert len(out) == odd.count() and all(r["text"] is not None for r in out)
     assert {r["n_lines"] for r in out if r["doc_id"] == 8} == {2}
     assert line_dedup.line_dedup(empty).count() == 0
+    assert line_dedup.passage_dedup(odd).count() == odd.count() and line_dedup.passage_dedup(empty).count() == 0
 
 
 def test_mixing_targets_and_draws(spark, odd, empty):

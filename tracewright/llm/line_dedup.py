@@ -1,11 +1,16 @@
-"""Operator 9, line dedup: content-defined chunks of lines.
-
-Each text is cut into lines; a rolling hash over the hashes of the last `window` lines ends a chunk where it is 0 modulo
-`divisor`, so boundaries depend on nearby lines alone and a passage that is shifted or set in another text is cut
-alike. A line of more than `long_line` words is a paragraph written without line ends: it is a chunk of its own and
-counts as several lines. Chunks of several lines that repeat anywhere in the corpus are removed but for the first
-(smallest doc_id, then position). Digests of chunks find the repeats; the chunks that share a digest are then grouped by their bytes.
-Only digests are shuffled for all chunks, bytes for repeated ones, and the list of removed positions goes back to the documents.
+"""Operator 9, line dedup: content-defined chunks of lines, and passages that no chunk holds as a whole.
+
+Lines: a line ends at a line end, and after a sentence within it, so a paragraph that is written in one line has lines too. Chunks: a rolling hash
+over the hashes of the last `window` lines ends a chunk where it is 0 modulo `divisor`, so boundaries depend on nearby lines alone and
+a passage that is shifted or set in another text is cut alike. Chunks of several lines that repeat anywhere in the corpus are removed but
+for the first (smallest doc_id, then position), after their lines have been compared with the first one's.
+
+Only digests of chunks are shuffled for all chunks. Repeated ones make a filter (see filters.py), and filters tell which texts must move at
+all; their chunks are cut again where they are compared and where they are removed.
+
+Passages: a chunk begins in one text and ends in another, so a passage loses its middle. `passage_dedup` then removes every run of at least PASSAGE
+words that stands earlier in the corpus. Runs of RUN words that begin with a word whose hash is 0 modulo EVERY are anchors, and all runs
+where no such word is near, so equal passages have equal anchors; only around anchors that repeat are passages told by their digests.
 """
 
 from __future__ import annotations
@@ -13,26 +18,39 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import P, WORD, stored, text_of, with_text
+from tracewright.llm.common import BLANKS, P, WORD, stored, text_of, with_text
+from tracewright.llm.filters import Filter
 
-WINDOW, DIVISOR, LONG_LINE = 2, 2, 50
+WINDOW, DIVISOR = 2, 2
 HASH_SPACE = 2**32
 FACTOR = 1_000_003  # times any hash below 2**32 this stays within a long
+#: Between two lines; what stands between is none.
+LINE_END = r"(?<=\n)|(?<=[.!?] )"
 
-DOC, SUM, POS, LINES, BODY, DIGEST, FIRST, GONE, CHUNKS = (f"{P}{x}" for x in ("doc", "sum", "pos", "lines", "body", "digest", "first", "gone", "chunks"))
+DOC, MARK, POS, DIGEST, FIRST, GONE, LINES, CHUNKS, HITS = (f"{P}{x}" for x in ("doc", "mark", "pos", "digest", "first", "gone", "lines", "chunks", "hits"))
+#: A row by its doc_id and a hash of its text.
+ROW = (DOC, MARK)
 
 
 def line_hash(line: Column) -> Column:
     return F.conv(F.substring(F.md5(line), 1, 8), 16, 10).cast("long")
 
 
-def chunked(docs: DataFrame, window: int = WINDOW, divisor: int = DIVISOR, long_line: int = LONG_LINE) -> DataFrame:
-    """docs with CHUNKS, array<struct<body string, lines int>>: joined by line ends they give the text again.
+def lines_of(text: Column) -> Column:
+    """The lines, with the line end or space that follows; joined they are the text."""
+    return F.split(text, LINE_END, -1)
+
 
-    `lines` counts one more for a long line. Each step is a column of its own: an array that a lambda looks into must
-    not be computed anew for every element.
+def bare(line: Column) -> Column:
+    """The line as it is compared."""
+    return F.btrim(line, F.lit(BLANKS))
+
+
+def chunked(docs: DataFrame, window: int = WINDOW, divisor: int = DIVISOR) -> DataFrame:
+    """docs with LINES (array of lines) and CHUNKS, array<struct<first int, lines int, body string>>: the place of its first line from 1, their number, and the bare lines.
+
+    Each step is a column of its own: an array that a lambda looks into must not be computed anew for every element.
     """
-    long_enough = lambda x: F.when(F.length(x) > 2 * long_line, F.regexp_count(x, F.lit(WORD)) > long_line).otherwise(False)
 
     def rolled(i: Column) -> Column:
         total = F.lit(0).cast("long")
@@ -40,118 +58,141 @@ def chunked(docs: DataFrame, window: int = WINDOW, divisor: int = DIVISOR, long_
             total = (total * FACTOR + F.get(f"{P}hash", i - back)) % HASH_SPACE
         return total
 
-    def ends(i: Column) -> Column:
-        """Whether a chunk ends after line i: at a boundary, around long lines, at the end of the text."""
-        boundary = F.coalesce(F.shiftright(rolled(i), 7) % divisor == 0, F.lit(False))  # null until the window is full
-        return boundary | F.get(f"{P}long", i) | F.coalesce(F.get(f"{P}long", i + 1), F.lit(True))
-
+    # at a boundary (null until the window is full), and at the end of the text
+    ends = lambda i: F.coalesce(F.shiftright(rolled(i), 7) % divisor == 0, F.lit(False)) | (i == F.size(LINES) - 1)
     before = lambda k: F.coalesce(F.get(f"{P}stops", k - 1), F.lit(-1))
+    chunk = lambda stop, k: F.struct((before(k) + 2).alias("first"), (stop - before(k)).alias("lines"), F.array_join(F.slice(f"{P}bare", before(k) + 2, stop - before(k)), "\n").alias("body"))
     return (
-        docs.withColumn(f"{P}lines", F.split(text_of(docs), "\n", -1))
-        .withColumns({f"{P}hash": F.transform(f"{P}lines", line_hash), f"{P}long": F.transform(f"{P}lines", long_enough)})
-        .withColumn(f"{P}stops", F.filter(F.sequence(F.lit(0), F.size(f"{P}lines") - 1), ends))
-        .withColumn(
-            CHUNKS,
-            F.transform(
-                f"{P}stops",
-                lambda stop, k: F.struct(
-                    F.array_join(F.slice(f"{P}lines", before(k) + 2, stop - before(k)), "\n").alias("body"),
-                    (stop - before(k) + F.get(f"{P}long", stop).cast("int")).alias("lines"),
-                ),
-            ),
-        )
-        .drop(f"{P}hash", f"{P}long", f"{P}stops")
+        docs.withColumn(LINES, lines_of(text_of(docs)))
+        .withColumn(f"{P}bare", F.transform(LINES, bare))
+        .withColumn(f"{P}hash", F.transform(f"{P}bare", line_hash))
+        .withColumn(f"{P}stops", F.filter(F.sequence(F.lit(0), F.size(LINES) - 1), ends))
+        .withColumn(CHUNKS, F.transform(f"{P}stops", chunk))
+        .drop(f"{P}bare", f"{P}hash", f"{P}stops")
     )
 
 
-def removed_chunks(docs: DataFrame, **cut: int) -> DataFrame:
-    """(DOC, SUM, GONE): for each document that loses chunks, by its doc_id and text digest, their positions."""
-    place = F.struct(F.col(DOC).isNull().alias("unknown"), F.col(DOC).alias("doc"), F.col(SUM).alias("sum"), F.col(POS).alias("pos"))
-    chunks = (
-        chunked(docs.select("doc_id", "text"), **cut)
-        .select(F.col("doc_id").alias(DOC), F.md5(text_of(docs)).alias(SUM), F.posexplode_outer(CHUNKS).alias(POS, "chunk"))  # outer: the filter Spark infers for an inner one would repeat the whole cutting
-        .where("chunk.lines > 1")
-        .select(DOC, SUM, POS, F.col("chunk.body").alias(BODY))
-        .where(F.col(BODY).rlike(WORD))
-        .withColumn(DIGEST, F.unhex(F.md5(BODY)))
-    )
-    repeated = chunks.groupBy(DIGEST).agg(F.count("*").alias("n")).where("n > 1").select(DIGEST)
-    hits = stored(chunks.join(repeated, DIGEST, "left_semi"), "repeated-chunks")
-    groups = hits.groupBy(DIGEST, BODY).agg(F.min(place).alias(FIRST), F.count("*").alias("n")).where("n > 1").drop("n")
-    later = hits.join(groups, [DIGEST, BODY]).where(place != F.col(FIRST))
-    return later.groupBy(DOC, SUM).agg(F.collect_set(POS).alias(GONE))
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.withColumns({DOC: docs["doc_id"], MARK: F.xxhash64(text_of(docs))})
 
 
-def line_dedup(docs: DataFrame, **cut: int) -> DataFrame:
-    """docs without repeated chunks: its columns, text changed (n_chars too), and n_lines, removed_chunks, removed_lines (long), which replace columns so named.
+def _place() -> Column:
+    return F.struct(F.col(DOC).isNull().alias("unknown"), F.col(DOC).alias("doc"), F.col(MARK).alias("mark"), F.col(POS).alias("pos"))
 
-    A null text is an empty one, with one empty line, and comes back empty. Chunks of blank lines, and single lines that
-    are not long, are never removed. A null doc_id comes after all others. Rows that repeat both doc_id and text are alike: they
-    keep or lose the same chunks. A document all of whose chunks repeat earlier ones stays, with an empty text. An empty table stays empty.
-    """
-    gone = removed_chunks(docs, **cut)
-    keyed = docs.withColumn(SUM, F.md5(text_of(docs)))
-    joined = keyed.join(gone.withColumnRenamed(SUM, f"{P}sum2"), F.col("doc_id").eqNullSafe(F.col(DOC)) & (F.col(SUM) == F.col(f"{P}sum2")), "left")
-    lost = lambda i: F.coalesce(F.array_contains(GONE, i), F.lit(False))
-    kept = with_text(
-        chunked(joined, **cut).withColumns({
-            "n_lines": F.size(f"{P}lines").cast("long"),
-            "removed_chunks": F.coalesce(F.size(GONE), F.lit(0)).cast("long"),
-            f"{P}kept": F.filter(CHUNKS, lambda c, i: ~lost(i)),
-        }),
-        F.array_join(F.transform(F.col(f"{P}kept"), lambda c: c["body"]), "\n"),
-    )
-    left = F.when(F.size(f"{P}kept") == 0, 0).otherwise(F.size(F.split("text", "\n", -1)))
-    return kept.withColumn("removed_lines", (F.col("n_lines") - left).cast("long")).drop(DOC, SUM, f"{P}sum2", GONE, CHUNKS, f"{P}lines", f"{P}kept")
+
+def _repeated(keys: DataFrame, name: str) -> DataFrame:
+    """(ROW, POS, DIGEST, FIRST) of the rows of `keys` (a stored table) whose digest stands at several places; the first place of each digest."""
+    first = keys.groupBy(DIGEST).agg(F.min(_place()).alias(FIRST), F.max(_place()).alias("last")).where(F.col(FIRST) != F.col("last")).drop("last")
+    first = stored(first, name)  # so that the join can split a digest of many rows
+    return Filter(first, DIGEST).may_hold(keys, DIGEST).join(first.hint("merge"), DIGEST)
 
 
-#: A passage has this many words at least. Of any such run, one of the RUN-word runs in it is an anchor.
-PASSAGE, RUN = 51, 20
-ANCHORS = PASSAGE - RUN + 1
+def _met(docs: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of docs with ROW: those that `found`, a stored table with a row for each ROW, may have, joined with it, and the others."""
+    told = Filter(found, *ROW).marked(docs, f"{P}met", *ROW)
+    same = F.col(DOC).eqNullSafe(F.col(f"{P}doc2")) & (F.col(MARK) == F.col(f"{P}mark2"))
+    held = told.where(f"{P}met").join(found.withColumnsRenamed({DOC: f"{P}doc2", MARK: f"{P}mark2"}).hint("merge"), same, "left")
+    return held.drop(f"{P}met", f"{P}doc2", f"{P}mark2"), told.where(f"NOT {P}met").drop(f"{P}met")
 
 
-def _windows(docs: DataFrame) -> DataFrame:
-    """(DOC, SUM, POS, DIGEST): runs of PASSAGE words, by the position of their first word from 1, that hold an anchor which repeats; no others can repeat.
+def line_dedup(docs: DataFrame, **cut: int) -> DataFrame:
+    """docs without repeated chunks: its columns, text changed (n_chars too), and n_lines, removed_chunks, removed_lines (long), which replace columns so named.
 
-    Of ANCHORS neighbouring runs of RUN words the one of smallest hash is an anchor: equal passages have equal ones.
+    Chunks are the same if their lines are, but for white space around a line. A null text is an empty one, with one empty line, and comes back
+    empty. Chunks of one line, or of blank lines, are never removed here. A null doc_id comes after all others. Rows that repeat both
+    doc_id and text are alike: they keep or lose the same chunks. A document all of whose chunks repeat earlier ones stays, with
+    an empty text. A very long text is cut as a whole. An empty table stays empty.
     """
-    words = lambda df: df.withColumn(f"{P}words", F.regexp_extract_all("text", F.lit(WORD), F.lit(0)))
-    keyed = docs.select(F.col("doc_id").alias(DOC), text_of(docs).alias("text")).withColumn(SUM, F.md5("text"))
-    hashed = words(keyed).where(F.size(f"{P}words") >= PASSAGE).withColumn(f"{P}hash", F.transform(f"{P}words", lambda w: F.xxhash64(w)))
-    runs = hashed.withColumn(f"{P}runs", F.transform(F.sequence(F.lit(1), F.size(f"{P}hash") - RUN + 1), lambda i: F.xxhash64(F.slice(f"{P}hash", i, RUN))))
-    near = lambda i: F.slice(f"{P}runs", i, ANCHORS)
-    least = F.transform(F.sequence(F.lit(1), F.size(f"{P}runs") - ANCHORS + 1), lambda i: (i - 1 + F.array_position(near(i), F.array_min(near(i)))).cast("int"))
-    spots = runs.select(DOC, SUM, f"{P}runs", F.array_distinct(least).alias(f"{P}spots"))
-    each = spots.select(DOC, SUM, F.explode(F.transform(f"{P}spots", lambda p: F.struct(p.alias("p"), F.element_at(f"{P}runs", p).alias("run")))).alias("a"))
-    anchors = stored(each.select(DOC, SUM, "a.p", "a.run").distinct(), "anchors")
-    repeated = anchors.groupBy("run").agg(F.count("*").alias("n")).where("n > 1").select("run")
-    hits = anchors.join(repeated, "run", "left_semi").groupBy(DOC, SUM).agg(F.collect_list("p").alias(f"{P}spots"))
-    same = hits.withColumnsRenamed({DOC: f"{P}doc2", SUM: f"{P}sum2"})
-    held = words(keyed.distinct().join(same, F.col(DOC).eqNullSafe(F.col(f"{P}doc2")) & (F.col(SUM) == F.col(f"{P}sum2"))))
-    last = F.size(f"{P}words") - PASSAGE + 1
-    starts = F.array_distinct(F.flatten(F.transform(f"{P}spots", lambda p: F.sequence(F.greatest(F.lit(1), p - ANCHORS + 1), F.least(p, last)))))
-    digest = lambda s: F.unhex(F.md5(F.array_join(F.slice(f"{P}words", s, PASSAGE), " ")))
-    found = held.withColumn(f"{P}starts", starts).where(F.size(f"{P}words") > 0).select(DOC, SUM, F.explode(F.transform(f"{P}starts", lambda s: F.struct(s.alias("s"), digest(s).alias("digest")))).alias("w"))
-    return found.select(DOC, SUM, F.col("w.s").alias(POS), F.col("w.digest").alias(DIGEST))
+    keyed = _keyed(docs)
+    chunks = chunked(keyed.select(*ROW, "text"), **cut).select(*ROW, F.posexplode_outer(CHUNKS).alias(POS, "chunk"))  # outer: the filter Spark infers for an inner one would repeat the whole cutting
+    keys = stored(chunks.where("chunk.lines > 1").select(*ROW, POS, F.unhex(F.md5("chunk.body")).alias(DIGEST), F.col("chunk.body").rlike(WORD).alias("said")).where("said").drop("said"), "chunks")
+    hits = stored(_repeated(keys, "repeated-chunks").groupBy(*ROW).agg(F.collect_list(F.struct(POS, DIGEST, (_place() == F.col(FIRST)).alias("model"))).alias(HITS)), "chunk-hits")
+    met, others = _met(keyed, hits)
+    met = stored(met, "chunk-texts")
+
+    # the lines of each repeated chunk against those of the first
+    body = lambda h: F.struct(*[h[c].alias(c) for c in (POS, DIGEST, "model")], F.get(CHUNKS, h[POS])["body"].alias("body"))
+    bodies = chunked(met.where(F.col(HITS).isNotNull()).select(*ROW, "text", HITS), **cut).select(*ROW, F.explode_outer(F.transform(HITS, body)).alias("hit"))
+    bodies = stored(bodies.select(*ROW, "hit.*"), "chunk-bodies")
+    models = bodies.where("model").select(DIGEST, F.col("body").alias("first_body"))
+    unlike = stored(bodies.where("NOT model").join(models.hint("merge"), DIGEST).where("body <> first_body").select(*ROW, POS).distinct(), "unlike-chunks")
+    gone = F.transform(F.filter(F.coalesce(HITS, F.array().cast(met.schema[HITS].dataType)), lambda h: ~h["model"]), lambda h: h[POS])
+    met = met.withColumn(GONE, gone).drop(HITS)
+    if not unlike.isEmpty():  # what a digest threw together by chance
+        spared = stored(unlike.groupBy(*ROW).agg(F.collect_list(POS).alias(f"{P}spared")), "spared-chunks")
+        with_spared, rest = _met(met, spared)
+        met = with_spared.withColumn(GONE, F.array_except(GONE, F.coalesce(f"{P}spared", F.array().cast("array<int>")))).drop(f"{P}spared").unionByName(rest)
+    lost = F.filter(CHUNKS, lambda c, k: F.array_contains(GONE, k))
+    kept = F.flatten(F.transform(F.filter(CHUNKS, lambda c, k: ~F.array_contains(GONE, k)), lambda c: F.slice(LINES, c["first"], c["lines"])))
+    some = chunked(met.where(F.size(GONE) > 0), **cut).withColumn(f"{P}lost", lost)
+    counts = {"n_lines": F.size(LINES).cast("long"), "removed_chunks": F.size(f"{P}lost").cast("long"), "removed_lines": F.aggregate(f"{P}lost", F.lit(0), lambda n, c: n + c["lines"]).cast("long")}
+    some = with_text(some.withColumns(counts), F.array_join(kept, ""))
+    none = lambda df: with_text(df.withColumns({"n_lines": F.size(lines_of(text_of(df))).cast("long"), "removed_chunks": F.lit(0).cast("long"), "removed_lines": F.lit(0).cast("long")}), text_of(df))
+    columns = [*docs.columns, *[c for c in counts if c not in docs.columns]]
+    return some.select(*columns).unionByName(none(met.where(F.size(GONE) == 0)).select(*columns)).unionByName(none(others).select(*columns))
+
+
+#: A passage has this many words at least.
+PASSAGE, RUN, EVERY = 51, 8, 8
+#: So many runs begin in a passage; one of them is an anchor.
+STARTS = PASSAGE - RUN + 1
+SPANS = "array<struct<start:int,end:int>>"
+
+
+def words_of(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
+
+
+def _anchors(docs: DataFrame) -> DataFrame:
+    """(ROW, p, run): where the anchors of each text begin, from 1, and the hashes of their words."""
+    words, spots = f"{P}words", f"{P}spots"
+    telling = lambda i: F.pmod(F.xxhash64(F.element_at(words, i)), F.lit(EVERY)) == 0
+    last = F.size(words) - RUN + 1
+    # no filter on the words, and outer explosions: Spark would push a filter below what it looks at, and find the words twice
+    enough = lambda x: F.when(F.size(words) >= PASSAGE, x)
+    found = docs.select(*ROW, words_of(text_of(docs)).alias(words))
+    found = found.withColumn(spots, enough(F.concat(F.array(F.lit(0)), F.filter(F.sequence(F.lit(1), last), telling), F.array(last + 1))))
+    # a stretch without a telling word that holds all starts of a passage: each of its runs is an anchor
+    none = F.array().cast("array<int>")
+    gaps = F.flatten(F.transform(spots, lambda a, k: F.when(F.get(spots, k + 1) - a > STARTS, F.sequence(a + 1, F.get(spots, k + 1) - 1)).otherwise(none)))
+    every = F.concat(F.slice(spots, F.lit(2), F.size(spots) - 2), gaps)
+    each = enough(F.transform(every, lambda p: F.struct(p.alias("p"), F.xxhash64(F.slice(words, p, RUN)).alias("run"))))
+    return found.select(*ROW, F.explode_outer(each).alias("a")).where("a IS NOT NULL").select(*ROW, "a.p", "a.run")
 
 
 def passage_dedup(docs: DataFrame) -> DataFrame:
-    """docs without runs of over 50 words that stand earlier (by doc_id, null last, then position), wherever lines end; text and n_chars change.
+    """docs without runs of PASSAGE words or more that stand earlier (by doc_id, null last, then position), wherever lines end; text and n_chars change.
 
-    Words are compared, not the white space between them, by a 128-bit digest of each run of 51. A run that overlaps its own
-    first place loses only what is beyond that. Nothing is sampled or capped. Rows that repeat doc_id and text are alike.
+    Words are compared, not the white space between them, by a 128-bit digest of each run of PASSAGE. A run that overlaps its own
+    first place loses only what is beyond that. Nothing is sampled or capped. Rows that repeat doc_id and text are alike; a null text becomes
+    an empty one; an empty table stays empty.
     """
-    windows = stored(_windows(docs), "windows")
-    place = F.struct(F.col(DOC).isNull().alias("unknown"), F.col(DOC).alias("doc"), F.col(SUM).alias("sum"), F.col(POS).alias("pos"))
-    first = windows.groupBy(DIGEST).agg(F.min(place).alias(FIRST), F.count("*").alias("n")).where("n > 1").drop("n")
-    own = F.col(DOC).eqNullSafe(F.col(f"{FIRST}.doc")) & (F.col(SUM) == F.col(f"{FIRST}.sum"))
+    keyed = _keyed(docs)
+    anchors = stored(_anchors(keyed), "anchors")
+    runs = stored(anchors.groupBy("run").agg(F.min(F.xxhash64(*ROW, "p")).alias("low"), F.max(F.xxhash64(*ROW, "p")).alias("high")).where("low <> high").select("run"), "repeated-runs")
+    hits = Filter(runs, "run").may_hold(anchors, "run").join(runs.hint("merge"), "run", "left_semi")
+    held, _ = _met(keyed.select(*ROW, "text"), stored(hits.groupBy(*ROW).agg(F.collect_set("p").alias(f"{P}spots")), "anchor-hits"))
+    words = f"{P}words"
+    held = held.where(F.col(f"{P}spots").isNotNull()).withColumn(words, words_of(text_of(held)))
+    starts = F.array_distinct(F.flatten(F.transform(f"{P}spots", lambda p: F.sequence(F.greatest(F.lit(1), p - STARTS + 1), F.least(p, F.size(words) - PASSAGE + 1)))))
+    digest = lambda s: F.unhex(F.md5(F.array_join(F.slice(words, s, PASSAGE), " ")))
+    found = held.withColumn(f"{P}starts", starts).select(*ROW, F.explode_outer(F.transform(f"{P}starts", lambda s: F.struct(s.alias("s"), digest(s).alias("digest")))).alias("w"))
+    windows = stored(found.select(*ROW, F.col("w.s").alias(POS), F.col("w.digest").alias(DIGEST)), "passages")
+
+    own = F.col(DOC).eqNullSafe(F.col(f"{FIRST}.doc")) & (F.col(MARK) == F.col(f"{FIRST}.mark"))
     start = F.when(own, F.greatest(F.col(POS), F.col(f"{FIRST}.pos") + PASSAGE)).otherwise(F.col(POS))
-    later = windows.join(first, DIGEST).where(place != F.col(FIRST)).select(DOC, SUM, F.sequence(start, F.col(POS) + PASSAGE - 1).alias("s"))
-    gone = later.groupBy(DOC, SUM).agg(F.array_distinct(F.flatten(F.collect_list("s"))).alias(GONE)).withColumnsRenamed({SUM: f"{P}sum2"})
-    keyed = docs.withColumn(SUM, F.md5(text_of(docs)))
-    joined = keyed.join(gone, F.col("doc_id").eqNullSafe(F.col(DOC)) & (F.col(SUM) == F.col(f"{P}sum2")), "left")
+    later = _repeated(windows, "repeated-passages").where(_place() != F.col(FIRST)).select(*ROW, F.struct(start.alias("start"), (F.col(POS) + PASSAGE - 1).alias("end")).alias("s"))
+    # spans that touch are one, so that a long copy is one span and not one for each of its words
+    last = lambda done: F.get(done, F.size(done) - 1)
+    longer = lambda done, s: F.struct(last(done)["start"].alias("start"), F.greatest(last(done)["end"], s["end"]).alias("end"))
+    joined = lambda done, s: F.concat(F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0))), F.array(longer(done, s)))
+    add = lambda done, s: F.when(s["start"] <= last(done)["end"] + 1, joined(done, s)).otherwise(F.concat(done, F.array(s))).cast(SPANS)
+    merged = F.aggregate(F.array_sort(F.collect_list("s")), F.array().cast(SPANS), add)
+    met, others = _met(keyed, stored(later.groupBy(*ROW).agg(merged.alias(GONE)), "passage-hits"))
     blank = r"[\x20\x09-\x0D]*"
-    pieces = joined.withColumn(f"{P}pieces", F.when(F.col(GONE).isNotNull(), F.regexp_extract_all(text_of(joined), F.lit(f"(?:^{blank})?{WORD}{blank}"), F.lit(0))))
-    kept = F.array_except(F.sequence(F.lit(1), F.size(f"{P}pieces")), F.col(GONE))
-    text = F.when(F.col(GONE).isNotNull(), F.array_join(F.transform(kept, lambda i: F.element_at(f"{P}pieces", i)), "")).otherwise(text_of(joined))
-    return with_text(pieces, text).select(*docs.columns)
+    pieces = met.where(F.col(GONE).isNotNull()).withColumn(f"{P}pieces", F.regexp_extract_all(text_of(met), F.lit(f"(?:^{blank})?{WORD}{blank}"), F.lit(0)))
+    before = lambda k: F.coalesce(F.get(GONE, k - 1)["end"], F.lit(0))
+    between = F.flatten(F.transform(F.concat(GONE, F.array(F.struct((F.size(f"{P}pieces") + 1).alias("start"), F.lit(0).alias("end")))), lambda s, k: F.slice(f"{P}pieces", before(k) + 1, F.greatest(s["start"] - before(k) - 1, F.lit(0)))))
+    some = with_text(pieces, F.array_join(between, ""))
+    alike = lambda df: with_text(df, text_of(df)).select(*docs.columns)
+    return some.select(*docs.columns).unionByName(alike(met.where(F.col(GONE).isNull()))).unionByName(alike(others))

@@ -138,24 +138,40 @@ FROM documents x LEFT JOIN d ON d.doc_id = x.doc_id LEFT JOIN o ON o.doc_id = x.
 """
 
 
-OP9_SQL = rf"""
-WITH l AS (
-  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents),
-h AS (
-  SELECT *, ('0x' || substr(md5(line), 1, 8))::BIGINT AS h, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) > {line_dedup.LONG_LINE} AS long FROM l),
+BLANK = r"[\x20\x09-\x0D]"
+CHUNKS_SQL = rf"""
+WITH t AS (SELECT doc_id, string_split(regexp_replace(coalesce(text, ''), '(\n|[.!?] )', '\1' || chr(1), 'g'), chr(1)) AS lines FROM documents),
+l AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS i FROM t),
+b AS (SELECT *, trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare FROM l),
+h AS (SELECT *, ('0x' || substr(md5(bare), 1, 8))::BIGINT AS h FROM b),
 c AS (
-  SELECT doc_id, i, line, long,
-         long OR coalesce(((lag(h) OVER w * {line_dedup.FACTOR} + h) % {line_dedup.HASH_SPACE} >> 7) % {line_dedup.DIVISOR} = 0, false) OR coalesce(lead(long) OVER w, true) AS ends
+  SELECT *, coalesce(((lag(h) OVER w * {line_dedup.FACTOR} + h) % {line_dedup.HASH_SPACE} >> 7) % {line_dedup.DIVISOR} = 0, false) OR lead(i) OVER w IS NULL AS ends
   FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
 n AS (SELECT *, coalesce(sum(ends::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM c),
-k AS (SELECT doc_id, pos, string_agg(line, chr(10) ORDER BY i) AS body, count(*) AS n_lines, count(*) + max(long::INT) AS lines FROM n GROUP BY doc_id, pos),
-g AS (
-  SELECT *, lines > 1 AND regexp_matches(body, '[^\x20\x09-\x0D]') AND row_number() OVER (PARTITION BY lines > 1, body ORDER BY doc_id, pos) > 1 AS gone FROM k)
+k AS (SELECT doc_id, pos, string_agg(bare, chr(10) ORDER BY i) AS body, string_agg(line, '' ORDER BY i) AS lines, count(*) AS n_lines FROM n GROUP BY doc_id, pos),
+g AS (SELECT *, n_lines > 1 AND regexp_matches(body, '[^\x20\x09-\x0D]') AND row_number() OVER (PARTITION BY n_lines > 1, body ORDER BY doc_id, pos) > 1 AS gone FROM k)"""
+
+OP9_SQL = rf"""{CHUNKS_SQL}
 SELECT doc_id, sum(n_lines)::BIGINT AS n_lines, sum(gone::INT)::BIGINT AS removed_chunks, sum(CASE WHEN gone THEN n_lines ELSE 0 END)::BIGINT AS removed_lines,
-       sha256(coalesce(string_agg(body, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS text_sha256
+       sha256(coalesce(string_agg(lines, '' ORDER BY pos) FILTER (NOT gone), '')) AS text_sha256
 FROM g GROUP BY doc_id
 """
 
+OP9_PASSAGE_SQL = rf"""{CHUNKS_SQL},
+x AS (SELECT doc_id, coalesce(string_agg(lines, '' ORDER BY pos) FILTER (NOT gone), '') AS text FROM g GROUP BY doc_id),
+w AS (SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words FROM x),
+d AS (SELECT doc_id, list_transform(range(1, len(words) - 49), lambda s: md5(array_to_string(words[s:s + 50], ' '))) AS digests FROM w WHERE len(words) > 50),
+p AS (SELECT doc_id, unnest(digests) AS digest, generate_subscripts(digests, 1) AS s FROM d),
+f AS (SELECT *, first_value(doc_id) OVER o AS first_doc, first_value(s) OVER o AS first_s FROM p WINDOW o AS (PARTITION BY digest ORDER BY doc_id, s)),
+z AS (
+  SELECT DISTINCT doc_id, unnest(range(CASE WHEN first_doc = doc_id THEN greatest(s, first_s + 51) ELSE s END, s + 51)) AS k
+  FROM f WHERE first_doc <> doc_id OR first_s <> s),
+e AS (SELECT doc_id, regexp_extract_all(text, '(?:^{BLANK}*)?[^\x20\x09-\x0D]+{BLANK}*') AS pieces FROM x SEMI JOIN z USING (doc_id)),
+u AS (SELECT doc_id, unnest(pieces) AS piece, generate_subscripts(pieces, 1) AS k FROM e),
+r AS (SELECT u.doc_id, coalesce(string_agg(piece, '' ORDER BY u.k) FILTER (z.k IS NULL), '') AS text FROM u LEFT JOIN z ON z.doc_id = u.doc_id AND z.k = u.k GROUP BY 1)
+SELECT x.doc_id, sha256(coalesce(r.text, x.text)) AS text_sha256 FROM x LEFT JOIN r ON r.doc_id = x.doc_id
+"""
+
 OP10_SQL = f"""
 WITH s AS (SELECT doc_id, source, ('0x' || substr(md5(doc_id::VARCHAR), 1, 8))::BIGINT % {sharding.SLOTS} AS slot FROM documents),
 t AS (SELECT string_split('{",".join(map(str, sharding.lookup_table()))}', ',') AS owners)
@@ -182,5 +198,6 @@ ORACLES = {
     "op7_mixing": OP7_SQL,
     "op8_license_scan": op8_sql(),
     "op9_line_dedup": OP9_SQL,
+    "op9_passage_dedup": OP9_PASSAGE_SQL,
     "op10_sharding": OP10_SQL,
 }
