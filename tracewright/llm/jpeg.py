@@ -96,24 +96,34 @@ def grids(image: Image) -> list[tuple[int, int, int]]:
 
 
 def order_of(image: Image, components: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray, int]:
-    """Blocks in the order of a scan, their components' places in it, and the blocks of an MCU."""
-    h, v = max(s[0] for s in image.sampling), max(s[1] for s in image.sampling)
-    g = grids(image)
+    """Blocks in the order of a scan, their components' places in it, and the blocks of an MCU. Not to be written to: small pictures of one shape share them."""
+    small = image.width * image.height <= MOST_SHARED
+    return (shared_order if small else order)(image.width, image.height, image.sampling, components)
+
+
+def order(width: int, height: int, sampling: tuple[tuple[int, int], ...], components: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray, int]:
+    h, v = max(s[0] for s in sampling), max(s[1] for s in sampling)
+    g = grids(Image(width, height, sampling, (), []))
     if len(components) == 1:
-        (x, y), (_, columns, at) = image.sampling[components[0]], g[components[0]]
-        rows, wide = -(-image.height * y // (8 * v)), -(-image.width * x // (8 * h))
+        (x, y), (_, columns, at) = sampling[components[0]], g[components[0]]
+        rows, wide = -(-height * y // (8 * v)), -(-width * x // (8 * h))
         blocks = at + (np.arange(rows)[:, None] * columns + np.arange(wide)).reshape(-1)
         return blocks, np.zeros(len(blocks), np.int64), 1
-    across, down = -(-image.width // (8 * h)), -(-image.height // (8 * v))
+    across, down = -(-width // (8 * h)), -(-height // (8 * v))
     parts, which = [], []
     for k, c in enumerate(components):
-        (x, y), (_, columns, at) = image.sampling[c], g[c]
+        (x, y), (_, columns, at) = sampling[c], g[c]
         my, mx, by, bx = np.ix_(np.arange(down), np.arange(across), np.arange(y), np.arange(x))
         parts.append((at + (my * y + by) * columns + mx * x + bx).reshape(down * across, -1))
         which += [k] * (x * y)
     return np.concatenate(parts, 1).reshape(-1), np.tile(which, down * across), len(which)
 
 
+#: Pixels of a picture whose order is held, and how many orders are (a picture has up to four).
+MOST_SHARED = 1 << 18
+shared_order = functools.lru_cache(maxsize=1024)(order)
+
+
 def parse(stream: bytes) -> Image:
     raw = np.frombuffer(stream, np.uint8)
     ff = np.flatnonzero(raw[:-1] == 0xFF)

@@ -3,7 +3,8 @@
 A payload of bytes is stored in the format's own unit, quantised DCT coefficients: each byte less `OFFSET` is one
 coefficient, 64 to a block, six blocks to an MCU (4:2:0), so the stored form is an ordinary progressive JPEG and gives every byte back. Reading
 gathers all scans (spectral selection, successive approximation) into coefficient arrays, transforms them back in numpy, upsamples
-chroma and gives full-resolution RGB. Rows stay where they are; tasks work on a few megabytes at a time.
+chroma and gives full-resolution RGB tensors. Pictures are written as a table and read from it; tensors are columns of the result.
+Rows stay where they are; tasks work on a few megabytes at a time.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tracewright.llm import jpeg
-from tracewright.llm.common import ship, text_of
+from tracewright.llm.common import ship, stored, text_of
 from tracewright.llm.word_encoder import slices
 
 UNIT, OFFSET, MCU = 192, 106, 384
@@ -76,7 +77,7 @@ def store(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", text_of(docs).alias("text")).mapInArrow(encode, f"doc_id {id_type}, n_bytes long, media binary")
 
 
-def read_back(media: DataFrame, tensors: bool = False) -> DataFrame:
+def read_back(media: DataFrame, tensors: bool = True) -> DataFrame:
     """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature of stored pictures; with `tensors` also height, width and rgb (bytes by row, pixel, colour)."""
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,11 +101,16 @@ def read_back(media: DataFrame, tensors: bool = False) -> DataFrame:
     return media.select("doc_id", "n_bytes", "media").mapInArrow(decode, fields + ", height int, width int, rgb binary" * tensors)
 
 
-def media_columns(docs: DataFrame, tensors: bool = False) -> DataFrame:
-    """One row for each row of docs, stored and read back.
+def media_columns(docs: DataFrame, tensors: bool = True) -> DataFrame:
+    """One row for each row of docs, written as pictures to the shared folder and read back; the tensor (height, width, rgb) unless `tensors` is False.
 
     A null text counts as empty. Equal texts give equal values wherever they lie: all arithmetic is in whole numbers. Repeated
     rows, ties and null doc_ids are stored each for itself. Only doc_id and text are read. A very long text makes a picture with more MCUs to a row.
     An empty table gives an empty result.
     """
-    return read_back(store(docs), tensors)
+    return read_back(stored(store(docs), "media", compression="zstd"), tensors)
+
+
+def write_tensors(pictures: DataFrame, path: str, row_group: int = 16 << 20) -> None:
+    """Write the result of media_columns as Parquet, in row groups of about `row_group` bytes, so that a reader holds few tensors at once."""
+    pictures.write.option("parquet.block.size", row_group).option("compression", "zstd").parquet(path)
