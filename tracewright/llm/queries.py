@@ -108,19 +108,25 @@ FROM p
 """
 
 def op8_sql() -> str:
-    """The sentences by SQL; each rule as a pattern over the sequence of identifiers, the same as in licenses.py."""
-    values = ", ".join(f"('{s}', '{i}')" for s, i in licenses.known().items())
-    rules = ", ".join(f"({k}, '{name}', '{licence}', {commercial}, {list(seq)})" for k, (name, licence, commercial, seq) in enumerate(licenses.RULES))
+    """The tables of sentences and rules as they stand in licenses.py; what is made of them is said here anew: splitting, identifiers of parts, sequences, order."""
+    text = lambda x: "'" + x.replace("'", "''") + "'"
+    values = ", ".join(f"({k}, {text(i)}, {text(s)})" for k, (i, s) in enumerate([*licenses.IN_SHORT.items(), *licenses.SENTENCES.items()]))
+    rules = ", ".join(f"({k}, {text(name)}, {text(licence)}, {commercial}, {list(seq)})" for k, (name, licence, commercial, seq) in enumerate(licenses.RULES))
+    cut = lambda x: rf"string_split(regexp_replace(regexp_replace({x}, '[.!?;]+([\x20\x09-\x0D])', chr(10) || '\1', 'g'), '[.!?;]+$', ''), chr(10))"
     return rf"""
-WITH known(sentence, id) AS (VALUES {values}),
-rule(k, name, licence, commercial, seq) AS (VALUES {rules}),
+WITH raw(place, id, sentence) AS (VALUES {values}),
+cut AS (SELECT place, id, list_filter(list_transform({cut("sentence")}, lambda x: trim(regexp_replace(lower(x), '[^a-z0-9]+', ' ', 'g'))), lambda x: x <> '') AS parts FROM raw),
+known AS (SELECT arg_max(id || CASE WHEN k > 1 THEN '.' || k ELSE '' END, place) AS id, part AS sentence FROM (SELECT place, id, unnest(parts) AS part, generate_subscripts(parts, 1) AS k FROM cut) GROUP BY part),
+asked(k, name, licence, commercial, ids) AS (VALUES {rules}),
+rule AS (
+  SELECT a.k, name, licence, commercial, list(known.id ORDER BY a.at, p.i) AS seq
+  FROM (SELECT k, name, licence, commercial, unnest(ids) AS id, generate_subscripts(ids, 1) AS at FROM asked) a
+  JOIN (SELECT id, unnest(parts) AS part, generate_subscripts(parts, 1) AS i FROM cut QUALIFY place = max(place) OVER (PARTITION BY id)) p ON p.id = a.id
+  JOIN known ON known.sentence = p.part GROUP BY ALL),
 wider AS (
   SELECT a.k AS small, b.k AS big FROM rule a JOIN rule b ON len(a.seq) < len(b.seq)
   AND regexp_matches(',' || array_to_string(b.seq, ',') || ',', ',' || array_to_string(a.seq, ',(.*,)?') || ',')),
-s AS (
-  SELECT doc_id, unnest(string_split(regexp_replace(regexp_replace(coalesce(text, ''), '[.!?;]+([\x20\x09-\x0D])', chr(10) || '\1', 'g'), '[.!?;]+$', ''), chr(10))) AS sentence,
-         generate_subscripts(string_split(regexp_replace(regexp_replace(coalesce(text, ''), '[.!?;]+([\x20\x09-\x0D])', chr(10) || '\1', 'g'), '[.!?;]+$', ''), chr(10)), 1) AS i
-  FROM documents),
+s AS (SELECT doc_id, unnest({cut("coalesce(text, '')")}) AS sentence, generate_subscripts({cut("coalesce(text, '')")}, 1) AS i FROM documents),
 m AS (
   SELECT s.doc_id, s.i, s.sentence, k.id FROM s LEFT JOIN known k ON k.sentence = trim(regexp_replace(lower(s.sentence), '[^a-z0-9]+', ' ', 'g'))
   WHERE regexp_matches(s.sentence, '[A-Za-z0-9]')),
