@@ -50,7 +50,8 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id: int = EN
 
     `boundary` says that the document goes on in the next sequence. A null or empty text is its end id alone. Repeated
     rows are packed each; ties do not arise, for the order is that of the partitions. A null doc_id stays null. Only
-    doc_id and text are read. A very long text is cut into as many pieces as it needs. An empty table gives no piece. with_ids adds the piece's ids (binary).
+    doc_id and text are read. A very long text is cut into as many pieces as it needs (its ids are one value of a column, so
+    2 ** 29 of them at most: a text of over 2 GB, which Spark's own strings cannot be). An empty table gives no piece. with_ids adds the piece's ids (binary).
     """
     first = stored(encoded(docs, tokenizer, end_id), "packed-ids", compression="zstd")
     totals = first.groupBy("part").agg(F.max(F.col("before") + F.col("doc_tokens")).alias("total"))
@@ -73,7 +74,7 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id: int = EN
 
 
 def sequences(pieces: DataFrame, length: int = LENGTH, pad_id: int = 0) -> DataFrame:
-    """The sequences themselves, from pieces with ids: sequence_id, n_tokens, ids (binary of `length` ids, padded at the end)."""
+    """The sequences themselves, from pieces with ids: sequence_id, n_tokens, ids (binary of `length` ids, padded at the end). Other columns are left out; no piece gives no sequence."""
     ordered = F.array_sort(F.collect_list(F.struct("offset", "piece")))
     joined = F.aggregate(ordered, F.lit(b""), lambda a, x: F.concat(a, x["piece"]))
     pad = F.lit(int(pad_id).to_bytes(4, "little") * length)

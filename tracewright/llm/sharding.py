@@ -9,6 +9,7 @@ look-up in a broadcast table whose size is fixed by the parameter `slots`, never
 from __future__ import annotations
 
 import hashlib
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from tracewright.llm.common import P
 
 SLOTS = 4099
+ROWS_A_FILE = 100_000
 SHARDS = tuple(f"shard-{i:02d}" for i in range(16))
 
 
@@ -63,7 +65,17 @@ def place(df: DataFrame, key: str = "doc_id", shards: tuple[str, ...] = SHARDS,
     return placed.withColumns({"slot": F.col(f"{P}slot"), "shard": F.col(f"{P}shard")}).drop(f"{P}slot", f"{P}shard")
 
 
-def write_shards(df: DataFrame, path: str, key: str = "doc_id", shards: tuple[str, ...] = SHARDS, slots: int = SLOTS, files: int = 1) -> None:
-    """Write df as one folder for each shard; `files` parts of each keep a large shard from one task."""
+def write_shards(df: DataFrame, path: str, key: str = "doc_id", shards: tuple[str, ...] = SHARDS, slots: int = SLOTS, rows_a_file: int = ROWS_A_FILE) -> None:
+    """Write df as one folder for each shard, in files of about `rows_a_file` rows, each written by one task, however large the shard.
+
+    Rows of a shard are dealt to its files by a hash of the row, so one key that a third of all rows have is spread too; rows that are alike in
+    all columns share a file, which is written in turns of twice `rows_a_file`. Null keys go to the shard of their slot; equal keys (ties,
+    repeated rows) share a shard; an empty table gives an empty folder; columns named shard and slot are replaced.
+    """
     placed = place(df, key, shards, slots)
-    placed.repartition(len(shards) * files, "shard", F.pmod(F.col("slot"), F.lit(files))).write.partitionBy("shard").parquet(path)
+    sizes = {r["shard"]: r["n"] for r in placed.groupBy("shard").agg(F.count("*").alias("n")).collect()}  # a row for each shard
+    files = [max(1, -(-sizes.get(k, 0) // rows_a_file)) for k in range(len(shards))]
+    hashed = [f.name for f in df.schema.fields if not re.search("map|variant", f.dataType.simpleString())]
+    file = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in hashed]), F.element_at(F.array(*map(F.lit, files)), F.col("shard") + 1))
+    dealt = placed.withColumn(f"{P}file", file).repartition(sum(files), "shard", f"{P}file").drop(f"{P}file")
+    dealt.write.option("maxRecordsPerFile", 2 * rows_a_file).partitionBy("shard").parquet(path)
