@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from tracewright.llm.common import P, ship, stored, text_of
 from tracewright.llm.components import components
+from tracewright.llm.filters import Filter
 from tracewright.llm.word_encoder import slices
 
 WORDS, PERCENT, COORDINATES, BANDS = 5, 75, 128, 32
@@ -186,14 +187,15 @@ def near_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     buckets = stored(members.join(first.hint("merge"), "band"), "buckets")
 
     wanted = buckets.select("node").distinct()
-    holders = classes.join(wanted.hint("merge"), "node").select(F.col("smallest").alias(f"{P}doc")).distinct()
-    held = docs.join(holders, docs["doc_id"].eqNullSafe(F.col(f"{P}doc")), "left_semi").select("doc_id", "text")
+    holders = stored(classes.join(wanted.hint("merge"), "node").select(F.col("smallest").alias(f"{P}doc")).distinct(), "holders")
+    held = Filter(holders, f"{P}doc").may_hold(docs.select("doc_id", "text"), "doc_id")  # other texts do not move
+    held = held.join(holders.hint("merge"), held["doc_id"].eqNullSafe(F.col(f"{P}doc")), "left_semi")
     sets = stored(shingled(held).join(wanted.hint("merge"), "node", "left_semi").dropDuplicates(["node"]), "sets")  # a doc_id may have several texts
 
     fits = lambda n, m: 100 * F.least(n, m) >= percent * F.greatest(n, m)
     to = lambda leader: buckets.where((F.col("node") != F.col(f"{leader}.node")) & fits(F.col("n"), F.col(f"{leader}.n"))).select(F.least("node", f"{leader}.node").alias("a"), F.greatest("node", f"{leader}.node").alias("b"))
     links = stored(linked(to("one").union(to("other")).distinct(), sets, percent).where("linked").select("a", "b"), "links")
-    found = stored(across(_apart(buckets, components(links)), sets, percent).distinct(), "links")
+    found = stored(across(_apart(buckets, components(links)), sets, percent), "links")
     roots = components(links.union(found))
 
     # only what is linked is looked at again: the smallest doc_id of each component, then of each node
@@ -208,8 +210,9 @@ def near_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 
 def _apart(buckets: DataFrame, roots: DataFrame) -> DataFrame:
-    """(band, node, n, root): the members of buckets that hold more than one component."""
-    rooted = buckets.select("band", "node", "n").join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    """(band, node, n, root): the members of buckets that hold more than one component, without the leaders, which are compared with all."""
+    rest = buckets.where((F.col("node") != F.col("one.node")) & (F.col("node") != F.col("other.node"))).select("band", "node", "n")
+    rooted = rest.join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     several = rooted.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
     return stored(rooted.join(several.select("band").hint("merge"), "band", "left_semi"), "apart")
 
