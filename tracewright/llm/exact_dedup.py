@@ -100,14 +100,16 @@ def exact_dedup(docs: DataFrame, digest: Callable[[Column], Column] = sha256, ba
     spread = models.select(DIGEST, f"{P}model", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias(f"{P}part"))
     compared = hits.withColumn(f"{P}part", F.pmod(F.xxhash64(FIRST), parts)).join(spread.hint("merge"), [DIGEST, f"{P}part"])
     compared = stored(compared.withColumn(f"{P}equal", F.col(NORMAL) == F.col(f"{P}model")).select(DIGEST, FIRST, KEEP, ROWS, f"{P}equal", F.when(~F.col(f"{P}equal"), F.col(NORMAL)).alias(NORMAL)), "compared")
-    # texts that a digest threw together with others form groups of their own
-    other = compared.where(~F.col(f"{P}equal"))
-    groups = other.groupBy(DIGEST, NORMAL).agg(F.min(FIRST).alias(f"{P}keep2"), F.count("*").alias("group_size"))
-    strayed = other.groupBy(DIGEST).agg(F.count("*").alias(f"{P}strayed"))
     row = lambda keep: [F.col(f"{FIRST}.doc_id").alias("doc_id"), F.col(f"{keep}.doc_id").alias("keep_id"), "group_size", (F.col(FIRST) == F.col(keep)).alias("kept"), DIGEST]
-    verified = compared.where(f"{P}equal").drop(NORMAL).join(strayed, DIGEST, "left").withColumn("group_size", F.col(ROWS) - F.coalesce(f"{P}strayed", F.lit(0))).select(*row(KEEP))
-    apart = other.join(groups, [DIGEST, NORMAL]).select(*row(f"{P}keep2"))
-    every = single.unionByName(verified).unionByName(apart)
+    verified, other = compared.where(f"{P}equal").drop(NORMAL), compared.where(~F.col(f"{P}equal"))
+    if other.isEmpty():
+        every = single.unionByName(verified.withColumnRenamed(ROWS, "group_size").select(*row(KEEP)))
+    else:  # texts that a digest threw together with others form groups of their own
+        groups = other.groupBy(DIGEST, NORMAL).agg(F.min(FIRST).alias(f"{P}keep2"), F.count("*").alias("group_size"))
+        strayed = stored(other.groupBy(DIGEST).agg(F.count("*").alias(f"{P}strayed")), "strayed")
+        left = verified.join(strayed.hint("merge"), DIGEST, "left").withColumn("group_size", F.col(ROWS) - F.coalesce(f"{P}strayed", F.lit(0)))
+        apart = other.join(stored(groups, "groups").hint("merge"), [DIGEST, NORMAL])
+        every = single.unionByName(left.select(*row(KEEP))).unionByName(apart.select(*row(f"{P}keep2")))
     if digest is sha256:
         return every.withColumn("text_sha256", F.lower(F.hex(DIGEST))).drop(DIGEST)
     return every.withColumn("text_sha256", F.lit(None).cast("string")).drop(DIGEST)
