@@ -10,6 +10,7 @@ built-in expressions on the row itself: no shuffle, no Python.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -273,6 +274,23 @@ def known(sentences: dict[str, str] = SENTENCES) -> dict[str, str]:
     return {part: i if k == 0 else f"{i}.{k + 1}" for i, s in pairs for k, part in enumerate(parts_of(s))}
 
 
+def any_of(sentences: Iterable[str]) -> str:
+    """A pattern for any of the sentences, whose words a space or a line end parts: what begins alike is tried once, and longer ones before those that they begin with."""
+    tree: dict = {}
+    for sentence in sentences:
+        node = tree
+        for word in sentence.split(" "):
+            node = node.setdefault(word, {})
+        node[""] = {}
+
+    def pattern(node: dict) -> str:
+        ways = [word + (pattern(below) if below else "") for word, below in sorted(node.items()) if word]
+        rest = "[ \n](?:" + "|".join(ways) + ")"
+        return "" if not ways else f"(?:{rest})?" if "" in node else rest
+
+    return "(?:" + pattern(tree).removeprefix("[ \n]") + ")"
+
+
 def sequence(rule: tuple[str, ...], sentences: dict[str, str] = SENTENCES) -> list[str]:
     """The identifiers that a rule asks for, with those of all parts of its sentences."""
     table = known(sentences)
@@ -323,8 +341,7 @@ def licences(docs: DataFrame, sentences: dict[str, str] = SENTENCES, rules=RULES
     lines = F.regexp_replace(F.regexp_replace(ended, "[^a-z0-9\n]+", " "), " ?\n ?", "\n")
     marked = F.concat(F.lit("X"), F.trim(F.regexp_replace(lines, "\n\n+", "X")), F.lit("X"))
     # whole lines or sentences, the longest first: a known sentence may be wrapped, but begins and ends where a line does
-    any_of = "|".join(s.replace(" ", "[ \n]") for s in sorted(table, key=len, reverse=True))
-    hits = F.regexp_extract_all(marked, F.lit(f"[X\n]({any_of})(?=[X\n])"), F.lit(1))
+    hits = F.regexp_extract_all(marked, F.lit(f"[X\n]({any_of(table)})(?=[X\n])"), F.lit(1))
     found = docs.select("doc_id", n_sentences.alias("n_sentences"), hits.alias(f"{P}hits"))
     ids = found.withColumn("sentence_ids", F.transform(f"{P}hits", lambda s: F.element_at(wanted, F.translate(s, "\n", " "))))
     none = F.array().cast(FOUND)
