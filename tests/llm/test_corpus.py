@@ -364,8 +364,12 @@ def test_sharding(odd, empty):
 
 
 def test_sharded_files(spark, odd, tmp_path):
-    sharding.write_shards(odd.select("doc_id", "text"), str(tmp_path / "out"), files=2)
+    sharding.write_shards(odd.select("doc_id", "text"), str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == odd.count()
+    hot = spark.range(6000).select(F.lit(5).alias("doc_id"), F.col("id").alias("x"))  # one key
+    sharding.write_shards(hot, str(tmp_path / "hot"), rows_a_file=100)
+    written = spark.read.parquet(str(tmp_path / "hot")).groupBy(F.input_file_name().alias("file")).count().collect()
+    assert len(written) > 30 and max(r["count"] for r in written) <= 200 and sum(r["count"] for r in written) == 6000
 
 
 def test_licence_rules(spark, odd, empty):
@@ -452,6 +456,31 @@ def test_mixing_targets_and_draws(spark, odd, empty):
     assert out.select(F.sum(mixing.n_words(F.col("text")))).first()[0] == sum(r["taken"] for r in plan)
 
 
+def test_targets_of_many_sources(spark):
+    """Repeated sharing, against a loop over one list; more sources than a tree holds."""
+    rng = random.Random(12)
+    sizes = [(f"h{k:04d}", rng.choice((0, 1, 5, 40, 3000))) for k in range(900)] + [(None, 7)]
+    got = {r[mixing.SOURCE]: (r["rank"], r["weight"], r["target"]) for r in mixing.targets(spark.createDataFrame(sizes, f"{mixing.SOURCE} string, {mixing.SIZE} long").repartition(5), cap=3).collect()}
+    total, weight = sum(n for _, n in sizes), {s: (5, 2, 1)[k % 3] for k, (s, _) in enumerate(sizes)}
+    full: set = set()
+    while True:
+        left, share = total - 3 * sum(n for s, n in sizes if s in full), sum(w for s, w in weight.items() if s not in full)
+        more = {s for s, n in sizes if s not in full and weight[s] * left >= 3 * n * share}
+        if not more:
+            break
+        full |= more
+    for k, (s, n) in enumerate(sizes):
+        assert got[s][:2] == (k + 1, weight[s]) and got[s][2] == pytest.approx(3 * n if s in full else weight[s] * left / share)
+    assert sum(t for _, _, t in got.values()) == pytest.approx(total)
+    docs = docs_of(spark, [(k, "w " * (k % 7), s) for k, (s, _) in enumerate(sizes)])
+    plan = mixing.mix_plan(docs).collect()
+    by = {}
+    for r in plan:
+        by.setdefault(r["source"], [r["target"], 0])[1] += r["taken"]
+    assert all(abs(t - n) <= 1 for t, n in by.values())
+    assert mixing.mixture(docs).select(F.sum(mixing.n_words(F.col("text")))).first()[0] == sum(r["taken"] for r in plan)
+
+
 def test_splitting_tree_is_exact(spark):
     plan = spark.createDataFrame([(1, 10, 25), (2, 3, 3), (3, 5, 0), (4, 40, 70)], "rank long, n_blocks long, quota long")
     rows = mixing.draws_by_shard(plan, 8, "s").collect()
