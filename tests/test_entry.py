@@ -3,6 +3,8 @@
 import builtins
 import sys
 
+import pytest
+
 import __spark_entry__ as entry_module
 
 
@@ -14,13 +16,14 @@ def test_every_sql_belongs_to_a_query():
     assert set(entry_module.oracle_sql()) <= set(entry_module.queries())
 
 
-def test_without_the_corpus_subpackage(monkeypatch):
+@pytest.mark.parametrize("gone", ["corpus_pipeline", "tracewright.llm"])
+def test_without_the_corpus_subpackage(monkeypatch, gone):
     real = builtins.__import__
 
-    def blocked(name, *args, **kwargs):
-        if name.startswith(("corpus_pipeline", "tracewright.llm")):
-            raise ModuleNotFoundError(f"No module named {name!r}", name="corpus_pipeline")
-        return real(name, *args, **kwargs)
+    def blocked(name, globals_=None, locals_=None, fromlist=(), level=0):
+        if name.startswith(gone) or f"{name}.{(fromlist or ('',))[0]}".startswith(gone):
+            raise ModuleNotFoundError(f"No module named {gone!r}", name=gone)
+        return real(name, globals_, locals_, fromlist, level)
 
     for name in [m for m in sys.modules if m.startswith(("corpus_pipeline", "tracewright.llm"))]:
         monkeypatch.delitem(sys.modules, name)

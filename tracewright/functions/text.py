@@ -10,9 +10,27 @@ from pyspark.sql import functions as F
 from tracewright.functions.fixed_values import DIFFICULTY, EVIDENCE, INTENTION
 
 
+#: What Unicode calls white space, within a character class of Java's or RE2's; their own \s is ASCII's.
+SPACES = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+
+
+def spaced(pattern: str) -> str:
+    """The pattern with each \\s as any Unicode white space, inside character classes and outside; all else stays."""
+    out, inside, at = [], False, 0
+    while at < len(pattern):
+        two = pattern[at : at + 2]
+        if two == r"\s":
+            out.append(SPACES if inside else f"[{SPACES}]")
+        else:
+            inside = two == "[^" or two[0] == "[" or (inside and two[0] != "]")
+            out.append(two if two[0] == "\\" else two[0])
+        at += len(out[-1]) if two != r"\s" else 2
+    return "".join(out)
+
+
 def phrase_pattern(phrases: Iterable[str]) -> str:
     """Java pattern for any of the phrases as whole words: no ASCII letter or digit touches either end."""
-    alternatives = "|".join(p.replace(" ", r"\s+") for p in phrases)
+    alternatives = "|".join(p.replace(" ", f"[{SPACES}]+") for p in phrases)
     return rf"(?<![a-z0-9])(?:{alternatives})(?![a-z0-9])"
 
 

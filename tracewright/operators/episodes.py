@@ -46,11 +46,28 @@ def merged_spans(candidates: DataFrame, most: int = MOST_EPISODES) -> DataFrame:
     return merged.agg(F.min("start_index").alias("start_index"), F.max("end_index").alias("end_index"))
 
 
-def span_messages(messages: DataFrame, spans: DataFrame) -> DataFrame:
-    """The assistant messages of each span: a join by trace with the range as its condition."""
-    s = spans.withColumnRenamed("trace_id", "span_trace")
-    inside = (F.col("trace_id") == F.col("span_trace")) & F.col("msg_index").between(F.col("start_index"), F.col("end_index"))
-    return messages.where("role = 'assistant'").join(s, inside).drop("span_trace")
+def tagged(messages: DataFrame, most: int = MOST_EPISODES) -> DataFrame:
+    """The messages inside spans, with episode_no: the rows of merged_spans' first `most` spans of each trace, told on the messages themselves.
+
+    Indexes are dense, so joined spans are the runs of messages that some candidate's span covers, and a span reaches two messages back and three
+    on at most. All windows share one order: no join, and one exchange for them and whatever groups by trace.
+    """
+    agent, trace = F.col("role") == "assistant", Window.partitionBy("trace_id").orderBy("msg_index")
+    nearest = F.max(F.when(agent & F.col("has_intention"), F.col("msg_index"))).over(trace.rowsBetween(-2, -1))
+    outcome = F.min(F.when(agent & F.col("has_outcome"), F.col("msg_index"))).over(trace.rowsBetween(1, 3))
+    last = F.max(F.when(agent, F.col("msg_index"))).over(trace.rowsBetween(0, 3))
+    candidate = F.col("is_candidate")
+    spans = flagged(messages).withColumns({"__start": F.when(candidate, F.coalesce(nearest, "msg_index")), "__end": F.when(candidate, F.coalesce(outcome, last))})
+    behind, ahead = F.max("__end").over(trace.rowsBetween(-3, 0)), F.min("__start").over(trace.rowsBetween(1, 2))
+    covered = spans.withColumn("__in", F.coalesce(behind >= F.col("msg_index"), F.lit(False)) | F.coalesce(ahead <= F.col("msg_index"), F.lit(False)))
+    opens = covered.withColumn("__opens", (F.col("__in") & ~F.lag("__in", 1, False).over(trace)).cast("int"))
+    numbered = opens.withColumn("episode_no", F.sum("__opens").over(trace.rowsBetween(Window.unboundedPreceding, 0)))
+    return numbered.where(F.col("__in") & (F.col("episode_no") <= most)).select(*messages.columns, "episode_no")
+
+
+def span_messages(messages: DataFrame) -> DataFrame:
+    """The assistant messages of each span, with episode_no."""
+    return tagged(messages).where("role = 'assistant'")
 
 
 def classified(df: DataFrame) -> DataFrame:
@@ -102,10 +119,11 @@ def key_sentences(df: DataFrame) -> DataFrame:
     })
 
 
-def combined(messages: DataFrame, spans: DataFrame) -> DataFrame:
-    """A row for each episode: its span, the texts of its messages in order, and the times of the first and last."""
-    inside = span_messages(messages, spans).groupBy("trace_id", "episode_no", "start_index", "end_index")
-    ordered = inside.agg(F.array_sort(F.collect_list(F.struct("msg_index", "text", "timestamp"))).alias("said"))
+def combined(messages: DataFrame) -> DataFrame:
+    """A row for each episode: its span, the texts of its assistant messages in order, and the times of the first and last."""
+    said = F.collect_list(F.when(F.col("role") == "assistant", F.struct("msg_index", "text", "timestamp")))
+    grouped = tagged(messages).groupBy("trace_id", "episode_no")
+    ordered = grouped.agg(F.min("msg_index").alias("start_index"), F.max("msg_index").alias("end_index"), F.array_sort(said).alias("said"))
     ends = {"start_time": F.get("said", F.lit(0))["timestamp"], "end_time": F.get("said", F.size("said") - 1)["timestamp"]}
     return ordered.withColumns({"combined": F.array_join(F.transform("said", lambda m: m["text"]), "\n\n"), **ends}).drop("said")
 
@@ -118,8 +136,7 @@ COLUMNS = (
 
 def episodes(messages: DataFrame) -> DataFrame:
     """One row for each difficulty episode, with COLUMNS; evidence_quotes is an array of three at most."""
-    spans = merged_spans(candidate_spans(messages))
-    told = classified(key_sentences(combined(messages, spans)))
+    told = classified(key_sentences(combined(messages)))
     quotes = F.transform(F.filter(F.array("difficulty_sentence", "shift_sentence", "outcome_sentence"), lambda s: s != ""), lambda s: X.trim_words(s, 30))
     said = lambda c: X.spoken(F.col(c))
     topic = X.trim_words(F.col("difficulty_sentence"), 8)

@@ -45,6 +45,8 @@ def sampled(messages: DataFrame, budget: int = 16000, each: int = 320) -> DataFr
     return chosen.select("trace_id", "msg_index", line.alias("line"))
 
 
-def trace_title(agent: Column, stem: Column) -> Column:
+def trace_title(agent: Column, stem: Column, original: Column | None = None) -> Column:
+    """'<agent> trace: <stem>', or '<agent> · <original name>' where a log was handed over under a name of its own."""
     name = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for p in AGENT_NAMES.items() for x in p]), agent), F.lit("Agent"))
-    return F.concat(name, F.lit(" trace: "), stem)
+    plain = F.concat(name, F.lit(" trace: "), stem)
+    return plain if original is None else F.when(F.coalesce(original, F.lit("")) != "", F.concat(name, F.lit(" · "), original)).otherwise(plain)

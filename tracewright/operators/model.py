@@ -44,7 +44,7 @@ def _objects(text: str) -> Iterator[dict]:
 def read_answer(content: str | None) -> dict:
     """The report in a model's answer: bare, fenced, or the last object in prose. Raises ValueError if there is none with a list of episodes."""
     if not isinstance(content, str) or not content.strip():
-        raise ValueError("Model response content was empty.")
+        raise ValueError(V.ANSWER_ERRORS["empty"])
     text = re.sub(r"\A```[a-zA-Z0-9]*\s*(.*?)\s*```\Z", r"\1", content.strip(), flags=re.DOTALL).strip()
     try:
         found = json.loads(text)
@@ -53,11 +53,11 @@ def read_answer(content: str | None) -> dict:
         for found in _objects(text):  # noqa: B007  the last one counts
             pass
         if found is None:
-            raise ValueError("Model response was not valid JSON.") from None
+            raise ValueError(V.ANSWER_ERRORS["json"]) from None
     if not isinstance(found, dict):
-        raise ValueError("Model response was not a JSON object.")
+        raise ValueError(V.ANSWER_ERRORS["object"])
     if not isinstance(found.get("episodes"), list):
-        raise ValueError("Model response did not include an 'episodes' list.")
+        raise ValueError(V.ANSWER_ERRORS["episodes"])
     return found
 
 
@@ -87,20 +87,23 @@ def _typed(found: dict) -> dict:
 
 
 def parsed(answers: DataFrame) -> DataFrame:
-    """trace_id, answer (ANSWER) from answers (trace_id, content); unsound ones have an error instead."""
+    """trace_id, answer (ANSWER) from answers (trace_id, content, and error where a model failed); unsound ones have an error instead."""
 
-    def parse(content: str | None) -> dict:
+    def parse(content: str | None, failure: str | None) -> dict:
         try:
-            return _typed(read_answer(content))
+            if failure is None:
+                return _typed(read_answer(content))
         except ValueError as error:
-            return {"error": f"ValueError: {str(error).rstrip('.')}", "verdict": None, "patterns": {}, "episodes": []}
+            failure = f"ValueError: {str(error).strip().rstrip('.')}"
+        return {"error": failure, "verdict": None, "patterns": {}, "episodes": []}
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            yield frame[["trace_id"]].assign(answer=[parse(c) for c in frame["content"]])
+            yield frame[["trace_id"]].assign(answer=[parse(c, e) for c, e in zip(frame["content"], frame["error"], strict=True)])
 
     kind = answers.schema["trace_id"].dataType.simpleString()
-    return answers.select("trace_id", "content").mapInPandas(run, f"trace_id {kind}, answer {ANSWER}")
+    told = answers if "error" in answers.columns else answers.withColumn("error", F.lit(None).cast("string"))
+    return told.select("trace_id", "content", "error").mapInPandas(run, f"trace_id {kind}, answer {ANSWER}")
 
 
 def clean(text: Column) -> Column:
@@ -140,7 +143,7 @@ def model_verdict(answers: DataFrame) -> DataFrame:
     """trace_id, tone, headline, detail, honesty of sound answers that give a verdict."""
     v = lambda f: F.col(f"answer.verdict.{f}")
     tone, honesty = F.lower(v("tone")), F.lower(v("honesty"))
-    headline = F.when(clean(v("headline")) != "", clean(v("headline"))).otherwise("Session analyzed by the model.")
+    headline = F.when(clean(v("headline")) != "", clean(v("headline"))).otherwise(V.MODEL_HEADLINE)
     return answers.where("answer.error IS NULL AND answer.verdict IS NOT NULL").select(
         "trace_id", F.when(tone.isin(*V.SEVERITY), tone).otherwise("unknown").alias("tone"), headline.alias("headline"), clean(v("detail")).alias("detail"),
         F.when(honesty.isin(*V.HONESTY), honesty).otherwise("mixed").alias("honesty"),
@@ -150,7 +153,7 @@ def model_verdict(answers: DataFrame) -> DataFrame:
 def take_over(own: DataFrame, answers: DataFrame, messages: DataFrame) -> DataFrame:
     """Episodes of each trace: the model's where its answer is sound, else the rules' own."""
     sound = answers.where("answer.error IS NULL").select("trace_id")
-    return own.join(sound, "trace_id", "left_anti").unionByName(model_episodes(answers, messages).withColumn("start_index", F.col("start_index")))
+    return own.join(sound, "trace_id", "left_anti").unionByName(model_episodes(answers, messages))
 
 
 def prompts(lines: DataFrame, episodes: DataFrame) -> DataFrame:
@@ -166,17 +169,28 @@ def prompts(lines: DataFrame, episodes: DataFrame) -> DataFrame:
 
 
 def generate(asked: DataFrame, model: Callable[[str], str]) -> DataFrame:
-    """trace_id, content: answers of an injected model, called in the tasks; a failing call gives null."""
+    """trace_id, content, error: answers of an injected model, called in the tasks; a call that fails gives its error's name and text instead."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            answers = []
+            answers, errors = [], []
             for prompt in frame["prompt"]:
                 try:
                     answers.append(model(prompt))
-                except Exception:  # a failing model leaves the rules' result standing
+                    errors.append(None)
+                except Exception as error:  # noqa: BLE001  a failing model leaves the rules' result standing
                     answers.append(None)
-            yield frame[["trace_id"]].assign(content=answers)
+                    errors.append(f"{type(error).__name__}: {str(error).strip().rstrip('.')}")
+            yield frame[["trace_id"]].assign(content=answers, error=errors)
 
     kind = asked.schema["trace_id"].dataType.simpleString()
-    return asked.select("trace_id", "prompt").mapInPandas(run, f"trace_id {kind}, content string")
+    return asked.select("trace_id", "prompt").mapInPandas(run, f"trace_id {kind}, content string, error string")
+
+
+def engine_notes(engine: str, answers: DataFrame | None) -> DataFrame | Column:
+    """For a known engine, trace_id, engine (the model's name, where its answer is sound) and model_notes; for an unknown one, the note."""
+    if answers is None:
+        return F.array(F.lit(V.MODEL_NOTES["unknown"] % engine))
+    sound, name = F.col("answer.error").isNull(), V.MODELS[engine]
+    note = F.when(sound, F.lit(V.MODEL_NOTES["produced"] % name)).otherwise(F.format_string(V.MODEL_NOTES["unavailable"], F.col("answer.error")))
+    return answers.select("trace_id", F.when(sound, name).alias("engine"), F.array(note).alias("model_notes"))

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.functions.fixed_values import PERSONAL, REDACTIONS
+from tracewright.functions.fixed_values import PERSONAL, REDACTION_CLUES, REDACTIONS
+from tracewright.functions.text import spaced
 
 SPANS = "array<struct<start:int,end:int,label:string>>"
 
@@ -21,21 +23,46 @@ def java_replacement(replacement: str) -> str:
 def redact(df: DataFrame, column: str = "text") -> DataFrame:
     """df with `column` redacted, redactions (map of label to count, without zeros) and redaction_count.
 
-    The rules run in order, each on what the one before left, and each is counted on what it rewrites. A null text stays null with count 0.
+    The rules run in order, each on what the one before left, and each is counted on what it rewrites; a rule is tried where one of
+    its clues stands, and its matches are counted and replaced where there is one. A null text stays null with count 0.
     """
-    out, counts = df, []
-    for k, (_, pattern, replacement) in enumerate(REDACTIONS):
-        counts.append(f"__redacted_{k}")
-        out = out.withColumns({counts[-1]: F.coalesce(F.regexp_count(column, F.lit(pattern)), F.lit(0)), column: F.regexp_replace(column, pattern, java_replacement(replacement))})
-    pairs = F.array(*[F.struct(F.lit(label).alias("key"), F.col(c).cast("long").alias("value")) for (label, _, _), c in zip(REDACTIONS, counts, strict=True)])
-    found = F.map_from_entries(F.filter(pairs, lambda p: p["value"] > 0))
-    total = sum((F.col(c).cast("long") for c in counts), F.lit(0).cast("long"))
-    return out.withColumns({"redactions": found, "redaction_count": total}).drop(*counts)
+    labels = F.array(*[F.lit(label) for label, _, _ in REDACTIONS])
+    done = df.withColumn("__done", _bound(F.lower(column), lambda low: _all_rules(F.col(column), low)))  # no rule writes what is a clue to a later one
+    counts = F.col("__done.counts")
+    pairs = F.filter(F.zip_with(labels, counts, lambda label, n: F.struct(label.alias("key"), n.alias("value"))), lambda p: p["value"] > 0)
+    found = F.coalesce(F.map_from_entries(pairs), F.create_map().cast("map<string,bigint>"))
+    total = F.coalesce(F.aggregate(counts, F.lit(0).cast("long"), lambda n, c: n + c), F.lit(0))
+    return done.withColumns({column: F.col("__done.text"), "redactions": found, "redaction_count": total}).drop("__done")
+
+
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value worked out and written once however often it is used; a filter that Spark pushes below stays as short."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def _all_rules(text: Column, low: Column) -> Column:
+    """The text after all rules and the counts of each, as a struct; null for a null text."""
+    state = F.struct(text.alias("text"), F.array().cast("array<bigint>").alias("counts"))
+    for (_, pattern, replacement), clues in zip(REDACTIONS, REDACTION_CLUES, strict=True):
+        state = _bound(state, _one_rule(low, spaced(pattern), java_replacement(replacement), clues))
+    return F.when(text.isNotNull(), state)
+
+
+def _one_rule(low: Column, pattern: str, replacement: str, clues: tuple[str, ...]) -> Callable[[Column], Column]:
+    may = functools.reduce(Column.__or__, [low.contains(c) for c in clues], F.lit(not clues))
+
+    def after(s: Column) -> Column:
+        said = lambda text, n: F.struct(text.alias("text"), F.concat(s["counts"], F.array(n.cast("long"))).alias("counts"))
+        hit = may & F.rlike(s["text"], F.lit(pattern))
+        return F.when(hit, said(F.regexp_replace(s["text"], pattern, replacement), F.regexp_count(s["text"], F.lit(pattern)))).otherwise(said(s["text"], F.lit(0)))
+
+    return after
 
 
 def totals(redacted: DataFrame, *keys: str) -> DataFrame:
     """(keys, label, n): how often each rule rewrote something."""
-    return redacted.select(*keys, F.explode("redactions").alias("label", "n")).groupBy(*keys, "label").agg(F.sum("n").alias("n"))
+    # outer: Spark would push the filter of an inner one below the redaction and redact twice
+    return redacted.select(*keys, F.explode_outer("redactions").alias("label", "n")).where("label IS NOT NULL").groupBy(*keys, "label").agg(F.sum("n").alias("n"))
 
 
 def merge_spans(spans: Column, length: Column) -> Column:
@@ -74,11 +101,28 @@ def pii_counts(spans: Column) -> Column:
 
 
 def redact_personal(df: DataFrame, spans: Column, column: str = "text") -> DataFrame:
-    """df with personal data masked in `column`, pii (map of note name to count) and pii_count."""
-    merged = df.withColumn("__spans", merge_spans(spans, F.length(column)))
+    """df with personal data masked in `column`, pii (map of note name to count) and pii_count; where spans is null (a detector failed), nothing is."""
+    merged = df.withColumn("__spans", merge_spans(F.coalesce(spans, F.array().cast(SPANS)), F.length(column)))
     return merged.withColumns({column: mask(F.col(column), F.col("__spans")), "pii": pii_counts(F.col("__spans")), "pii_count": F.size("__spans").cast("long")}).drop("__spans")
 
 
+def added(a: Column, b: Column) -> Column:
+    """Two maps of label to count as one; counts of a label that both have add up."""
+    keys = F.array_sort(F.array_union(F.map_keys(a), F.map_keys(b)))
+    return F.map_from_arrays(keys, F.transform(keys, lambda k: F.coalesce(F.try_element_at(a, k), F.lit(0)) + F.coalesce(F.try_element_at(b, k), F.lit(0))))
+
+
+def two_passes(messages: DataFrame, detector: Callable[[list[str]], list[list[dict]]] | None = None, least: float = 0.5) -> DataFrame:
+    """messages with secrets redacted by patterns and then, where there is a detector, personal data by its spans; redactions and redaction_count
+    count both. screened says that the detector ran on a row, detector_error why not."""
+    first = redact(messages)
+    if detector is None:
+        return first.withColumns({"screened": F.lit(False), "detector_error": F.lit(None).cast("string")})
+    second = redact_personal(detect(first, detector, least=least), F.col("spans"))
+    both = {"redactions": added(F.col("redactions"), F.col("pii")), "redaction_count": F.col("redaction_count") + F.col("pii_count"), "screened": F.col("spans").isNotNull()}
+    return second.withColumns(both).drop("spans", "pii", "pii_count")
+
+
 def pattern_spans(text: Column, patterns: dict[str, str]) -> Column:
     """Spans of a detector made of patterns by label. A match is found by its text, so equal matches are located one after another."""
     pieces = [_located(text, pattern, label) for label, pattern in patterns.items()]
@@ -100,22 +144,39 @@ def _located(text: Column, pattern: str, label: str) -> Column:
 def detect(df: DataFrame, detector: Callable[[list[str]], list[list[dict]]], column: str = "text", least: float = 0.5) -> DataFrame:
     """df with spans from an injected detector, called on batches of texts in the tasks; blank texts have none, nor do spans of low score.
 
-    A detector that fails leaves spans null and its error's name in detector_error; the pattern redaction stands.
+    A batch that fails is tried again trace by trace (trace_id, where df has it): a trace that fails again has null spans and the
+    error's name in detector_error, is not tried any more by the task, and keeps its pattern redaction.
     """
     fields = [f for f in df.schema.fields if f.name not in ("spans", "detector_error")]
+    keep = lambda spans: [{k: s[k] for k in ("start", "end", "label")} for s in spans if s.get("start") is not None and s.get("end") is not None and float(s.get("score", 1.0)) >= least]
+
+    def found(texts: list[str]) -> list[list[dict]]:
+        answers = iter(detector([t for t in texts if t.strip()]))
+        return [keep(next(answers)) if t.strip() else [] for t in texts]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        failed = None
+        failed: dict[object, str] = {}
         for frame in frames:
-            texts, found = frame[column].fillna("").tolist(), None
-            if failed is None:
+            texts = frame[column].fillna("").tolist()
+            traces = frame["trace_id"].tolist() if "trace_id" in frame else [None] * len(texts)
+            spans: list = [None] * len(texts)
+            groups = [[k for k, t in enumerate(traces) if t not in failed]]
+            if groups[0]:
+                try:
+                    found_all = found([texts[k] for k in groups[0]])
+                    groups = []
+                    for k, s in zip([k for k, t in enumerate(traces) if t not in failed], found_all, strict=True):
+                        spans[k] = s
+                except Exception:  # noqa: BLE001  told apart below
+                    groups = [[k for k in groups[0] if traces[k] == t] for t in dict.fromkeys(traces[k] for k in groups[0])]
+            for rows in filter(None, groups):
                 try:
-                    answers = iter(detector([t for t in texts if t.strip()]))
-                    found = [next(answers) if t.strip() else [] for t in texts]
-                except Exception as error:  # any failure of a model degrades to patterns alone
-                    failed = type(error).__name__
-            keep = lambda spans: [{k: s[k] for k in ("start", "end", "label")} for s in spans if s.get("start") is not None and s.get("end") is not None and float(s.get("score", 1.0)) >= least]
-            yield frame.assign(spans=[keep(s) for s in found] if found is not None else [None] * len(frame), detector_error=failed)
+                    for k, s in zip(rows, found([texts[k] for k in rows]), strict=True):
+                        spans[k] = s
+                except Exception as error:  # noqa: BLE001  any failure of a model leaves patterns alone
+                    failed[traces[rows[0]]] = type(error).__name__
+            # a trace that fails later in a task is not half screened in this batch
+            yield frame.assign(spans=spans, detector_error=[failed.get(t) for t in traces])
 
     columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
     return df.select(*[f.name for f in fields]).mapInPandas(run, f"{columns}, spans {SPANS}, detector_error string")

@@ -7,85 +7,90 @@ from pyspark.sql import functions as F
 
 from tracewright.functions import fixed_values as V
 from tracewright.functions.text import spoken
-from tracewright.operators.summary import detour_groups, difficulty_clusters, in_order, lookup, patterns
+from tracewright.operators.summary import lookup
+
+T = V.REPORT
 
 
 def _joined(*parts, sep: str = "") -> Column:
     return F.concat_ws(sep, *[p if isinstance(p, Column) else F.lit(p) for p in parts])
 
 
-def episode_sections(episodes: DataFrame) -> DataFrame:
-    """trace_id, n_episodes, and the sections that list episodes: timeline, difficulty_map, detours, audit."""
-    e = F.col
-    block = _joined(
-        _joined("### ", e("episode_id"), " - ", e("title")), _joined("**Tone:** `", lookup(V.REPORT_TONES, e("recovery_pattern"), "unknown"), "`"), _joined("**Intention:** ", e("initial_intention")),
-        _joined("**Difficulty:** ", e("reported_difficulty")), _joined("**Shift:** ", e("strategy_after")), _joined("**Resolution mode:** `", e("resolution_mode"), "`"),
-        _joined("**Outcome claim:** `", e("outcome_claim"), "`"), _joined("**Duration:** ", e("duration_label")), sep="\n",
-    )
-    quotes = F.array_join(F.transform(F.slice("evidence_quotes", 1, 2), lambda q: _joined('"', q, '"')), "; ")
-    evidence = F.when(quotes != "", quotes).otherwise("no short quote available")
-    audit = _joined("- **", e("episode_id"), ":** `", e("outcome_claim"), "`. Recovery: `", e("recovery_pattern"), "`. Evidence: ", evidence, ".")
-    turn = _joined("- ", e("episode_id"), ": `", e("detour_type"), "`. ", e("analyst_memo"))
-    by_trace = episodes.groupBy("trace_id").agg(
-        F.count("*").alias("n_episodes"), F.array_join(in_order(block), "\n\n").alias("timeline"), F.array_join(in_order(audit), "\n").alias("audit"),
-        in_order(turn, e("detour_type") != "direct_continuation").alias("turns"),
-    )
-    example = F.when(e("example").isNotNull(), _joined('Example: "', e("example"), '"')).otherwise("No short evidence quote was available.")
-    row = _joined("- **", F.initcap(spoken(e("difficulty_type"))), "**: ", F.array_join("episode_ids", ", "), ". ", example)
-    lines = F.transform(F.array_sort(F.collect_list(F.struct("difficulty_type", row.alias("row")))), lambda x: x["row"])
-    maps = difficulty_clusters(episodes).groupBy("trace_id").agg(F.array_join(lines, "\n").alias("clusters"))
-    held = lambda c: F.when(F.size(c) > 0, F.array_join(c, ", ")).otherwise("none detected")
-    both = by_trace.join(maps, "trace_id").join(detour_groups(episodes), "trace_id")
-    return both.select(
-        "trace_id", "n_episodes", _joined("## Journey Timeline", e("timeline"), sep="\n\n").alias("timeline"), _joined("## Difficulty Map", "Main difficulties observed:", e("clusters"), sep="\n").alias("difficulty_map"),
-        F.array_join(F.concat(F.array(
-            F.lit("## Detour Analysis"), _joined("- **Productive detours:** ", held("productive")), _joined("- **Mixed detours:** ", held("mixed")),
-            _joined("- **Unproductive or risky detours:** ", held("unproductive")),
-        ), "turns"), "\n").alias("detours"), _joined("## Outcome Claim Audit", e("audit"), sep="\n").alias("audit"),
+def _filled(text: str, *values: Column) -> Column:
+    return F.format_string(text, *[v.cast("string") for v in values])
+
+
+def timeline(e: str) -> Column:
+    block = lambda x: _joined(
+        _joined("### ", x["episode_id"], " - ", x["title"]), _joined("**Tone:** `", lookup(V.REPORT_TONES, x["recovery_pattern"], "unknown"), "`"), _joined("**Intention:** ", x["initial_intention"]),
+        _joined("**Difficulty:** ", x["reported_difficulty"]), _joined("**Shift:** ", x["strategy_after"]), _joined("**Resolution mode:** `", x["resolution_mode"], "`"),
+        _joined("**Outcome claim:** `", x["outcome_claim"], "`"), _joined("**Duration:** ", x["duration_label"]), sep="\n",
     )
+    return _joined("## Journey Timeline", F.array_join(F.transform(e, block), "\n\n"), sep="\n\n")
 
 
-def reports(traces: DataFrame, episodes: DataFrame) -> DataFrame:
-    """trace_id, report for each row of traces (trace_id, trace_title, agent, n_messages, redaction_count, privacy_notes; model_notes and engine where there are)."""
-    e = F.col
-    told = traces.join(episode_sections(episodes), "trace_id", "left").join(patterns(episodes), "trace_id", "left")
-    some = e("n_episodes").isNotNull()
-    style = {c: F.coalesce(c, F.lit(text)) for c, text in V.NO_PATTERNS.items()}
-    engine = e("engine") if "engine" in traces.columns else F.lit("deterministic-codebook")
-    head = _joined(
-        "# Field Report", _joined("**Trace:** ", e("trace_title")), _joined("**Agent guess:** `", e("agent"), "`"), f"**Analysis scope:** {V.SCOPE}", _joined("**Engine:** `", engine, "`"), sep="\n\n"
-    )
+def difficulty_map(e: str) -> Column:
+    """Difficulty types in order, each with its episodes and the first quote that one of them has."""
+
+    def line(kind: Column) -> Column:
+        own = F.filter(e, lambda x: x["difficulty_type"] == kind)
+        quotes = F.flatten(F.transform(own, lambda x: F.slice(x["evidence_quotes"], 1, 1)))
+        example = F.when(F.size(quotes) > 0, _joined('Example: "', F.get(quotes, F.lit(0)), '"')).otherwise(T["no_quote"])
+        return _joined("- **", F.initcap(spoken(kind)), "**: ", F.array_join(F.transform(own, lambda x: x["episode_id"]), ", "), ". ", example)
+
+    kinds = F.array_sort(F.array_distinct(F.col(f"{e}.difficulty_type")))
+    return _joined("## Difficulty Map", "Main difficulties observed:", F.array_join(F.transform(kinds, line), "\n"), sep="\n")
+
+
+def detours(e: str) -> Column:
+    ids = lambda value: F.array_join(F.transform(F.filter(e, lambda x: x["productive_detour"] == value), lambda x: x["episode_id"]), ", ")
+    held = lambda value: F.when(ids(value) != "", ids(value)).otherwise(T["none_detected"])
+    turns = F.transform(F.filter(e, lambda x: x["detour_type"] != "direct_continuation"), lambda x: _joined("- ", x["episode_id"], ": `", x["detour_type"], "`. ", x["analyst_memo"]))
+    head = F.array(F.lit("## Detour Analysis"), _joined("- **Productive detours:** ", held("yes")), _joined("- **Mixed detours:** ", held("mixed")), _joined("- **Unproductive or risky detours:** ", held("no")))
+    return F.array_join(F.concat(head, turns), "\n")
+
+
+def claims(e: str) -> Column:
+    def line(x: Column) -> Column:
+        quotes = F.array_join(F.transform(F.slice(x["evidence_quotes"], 1, 2), lambda q: _joined('"', q, '"')), "; ")
+        evidence = F.when(quotes != "", quotes).otherwise(T["no_short_quote"])
+        return _joined("- **", x["episode_id"], ":** `", x["outcome_claim"], "`. Recovery: `", x["recovery_pattern"], "`. Evidence: ", evidence, ".")
+
+    return _joined("## Outcome Claim Audit", F.array_join(F.transform(e, line), "\n"), sep="\n")
+
+
+def reports(whole: DataFrame) -> DataFrame:
+    """trace_id, report for each row of `whole` (see analysis.whole): sections are read off the trace's episodes in its row."""
+    c, some = F.col, F.size("e") > 0
+    style = lambda name, default="": F.coalesce(F.try_element_at("patterns", F.lit(name)), F.lit(default))
+    head = _joined(T["title"], _joined("**Trace:** ", c("trace_title")), _joined("**Agent guess:** `", c("agent"), "`"), f"**Analysis scope:** {V.SCOPE}", _joined("**Engine:** `", c("engine"), "`"), sep="\n\n")
     full = _joined(
-        _joined("This trace contains ", e("n_messages").cast("string"), " visible narrative messages and ", e("n_episodes").cast("string"), " classified difficulty episode(s)."),
-        style["difficulty_style"], style["detour_style"], style["recovery_style"], style["risk_or_caveat"],
-        "The report describes what the agent visibly reported and claimed; it does not verify whether the code or final artifact is correct.", sep=" ",
-    )
-    bare = _joined(
-        "The trace yielded ", e("n_messages").cast("string"), " visible narrative messages, but no explicit difficulty episode was strong enough to classify. That does not prove the session had no problems; "
-        "it only means the uploaded narrative did not contain clear self-reported blockage, detour, or recovery language. Review the redacted narrative export if you expected visible difficulties.",
-    )
-    summary = _joined("## Executive Summary", F.when(some, full).otherwise(bare), sep="\n\n")
-    memo = F.when(F.size("model_notes") > 0, F.array_join(F.concat(F.array(F.lit("## Model Memo"), F.lit("**Model notes:**")), F.transform("model_notes", lambda n: _joined("- ", n))), "\n\n")) if "model_notes" in traces.columns else F.lit(None).cast("string")
-    recovery = _joined("## Recovery Pattern", _joined(style["recovery_style"], style["difficulty_style"], style["detour_style"], sep=" "), sep="\n\n")
-    notes = F.array_join(F.concat(F.array(F.lit("## Privacy Notes"), _joined("Redaction count: ", e("redaction_count").cast("string"))), F.transform("privacy_notes", lambda n: _joined("- ", n))), "\n")
+        _filled(T["summary"], c("n_messages"), F.size("e")), style("difficulty_style"), style("detour_style"), style("recovery_style"), style("risk_or_caveat", T["no_caveat"]), T["disclaimer"], sep=" "
+    )
+    summary = _joined("## Executive Summary", F.when(some, full).otherwise(_filled(T["bare"], c("n_messages"))), sep="\n\n")
+    memo = F.when(F.size("model_notes") > 0, F.array_join(F.concat(F.array(F.lit("## Model Memo"), F.lit("**Model notes:**")), F.transform("model_notes", lambda n: _joined("- ", n))), "\n\n"))
+    recovery = _joined("## Recovery Pattern", _joined(style("recovery_style", T["no_recovery"]), style("difficulty_style"), style("detour_style"), sep=" "), sep="\n\n")
+    notes = F.array_join(F.concat(F.array(F.lit("## Privacy Notes"), _filled("Redaction count: %s", c("redaction_count"))), F.transform("privacy_notes", lambda n: _joined("- ", n))), "\n")
+    section = lambda told, text: F.when(some, told).otherwise(text)
     parts = [
-        head, summary, memo, F.coalesce("timeline", F.lit("## Journey Timeline\n\nNo difficulty timeline was detected.")),
-        F.coalesce("difficulty_map", F.lit("## Difficulty Map\n\nNo thematic difficulty clusters were detected.")), F.coalesce("detours", F.lit("## Detour Analysis\n\nNo visible detours were detected.")),
-        recovery, F.coalesce("audit", F.lit("## Outcome Claim Audit\n\nNo explicit outcome claims were attached to difficulty episodes.")), notes,
+        head, summary, memo, section(timeline("e"), T["no_timeline"]), section(difficulty_map("e"), T["no_map"]), section(detours("e"), T["no_detours"]), recovery, section(claims("e"), T["no_claims"]), notes,
     ]
-    return told.select("trace_id", F.concat(F.trim(_joined(*parts, sep="\n\n")), F.lit("\n")).alias("report"))
-
-
-def privacy_notes(redaction_totals: Column, model_used: Column | None = None, model_error: Column | None = None) -> Column:
-    """The notes of a trace, from its map of label to count; model columns where a detector ran."""
-    labels = F.array_sort(F.map_keys(redaction_totals))
-    listed = F.array_join(F.transform(labels, lambda k: F.concat(k, F.lit(" ("), F.try_element_at(redaction_totals, k).cast("string"), F.lit(")"))), ", ")
-    applied = F.when(F.size(labels) > 0, F.concat(F.lit("Redactions applied: "), listed, F.lit("."))).otherwise("No likely secrets matched the redaction patterns.")
-    failed = F.when(model_error.isNotNull(), F.concat(F.lit("AI privacy filter was unavailable ("), model_error, F.lit("); regex redaction was applied."))) if model_error is not None else F.lit(None).cast("string")
-    screened = F.when(model_used, "AI privacy filter (openai/privacy-filter) screened for names, contacts, and other personal data.") if model_used is not None else F.lit(None).cast("string")
-    return F.filter(
-        F.array(
-            F.lit("Uploaded traces are processed for this request only; the app exports a redacted narrative text file."), F.lit("The analysis uses visible messages and does not inspect hidden reasoning."),
-            F.lit("Tool-call contents were ignored before analysis."), failed, screened, applied,
-        ), lambda n: n.isNotNull(),
-    )
+    return whole.select("trace_id", F.concat(F.regexp_replace(_joined(*parts, sep="\n\n"), r"(?U)\A\s+|\s+\z", ""), F.lit("\n")).alias("report"))
+
+
+def privacy_notes(counts: Column, screened: Column, error: Column, redacted: bool = True, without_tools: bool = True) -> Column:
+    """The notes of a trace, from its map of label to count, whether a detector ran on it, and the error of one that failed (null if none did)."""
+    labels = F.array_sort(F.map_keys(counts))
+    listed = F.array_join(F.transform(labels, lambda k: F.concat(k, F.lit(" ("), F.try_element_at(counts, k).cast("string"), F.lit(")"))), ", ")
+    note = V.PRIVACY_NOTES
+    applied = F.when(F.size(labels) > 0, _filled(note["applied"], listed)).otherwise(note["none"])
+    said = [F.lit(note["processing"]), F.lit(note["visible"]), *[F.lit(note["tools"])] * without_tools]
+    said += [F.when(error.isNotNull(), _filled(note["unavailable"], error)), F.when(screened, F.lit(note["screened"])), applied] if redacted else [F.lit(note["disabled"])]
+    return F.filter(F.array(*said), lambda n: n.isNotNull())
+
+
+def model_status(notes: Column) -> Column:
+    """What a front end says of the model, from a trace's notes: '' where none is about it, else whether it fell back, and those notes."""
+    own = F.filter(notes, lambda n: n.rlike("^(" + "|".join(V.MODEL_NOTE_HEADS) + ")"))
+    fell = F.exists(own, lambda n: n.rlike("(?i)" + "|".join(V.FALLBACK_PHRASES)))
+    return F.when(F.size(own) > 0, _joined(F.when(fell, V.MODEL_STATUS[True]).otherwise(V.MODEL_STATUS[False]), F.array_join(own, " "), sep=" ")).otherwise("")

@@ -29,38 +29,45 @@ def code_counts(episodes: DataFrame) -> DataFrame:
     return stacked.groupBy("trace_id", "x.axis", "x.code").agg(F.count("*").alias("n"), F.min("episode_no").alias("first_episode"))
 
 
-def patterns(episodes: DataFrame) -> DataFrame:
-    """trace_id, difficulty_style, detour_style, recovery_style, risk_or_caveat for traces with episodes. The three commonest codes are named; ties go to the one seen first.
+def by_trace(episodes: DataFrame) -> DataFrame:
+    """trace_id, e: the episodes of each trace in order, as an array of structs. A trace has a dozen of them, which all that is told of it then reads in its row."""
+    return episodes.groupBy("trace_id").agg(F.array_sort(F.collect_list(F.struct("episode_no", *[c for c in episodes.columns if c not in ("trace_id", "episode_no")]))).alias("e"))
+
 
-    One group-by on the exchange that made the episodes; a trace's few episodes are then counted within the row.
-    """
-    by_trace = episodes.groupBy("trace_id").agg(F.array_sort(F.collect_list(F.struct("episode_no", "episode_id", *AXES))).alias("e"))
-    named = by_trace.withColumns({a: F.col(f"e.{a}") for a in AXES})
+def styles(e: str = "e") -> dict[str, Column]:
+    """difficulty_style, detour_style, recovery_style, risk_or_caveat of the episodes in column `e`. The three commonest codes are named; ties go to the one seen first."""
 
     def top(axis: str) -> Column:
-        count = lambda c: F.size(F.filter(axis, lambda x: x == c))
-        ranked = F.array_sort(F.transform(F.array_distinct(axis), lambda c, k: F.struct((-count(c)).alias("less"), k.alias("first"), c.alias("code"))))
+        codes = F.col(f"{e}.{axis}")
+        count = lambda c: F.size(F.filter(codes, lambda x: x == c))
+        ranked = F.array_sort(F.transform(F.array_distinct(codes), lambda c, k: F.struct((-count(c)).alias("less"), k.alias("first"), c.alias("code"))))
         return F.array_join(F.transform(F.slice(ranked, 1, 3), lambda x: F.concat(spoken(x["code"]), F.lit(" ("), (-x["less"]).cast("string"), F.lit(")"))), ", ")
 
-    risky = F.array_join(F.transform(F.filter("e", lambda x: x["outcome_claim"].isin(*V.RISKY_CLAIMS)), lambda x: x["episode_id"]), ", ")
+    risky = F.array_join(F.transform(F.filter(e, lambda x: x["outcome_claim"].isin(*V.RISKY_CLAIMS)), lambda x: x["episode_id"]), ", ")
     caveat = F.when(risky != "", F.concat(F.lit("Watch "), risky, F.lit(": these episodes end with unresolved, unverifiable, or overconfident claims."))).otherwise(
         F.concat(F.lit("Outcome claims lean toward "), top("outcome_claim"), F.lit("."))
     )
     style = lambda name, axis: F.concat(F.lit(f"Main {name} pattern: "), top(axis), F.lit("."))
-    return named.select(
-        "trace_id", style("difficulty", "difficulty_type").alias("difficulty_style"), style("detour", "detour_type").alias("detour_style"),
-        style("recovery", "recovery_pattern").alias("recovery_style"), caveat.alias("risk_or_caveat"),
-    )
+    return {"difficulty_style": style("difficulty", "difficulty_type"), "detour_style": style("detour", "detour_type"), "recovery_style": style("recovery", "recovery_pattern"), "risk_or_caveat": caveat}
+
+
+def patterns(episodes: DataFrame) -> DataFrame:
+    """trace_id and the four styles, for traces with episodes: one group-by on the exchange that made the episodes."""
+    return by_trace(episodes).select("trace_id", *[c.alias(name) for name, c in styles().items()])
+
+
+def rated(e: str = "e") -> Column:
+    """(tone, honesty, headline) of the episodes in column `e`, one at least: the gravest tone, the least honest claim."""
+    grave = F.array_max(F.transform(f"{e}.recovery_pattern", lambda r: F.struct(lookup(V.SEVERITY, lookup(V.VIEW_TONES, r, "unknown"), 0).alias("severity"), lookup(V.VIEW_TONES, r, "unknown").alias("tone"))))
+    claims = F.col(f"{e}.outcome_claim")
+    honesty = F.when(F.array_contains(claims, "premature_success_claim"), "overclaimed").when(F.arrays_overlap(claims, F.array(*map(F.lit, V.CANDID_CLAIMS))), "candid").otherwise("mixed")
+    headline = F.when(F.array_contains(claims, "premature_success_claim"), V.OVERCLAIMED_HEADLINE).otherwise(lookup(V.HEADLINES, grave["tone"], "A session across mixed terrain."))
+    return F.struct(grave["tone"].alias("tone"), honesty.alias("honesty"), headline.alias("headline"))
 
 
 def verdict(episodes: DataFrame) -> DataFrame:
-    """trace_id, n_episodes, tone, honesty, headline for traces with episodes: the gravest tone, the least honest claim."""
-    tone = lookup(V.VIEW_TONES, F.col("recovery_pattern"), "unknown")
-    rated = episodes.withColumn("tone", tone).withColumn("severity", lookup(V.SEVERITY, F.col("tone"), 0))
-    claim = F.col("outcome_claim")
-    honesty = F.when(F.bool_or(claim == "premature_success_claim"), "overclaimed").when(F.bool_or(claim.isin(*V.CANDID_CLAIMS)), "candid").otherwise("mixed")
-    out = rated.groupBy("trace_id").agg(F.count("*").alias("n_episodes"), F.max_by("tone", "severity").alias("tone"), honesty.alias("honesty"))
-    return out.withColumn("headline", F.when(F.col("honesty") == "overclaimed", V.OVERCLAIMED_HEADLINE).otherwise(lookup(V.HEADLINES, F.col("tone"), "A session across mixed terrain.")))
+    """trace_id, n_episodes, tone, honesty, headline for traces with episodes."""
+    return by_trace(episodes).select("trace_id", F.size("e").cast("long").alias("n_episodes"), rated().alias("v")).select("trace_id", "n_episodes", "v.*")
 
 
 def verdict_detail(n: Column, recovery_style: Column, caveat: Column) -> Column:
@@ -79,22 +86,27 @@ def detour_groups(episodes: DataFrame) -> DataFrame:
     return episodes.groupBy("trace_id").agg(held("yes").alias("productive"), held("mixed").alias("mixed"), held("no").alias("unproductive"))
 
 
-def capture_window(episodes: DataFrame) -> DataFrame:
-    """trace_id, captured, duration_total: from the first episode's start to the last one's end."""
-    ends = episodes.groupBy("trace_id").agg(
-        F.min_by("start_time", "episode_no").alias("start"), F.max_by("end_time", "episode_no").alias("end"), F.max_by("duration_label", "episode_no").alias("last_label")
-    )
-    a, b = wall(F.col("start")), wall(F.col("end"))
+def window(e: str = "e") -> dict[str, Column]:
+    """captured, duration_total of the episodes in column `e`, one at least: from the first one's start to the last one's end."""
+    first, last = F.get(e, F.lit(0)), F.get(e, F.size(e) - 1)
+    start, end = first["start_time"], last["end_time"]
+    a, b = wall(start), wall(end)
     day, clock = lambda w: F.substring(w, 1, 10), lambda w: F.substring(w, 12, 5)
-    both = instant(F.col("start")).isNotNull() & instant(F.col("end")).isNotNull()
+    both = instant(start).isNotNull() & instant(end).isNotNull()
     captured = (
         F.when(both & (day(a) == day(b)), F.concat(day(a), F.lit(" · "), clock(a), F.lit("–"), clock(b), F.lit(" UTC")))
         .when(both, F.concat(day(a), F.lit(" "), clock(a), F.lit(" → "), day(b), F.lit(" "), clock(b), F.lit(" UTC")))
         .when(a.isNotNull(), F.concat(day(a), F.lit(" · "), clock(a), F.lit(" UTC")))
-        .otherwise(F.coalesce(F.nullif("start", F.lit("")), F.lit("—")))
+        .otherwise(F.coalesce(F.nullif(start, F.lit("")), F.lit("—")))
     )
-    whole = duration_label(F.col("start"), F.col("end"))
-    return ends.select("trace_id", captured.alias("captured"), F.when(whole != "unknown", whole).otherwise(F.coalesce(F.nullif("last_label", F.lit("")), F.lit("—"))).alias("duration_total"))
+    whole = duration_label(start, end)
+    return {"captured": captured, "duration_total": F.when(whole != "unknown", whole).otherwise(F.coalesce(F.nullif(last["duration_label"], F.lit("")), F.lit("—")))}
+
+
+def capture_window(episodes: DataFrame) -> DataFrame:
+    """trace_id, captured, duration_total for traces with episodes."""
+    ends = by_trace(episodes.select("trace_id", "episode_no", "start_time", "end_time", "duration_label"))
+    return ends.select("trace_id", *[c.alias(name) for name, c in window().items()])
 
 
 def codebook(spark) -> DataFrame:

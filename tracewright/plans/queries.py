@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from tracewright.functions.times import duration_label
 from tracewright.operators import episodes as E
 from tracewright.operators import display, model, redaction
 from tracewright.operators import summary as S
-from tracewright.operators.messages import narrative, role_of, sampled, settle
+from tracewright.operators.messages import narrative, role_of, sampled, settle, trace_title
 from tracewright.plans import analysis
 from tracewright.plans.fixtures import conversations, narrated, planted, span_rows
 from tracewright.sources import traces
@@ -67,8 +69,7 @@ def merged_spans(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def span_messages(spark: SparkSession, sf: str) -> DataFrame:
-    m = narrated(spark, sf)
-    return E.span_messages(m, E.merged_spans(E.candidate_spans(m))).select("trace_id", "episode_no", "msg_index", "text")
+    return E.span_messages(narrated(spark, sf)).select("trace_id", "episode_no", "msg_index", "text")
 
 
 def sentences(spark: SparkSession, sf: str) -> DataFrame:
@@ -76,8 +77,7 @@ def sentences(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _combined(spark: SparkSession, sf: str) -> DataFrame:
-    m = narrated(spark, sf)
-    return E.combined(m, E.merged_spans(E.candidate_spans(m)))
+    return E.combined(narrated(spark, sf))
 
 
 def key_sentences(spark: SparkSession, sf: str) -> DataFrame:
@@ -173,7 +173,7 @@ def agent_sniff(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def model_apply(spark: SparkSession, sf: str) -> DataFrame:
-    """Answers by trace_id % 5: sound, fenced, in prose after a scratch object, without episodes, echoing placeholders."""
+    """Answers by trace_id % 5: sound, fenced, in prose after a scratch object, without episodes (the rules' own stay), echoing placeholders."""
     sound = '{"verdict": {"tone": "Risk", "headline": "H", "honesty": "candid"}, "episodes": [{"start_index": 9, "end_index": 2, "title": "T", "reported_difficulty": "D", "difficulty_type": "compatibility_risk", "appraisal": "nope", "productive_detour": "Yes", "evidence_quotes": ["q1", "<quote>", "q2"]}]}'
     echo = '{"episodes": [{"start_index": "3.7", "end_index": 9999, "title": "<title>", "reported_difficulty": "1-2 sentences", "outcome_claim": "not_resolved"}, 7]}'
     answers = (sound, f"```json\n{sound}\n```", f'So {{"a": 1}} then {sound} done.', '{"verdict": {}}', echo)
@@ -181,7 +181,66 @@ def model_apply(spark: SparkSession, sf: str) -> DataFrame:
     content = F.element_at(F.array(*[F.lit(a) for a in answers]), (F.col("trace_id") % 5 + 1).cast("int"))
     parsed = model.parsed(m.select("trace_id").distinct().withColumn("content", content))
     taken = model.take_over(E.episodes(m), parsed, m)
-    return taken.where("trace_id % 5 <> 3").select("trace_id", "episode_id", "title", "start_index", "end_index", "start_time", "end_time", "duration_label", "reported_difficulty", "difficulty_type", "appraisal", "outcome_claim", "productive_detour", _list("evidence_quotes"))
+    return taken.select("trace_id", "episode_id", "title", "start_index", "end_index", "start_time", "end_time", "duration_label", "reported_difficulty", "difficulty_type", "appraisal", "outcome_claim", "productive_detour", _list("evidence_quotes"))
+
+
+def _telephones(texts: list[str]) -> list[list[dict]]:
+    """A detector that fails where a Slack token was."""
+    if any("SLACK" in t for t in texts):
+        raise RuntimeError("no device")
+    return [[{"start": m.start(), "end": m.end(), "label": "private_phone", "score": 0.9} for m in re.finditer(PHONE, t)] for t in texts]
+
+
+def two_pass_redaction(spark: SparkSession, sf: str) -> DataFrame:
+    """Each document as a trace of one message: patterns, then a detector of telephone numbers, which fails on some."""
+    m = planted(spark, sf).select(F.col("doc_id").alias("trace_id"), F.lit(0).cast("long").alias("msg_index"), F.lit("assistant").alias("role"), "text")
+    done = redaction.two_passes(m, _telephones)
+    return done.select("trace_id", F.md5("text").alias("text_md5")).join(analysis.trace_facts(done), "trace_id").withColumn("privacy_notes", F.array_join("privacy_notes", " "))
+
+
+#: A report as a model gives it, with and without patterns and a verdict.
+MODEL_EPISODE = '{"start_index": 2, "end_index": 1, "title": "T", "reported_difficulty": "D", "difficulty_type": "compatibility_risk", "recovery_pattern": "failed_recovery", "outcome_claim": "not_resolved"}'
+MODEL_ANSWERS = (
+    f'{{"verdict": {{"tone": "Partial", "headline": "<= 12 words", "detail": "Slow.", "honesty": "odd"}}, "overall_patterns": {{"difficulty_style": "Hard.", "risk_or_caveat": "Mind."}}, "episodes": [{MODEL_EPISODE}]}}',
+    f'```json\n{{"episodes": [{MODEL_EPISODE}]}}\n```', "Sorry.",
+)
+
+
+def _answer(prompt: str) -> str:
+    """An answer by the first message of the first likely episode."""
+    first = re.search(r"E01 msgs (\d+)-", prompt)
+    k = int(first[1]) % 4 if first else 2
+    if k == 3:
+        raise RuntimeError("no device.")
+    return MODEL_ANSWERS[k]
+
+
+def model_analysis(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole analysis with a model that answers in full, in short, not at all, or fails."""
+    out = analysis.analyze(narrated(spark, sf), model=_answer, engine="minicpm")
+    n = out["episodes"].groupBy("trace_id").agg(F.count("*").alias("n_episodes"))
+    view = lambda path: F.get_json_object("view", f"$.{path}")
+    told = out["views"].select("trace_id", view("engine").alias("engine"), *[view(f"verdict.{c}").alias(c) for c in ("tone", "headline", "detail", "honesty")], view("overall_patterns.risk_or_caveat").alias("risk_or_caveat"), view("model_status").alias("model_status"))
+    memo = out["reports"].select("trace_id", F.regexp_extract("report", r"\*\*Model notes:\*\*\n\n- ([^\n]*)", 1).alias("model_note"))
+    return told.join(n, "trace_id").join(memo, "trace_id")
+
+
+def episodes_json(spark: SparkSession, sf: str) -> DataFrame:
+    """The result of a trace as a file of its own, read back."""
+    paths = {
+        "trace_title": "trace_title", "engine": "engine", "messages": "narrative_message_count", "episode_ids": "episodes[*].episode_id", "start_time": "episodes[0].message_span.start_time",
+        "headline": "session_verdict.headline", "difficulty_style": "overall_patterns.difficulty_style", "note": "privacy_notes[1]",
+    }
+    return analysis.analyze(narrated(spark, sf))["episodes_json"].select("trace_id", *[F.get_json_object("json", f"$.{path}").alias(name) for name, path in paths.items()])
+
+
+def trace_titles(spark: SparkSession, sf: str) -> DataFrame:
+    """Logs by event_id: agents in turn, some handed over under a name of their own."""
+    e = spark.read.parquet(f"{sf}/events.parquet")
+    agent = F.element_at(F.array(*map(F.lit, ("codex", "claude_code", "pi", "unknown", "other"))), (F.col("event_id") % 5 + 1).cast("int"))
+    path = F.concat(F.lit("/logs/a.b/run-"), F.col("event_id").cast("string"), F.when(F.col("event_id") % 3 == 0, ".tar.jsonl").otherwise(""))
+    original = F.when(F.col("event_id") % 4 == 0, F.concat(F.lit("mine "), F.col("event_id").cast("string"), F.lit(".json"))).when(F.col("event_id") % 4 == 1, "")
+    return e.select("event_id", trace_title(agent, traces.stem(path), original).alias("title"))
 
 
 def progress_plan(spark: SparkSession, sf: str) -> DataFrame:
@@ -215,6 +274,6 @@ QUERIES = {
         message_roles, normalized_text, regex_redaction, redaction_totals, pii_span_merge, pii_mask, signal_scores, candidate_spans, merged_spans, span_messages, sentences, key_sentences, episode_codes,
         episodes, pattern_summary, code_counts, session_verdict, difficulty_clusters, detour_groups, durations, capture_window, numbered_narrative, redacted_narrative, field_report, view_model,
         parse_roundtrip, plain_text_blocks, agent_sniff, model_apply, progress_plan, codebook_lookup, outcome_audit,
-        ranked_clusters, trail_layout, seconds_labels,
+        ranked_clusters, trail_layout, seconds_labels, two_pass_redaction, model_analysis, episodes_json, trace_titles,
     )
 }

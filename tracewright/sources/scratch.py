@@ -9,13 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or for a session without one a temporary folder of this machine (tests, local mode)."""
+    """spark.checkpoint.dir; for a session without one, and only if it runs on this machine alone, a temporary folder (tests, local mode)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         context = spark.sparkContext
-        if not context.getCheckpointDir():
-            context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
         folder = context.getCheckpointDir()
+        if not folder and not context.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        if not folder:
+            context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+            folder = context.getCheckpointDir()
     return folder.rstrip("/")
 
 
@@ -24,3 +27,9 @@ def stored(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/tracewright/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete the intermediate tables that operators wrote under the shared folder; results that still read them must be written before. Caches that are kept stay."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/tracewright")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

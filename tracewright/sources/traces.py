@@ -61,33 +61,39 @@ def _records(content: str, suffix: str) -> tuple[list[str] | None, str | None]:
     return dump(records), None
 
 
-def records(files: DataFrame) -> DataFrame:
-    """trace_id, raw_index, record (JSON) for every record; plain transcripts give one record for each block of a speaker."""
+def parsed(files: DataFrame) -> DataFrame:
+    """trace_id, content (of plain transcripts alone), records (array of JSON), error: each file parsed once, for records_of and errors_of to read."""
     formatted = with_format(files)
 
     def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            both = [_records(c or "", s) for c, s in zip(frame["content"], frame["suffix"], strict=True)]
-            yield frame[["trace_id", "content"]].assign(records=[r for r, _ in both], error=[e for _, e in both])
+            both = [(None, e) if e else _records(c or "", s) for c, s, e in zip(frame["content"], frame["suffix"], frame["error"], strict=True)]
+            plain = [c if r is None and e is None else None for c, (r, e) in zip(frame["content"], both, strict=True)]
+            yield frame[["trace_id"]].assign(content=plain, records=[r for r, _ in both], error=[e for _, e in both])
 
     kind = files.schema["trace_id"].dataType.simpleString()
-    good = formatted.where("error IS NULL").select("trace_id", "content", "suffix")
-    parsed = good.mapInPandas(parse, f"trace_id {kind}, content string, records array<string>, error string")
-    structured = parsed.where("records IS NOT NULL").select("trace_id", F.posexplode("records").alias("raw_index", "record"))
-    plain = plain_blocks(parsed.where("records IS NULL AND error IS NULL").select("trace_id", "content"))
+    return formatted.select("trace_id", "content", "suffix", "error").mapInPandas(parse, f"trace_id {kind}, content string, records array<string>, error string")
+
+
+def records_of(read: DataFrame) -> DataFrame:
+    """trace_id, raw_index, record (JSON) for every record of files that `parsed` read; plain transcripts give one for each block of a speaker."""
+    structured = read.where("records IS NOT NULL").select("trace_id", F.posexplode("records").alias("raw_index", "record"))
+    plain = plain_blocks(read.where("records IS NULL AND error IS NULL").select("trace_id", "content"))
     blocks = plain.select("trace_id", F.col("block").cast("int").alias("raw_index"), F.to_json(F.struct("role", F.col("text").alias("content"))).alias("record"))
     return structured.unionByName(blocks)
 
 
-def errors(files: DataFrame) -> DataFrame:
+def errors_of(read: DataFrame) -> DataFrame:
     """trace_id, error for files that give no records."""
+    return read.where("error IS NOT NULL").select("trace_id", "error")
 
-    def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            yield frame[["trace_id"]].assign(error=[e or _records(c or "", s)[1] for c, s, e in zip(frame["content"], frame["suffix"], frame["error"], strict=True)])
 
-    kind = files.schema["trace_id"].dataType.simpleString()
-    return with_format(files).mapInPandas(parse, f"trace_id {kind}, error string").where("error IS NOT NULL")
+def records(files: DataFrame) -> DataFrame:
+    return records_of(parsed(files))
+
+
+def errors(files: DataFrame) -> DataFrame:
+    return errors_of(parsed(files))
 
 
 def plain_blocks(files: DataFrame) -> DataFrame:
@@ -195,12 +201,13 @@ def record_agent(record: Column) -> Column:
     v = F.try_parse_json(record)
     at = lambda path: F.try_variant_get(v, path, "string")
     kind = F.lower(F.coalesce(at("$.type"), F.lit("")))
-    has = lambda key: F.get_json_object(record, f"$.{key}").isNotNull() | record.rlike(rf'^\{{(?:.*, )?"{key}": null')
+    keys = F.map_keys(F.from_json(record, "map<string,string>"))  # of the record itself, whatever their values
+    has = lambda *names: F.coalesce(F.arrays_overlap(keys, F.array(*map(F.lit, names))), F.lit(False))
     payload_kind = F.coalesce(at("$.payload.type"), F.lit(""))
     return F.when(record.startswith("{"), (
         F.when(kind.isin("session_meta", "turn_context", "response_item", "event_msg"), "codex")
         .when((at("$.payload.originator") == "codex_cli") | payload_kind.startswith("agent_") | payload_kind.startswith("user_"), "codex")
-        .when(has("parentUuid") | has("sessionId") | has("userType"), "claude_code")
+        .when(has("parentUuid", "sessionId", "userType"), "claude_code")
         .when(F.lower(F.coalesce(at("$.message.model"), F.lit(""))).contains("claude"), "claude_code")
         .when(kind.startswith("pi_") | F.substring(F.lower(record), 1, 1000).contains("pi agent"), "pi")
     ))
