@@ -34,3 +34,13 @@ def test_passages_in_lines_and_over_lines(spark):
     assert [len(want[i]) for i in (1, 41, 51, 90, 91)] == [40, 40, 90, 51, 0]
     left = {r["doc_id"]: r["text"].split() for r in corpus_pipeline.remove_lines(spark, docs, "").collect()}
     assert len(left[1]) == 40 and all(set(left[i + 1]).isdisjoint(left[i]) for i in (0, 10, 20, 30, 40))
+
+
+def test_lines_end_where_the_pattern_of_their_ends_says(spark):
+    import re
+
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("ab .!?\n\r") for _ in range(rng.randrange(40))) for _ in range(800)] + ["", "\n", "...", "a. ", "? ?"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["lines"] for r in rows.select("doc_id", line_dedup.lines_of(rows["text"]).alias("lines")).collect()}
+    assert [got[k] for k in range(len(texts))] == [[x for x in re.split(r"(?<=\n)|(?<=[.!?] )", t) if x] or [""] for t in texts]

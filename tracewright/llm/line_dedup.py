@@ -6,7 +6,7 @@ a passage that is shifted or set in another text is cut alike. Chunks of several
 for the first (smallest doc_id, then position), after their lines have been compared with the first one's.
 
 Only digests of chunks are shuffled for all chunks. Repeated ones make a filter (see filters.py), and filters tell which texts must move at
-all; their chunks are cut again where they are compared and where they are removed.
+all; in these the chunks are found again by the places of their lines.
 
 Passages: a chunk begins in one text and ends in another, so a passage loses its middle. `passage_dedup` then removes every run of at least PASSAGE
 words that stands earlier in the corpus. Runs of RUN words that begin with a word whose hash is 0 modulo EVERY are anchors, and all runs
@@ -15,6 +15,8 @@ where no such word is near, so equal passages have equal anchors; only around an
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,8 +26,8 @@ from tracewright.llm.filters import Filter
 WINDOW, DIVISOR = 2, 2
 HASH_SPACE = 2**32
 FACTOR = 1_000_003  # times any hash below 2**32 this stays within a long
-#: Between two lines; what stands between is none.
-LINE_END = r"(?<=\n)|(?<=[.!?] )"
+#: A line with its end: all up to a line end, up to a full stop, question or exclamation mark before a space and with it, or to the end of the text.
+LINE = r"[^\n.!?]*+(?:[.!?](?! )[^\n.!?]*+)*+(?:\n|[.!?] )|[^\n.!?]++(?:[.!?](?! )[^\n.!?]*+)*+|[.!?]++[^\n.!?]*+(?:[.!?](?! )[^\n.!?]*+)*+"
 
 DOC, MARK, POS, DIGEST, FIRST, GONE, LINES, CHUNKS, HITS = (f"{P}{x}" for x in ("doc", "mark", "pos", "digest", "first", "gone", "lines", "chunks", "hits"))
 #: A row by its doc_id and a hash of its text.
@@ -37,8 +39,13 @@ def line_hash(line: Column) -> Column:
 
 
 def lines_of(text: Column) -> Column:
-    """The lines, with the line end or space that follows; joined they are the text."""
-    return F.split(text, LINE_END, -1)
+    """The lines, with the line end or space that follows; joined they are the text. An empty text is one line."""
+    return _bound(F.regexp_extract_all(text, F.lit(LINE), F.lit(0)), lambda lines: F.when(F.size(lines) > 0, lines).otherwise(F.array(F.lit(""))))
+
+
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value worked out once."""
+    return F.get(F.transform(F.array(value), use), 0)
 
 
 def bare(line: Column) -> Column:
@@ -95,8 +102,8 @@ def _met(docs: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
     return held.drop(f"{P}met", f"{P}doc2", f"{P}mark2"), told.where(f"NOT {P}met").drop(f"{P}met")
 
 
-def line_dedup(docs: DataFrame, **cut: int) -> DataFrame:
-    """docs without repeated chunks: its columns, text changed (n_chars too), and n_lines, removed_chunks, removed_lines (long), which replace columns so named.
+def line_dedup(docs: DataFrame, counted: bool = True, **cut: int) -> DataFrame:
+    """docs without repeated chunks: its columns, text changed (n_chars too), and, if `counted`, n_lines, removed_chunks, removed_lines (long), which replace columns so named.
 
     Chunks are the same if their lines are, but for white space around a line. A null text is an empty one, with one empty line, and comes back
     empty. Chunks of one line, or of blank lines, are never removed here. A null doc_id comes after all others. Rows that repeat both
@@ -105,30 +112,37 @@ def line_dedup(docs: DataFrame, **cut: int) -> DataFrame:
     """
     keyed = _keyed(docs)
     chunks = chunked(keyed.select(*ROW, "text"), **cut).select(*ROW, F.posexplode_outer(CHUNKS).alias(POS, "chunk"))  # outer: the filter Spark infers for an inner one would repeat the whole cutting
-    keys = stored(chunks.where("chunk.lines > 1").select(*ROW, POS, F.unhex(F.md5("chunk.body")).alias(DIGEST), F.col("chunk.body").rlike(WORD).alias("said")).where("said").drop("said"), "chunks")
-    hits = stored(_repeated(keys, "repeated-chunks").groupBy(*ROW).agg(F.collect_list(F.struct(POS, DIGEST, (_place() == F.col(FIRST)).alias("model"))).alias(HITS)), "chunk-hits")
+    told = chunks.where("chunk.lines > 1").select(*ROW, POS, "chunk.first", "chunk.lines", F.unhex(F.md5("chunk.body")).alias(DIGEST), F.col("chunk.body").rlike(WORD).alias("said"))
+    keys = stored(told.where("said").drop("said"), "chunks")
+    hit = F.struct(POS, "first", "lines", DIGEST, (_place() == F.col(FIRST)).alias("model"))
+    hits = stored(_repeated(keys, "repeated-chunks").groupBy(*ROW).agg(F.array_sort(F.collect_list(hit)).alias(HITS)), "chunk-hits")
     met, others = _met(keyed, hits)
     met = stored(met, "chunk-texts")
 
     # the lines of each repeated chunk against those of the first
-    body = lambda h: F.struct(*[h[c].alias(c) for c in (POS, DIGEST, "model")], F.get(CHUNKS, h[POS])["body"].alias("body"))
-    bodies = chunked(met.where(F.col(HITS).isNotNull()).select(*ROW, "text", HITS), **cut).select(*ROW, F.explode_outer(F.transform(HITS, body)).alias("hit"))
-    bodies = stored(bodies.select(*ROW, "hit.*"), "chunk-bodies")
+    lined = met.where(F.col(HITS).isNotNull()).select(*ROW, HITS, F.transform(lines_of(text_of(met)), bare).alias(LINES))
+    body = lambda h: F.struct(*[h[c].alias(c) for c in (POS, DIGEST, "model")], F.array_join(F.slice(LINES, h["first"], h["lines"]), "\n").alias("body"))
+    bodies = stored(lined.select(*ROW, F.explode_outer(F.transform(HITS, body)).alias("hit")).select(*ROW, "hit.*"), "chunk-bodies")
     models = bodies.where("model").select(DIGEST, F.col("body").alias("first_body"))
     unlike = stored(bodies.where("NOT model").join(models.hint("merge"), DIGEST).where("body <> first_body").select(*ROW, POS).distinct(), "unlike-chunks")
-    gone = F.transform(F.filter(F.coalesce(HITS, F.array().cast(met.schema[HITS].dataType)), lambda h: ~h["model"]), lambda h: h[POS])
-    met = met.withColumn(GONE, gone).drop(HITS)
+    spared = F.lit(False)
     if not unlike.isEmpty():  # what a digest threw together by chance
-        spared = stored(unlike.groupBy(*ROW).agg(F.collect_list(POS).alias(f"{P}spared")), "spared-chunks")
-        with_spared, rest = _met(met, spared)
-        met = with_spared.withColumn(GONE, F.array_except(GONE, F.coalesce(f"{P}spared", F.array().cast("array<int>")))).drop(f"{P}spared").unionByName(rest)
-    lost = F.filter(CHUNKS, lambda c, k: F.array_contains(GONE, k))
-    kept = F.flatten(F.transform(F.filter(CHUNKS, lambda c, k: ~F.array_contains(GONE, k)), lambda c: F.slice(LINES, c["first"], c["lines"])))
-    some = chunked(met.where(F.size(GONE) > 0), **cut).withColumn(f"{P}lost", lost)
-    counts = {"n_lines": F.size(LINES).cast("long"), "removed_chunks": F.size(f"{P}lost").cast("long"), "removed_lines": F.aggregate(f"{P}lost", F.lit(0), lambda n, c: n + c["lines"]).cast("long")}
-    some = with_text(some.withColumns(counts), F.array_join(kept, ""))
-    none = lambda df: with_text(df.withColumns({"n_lines": F.size(lines_of(text_of(df))).cast("long"), "removed_chunks": F.lit(0).cast("long"), "removed_lines": F.lit(0).cast("long")}), text_of(df))
-    columns = [*docs.columns, *[c for c in counts if c not in docs.columns]]
+        listed = stored(unlike.groupBy(*ROW).agg(F.collect_list(POS).alias(f"{P}spared")), "spared-chunks")
+        held, rest = _met(met, listed)
+        met = held.unionByName(rest.withColumn(f"{P}spared", F.lit(None).cast("array<int>")))
+        spared = lambda h: F.coalesce(F.array_contains(f"{P}spared", h[POS]), F.lit(False))
+    gone = F.filter(F.coalesce(HITS, F.array().cast(met.schema[HITS].dataType)), lambda h: ~(h["model"] | (spared(h) if callable(spared) else spared)))
+    met = met.withColumn(GONE, gone)
+    some = met.where(F.size(GONE) > 0).withColumn(LINES, lines_of(text_of(met)))
+    # what stands between the chunks that go, which are in the order of the text
+    after = F.concat(GONE, F.array(F.struct(*[x.alias(c) for c, x in ((POS, F.lit(0)), ("first", F.size(LINES) + 1), ("lines", F.lit(0)), (DIGEST, F.lit(None).cast("binary")), ("model", F.lit(False)))])))
+    before = lambda k: F.coalesce(F.get(GONE, k - 1)["first"] + F.get(GONE, k - 1)["lines"], F.lit(1))
+    kept = F.flatten(F.transform(after, lambda h, k: F.slice(LINES, before(k), h["first"] - before(k))))
+    counts = {"n_lines": F.size(LINES).cast("long"), "removed_chunks": F.size(GONE).cast("long"), "removed_lines": F.aggregate(GONE, F.lit(0), lambda n, h: n + h["lines"]).cast("long")}
+    nothing = lambda df: {"n_lines": F.greatest(F.regexp_count(text_of(df), F.lit(LINE)), F.lit(1)).cast("long"), "removed_chunks": F.lit(0).cast("long"), "removed_lines": F.lit(0).cast("long")}
+    some = with_text(some.withColumns(counts if counted else {}), F.array_join(kept, ""))
+    none = lambda df: with_text(df.withColumns(nothing(df) if counted else {}), text_of(df))
+    columns = [*docs.columns, *[c for c in counts if counted and c not in docs.columns]]
     return some.select(*columns).unionByName(none(met.where(F.size(GONE) == 0)).select(*columns)).unionByName(none(others).select(*columns))
 
 

@@ -57,7 +57,7 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As the pipeline's stage: line dedup, then passages wherever lines end."""
-    lines = stored(line_dedup.line_dedup(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "text"), "lines")
+    lines = stored(line_dedup.line_dedup(documents(spark, sf_dir).select("doc_id", "text"), counted=False), "lines")
     return line_dedup.passage_dedup(lines).select("doc_id", F.sha2("text", 256).alias("text_sha256"))
 
 
@@ -147,7 +147,7 @@ FROM documents x LEFT JOIN d ON d.doc_id = x.doc_id LEFT JOIN o ON o.doc_id = x.
 BLANK = r"[\x20\x09-\x0D]"
 CHUNKS_SQL = rf"""
 WITH t AS (SELECT doc_id, string_split(regexp_replace(coalesce(text, ''), '(\n|[.!?] )', '\1' || chr(1), 'g'), chr(1)) AS lines FROM documents),
-l AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS i FROM t),
+l AS (SELECT * FROM (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS i FROM t) WHERE line <> '' OR i = 1),
 b AS (SELECT *, trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare FROM l),
 h AS (SELECT *, ('0x' || substr(md5(bare), 1, 8))::BIGINT AS h FROM b),
 c AS (
