@@ -15,30 +15,35 @@ from tracewright.llm.common import P, documents, stored
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose score stays below their language's threshold. A null text is scored as an empty one and kept as it is."""
+    """Documents whose score stays below their language's threshold. A null text is scored as an empty one and kept as it is; rows alike, repeated or
+    not, are judged alike; columns stay as they are. An empty table stays empty."""
     net, thresholds = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     score = f"{P}score"
     return toxicity.scored(docs, net, score).where(~toxicity.rejected(thresholds, score)).select(*docs.columns)
 
 
 def remove_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without passages of lines, and then of over 50 words, that stand elsewhere before. A null text becomes an empty one."""
-    return line_dedup.passage_dedup(stored(line_dedup.line_dedup(docs).select(*docs.columns), "lines"))
+    """All documents, without chunks of lines, and then passages of over 50 words, that stand elsewhere before. A null text becomes an empty one;
+    of the other columns only n_chars changes. Rows that repeat doc_id and text stay alike; a document of which nothing is left stays, empty."""
+    return line_dedup.passage_dedup(stored(line_dedup.line_dedup(docs, counted=False), "lines"))
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, the one of smallest doc_id; empty documents stay. Rows that share a doc_id stay if any of them does."""
+    """One document of each group of near copies, the one of smallest doc_id; empty documents stay. Rows that share a doc_id, repeated ones
+    too, stay if any of them does. Other columns are not looked at; an empty table stays empty."""
     ids = near_dedup.near_dedup(docs).where("kept").select(F.col("doc_id").alias(f"{P}id")).distinct()
     return docs.join(ids, docs["doc_id"].eqNullSafe(F.col(f"{P}id")), "left_semi")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix of sources: a row for each time it takes a document; empty documents are not taken."""
+    """The mix of sources: a row for each time it takes a document; null and empty texts are not taken, a null source is one of its own. Repeated rows
+    count each by itself, ties go by a hash, other columns stay as they are. An empty table stays empty."""
     return mixing.mixture(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of 2048 tokens."""
+    """Pieces of sequences of 2048 tokens: every row, repeated or not, is packed; a null or empty text as its end id. Of docs only doc_id and text
+    are read. An empty table gives no piece."""
     return packing.pack(docs, queries.tokenizer())
 
 
