@@ -103,6 +103,22 @@ def test_durations(spark, a, b, label):
     assert one(spark, duration_label(F.lit(a), F.lit(b))) == label
 
 
+def test_week_dates_are_read_as_python_reads_them(spark):
+    from datetime import datetime
+
+    texts = [f"{y}-W{w:02d}-{d}" for y in (2020, 2021, 2024, 2026) for w in (0, 1, 9, 52, 53, 54) for d in (0, 1, 7, 8)]
+    texts += ["2026-W05", "2026W051", "2026W05", "2026-W051", "2026W05-1", "2026-W05-1T10:20:30", "2026W051T102030Z", "2026-W5-1"]
+
+    def python(text):
+        try:
+            return f"{datetime.fromisoformat(text):%Y-%m-%d %H:%M:%S}"
+        except ValueError:
+            return None
+
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert {r[0]: r[1] for r in df.select("t", wall(F.col("t"))).collect()} == {t: python(t) for t in texts}
+
+
 def test_clock_keeps_the_texts_own_offset(spark):
     assert one(spark, wall(F.lit("2026-06-06T23:30:00-05:00"))) == "2026-06-06 23:30:00"
     assert one(spark, instant(F.lit("2026-06-06T23:30:00-0500"))).isoformat() == "2026-06-07T04:30:00"

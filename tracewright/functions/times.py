@@ -9,9 +9,24 @@ DATE = r"\d{4}-\d{2}-\d{2}"
 ISO = rf"^{DATE}(?:.\d{{2}}(?::\d{{2}}(?::\d{{2}}(?:[.,]\d+)?)?)?(?:Z|[+-]\d{{2}}(?::?\d{{2}})?)?)?$"
 
 
+#: A date by week and day of the week, with separators or without; the day may be left out.
+WEEK = r"^(\d{4})(?:-W(\d{2})(?:-(\d))?|W(\d{2})(\d)?)(?=\D|$)"
+
+
+def _by_calendar(text: Column) -> Column:
+    """A text that begins with a week date with the calendar's date instead, null if there is no such day; others as they are."""
+    part = lambda k: F.regexp_extract(text, WEEK, k)
+    number = lambda *ks: F.concat(*map(part, ks)).try_cast("int")
+    year, week, day = number(1), number(2, 4), F.coalesce(number(3, 5), F.lit(1))
+    monday = F.date_add(F.to_date(F.date_trunc("week", F.make_date(year, F.lit(1), F.lit(4)))), (week - 1) * 7)
+    there = (year >= 1) & week.between(1, 53) & day.between(1, 7) & (F.year(F.date_add(monday, 3)) == year)  # a week is of the year of its Thursday
+    written = F.concat(F.date_format(F.date_add(monday, day - 1), "yyyy-MM-dd"), F.regexp_replace(text, WEEK, ""))
+    return F.when(text.contains("W") & text.rlike(WEEK), F.when(there, written)).otherwise(text)
+
+
 def _extended(text: Column) -> Column:
-    """Trimmed, basic forms (20260606T100000Z) written with separators; null if it is no ISO date or time."""
-    t = F.trim(text)
+    """Trimmed, basic forms (20260606T100000Z) written with separators, week dates as days; null if it is no ISO date or time."""
+    t = _by_calendar(F.trim(text))
     dated = F.regexp_replace(t, r"^(\d{4})(\d{2})(\d{2})(?=\D|$)", "$1-$2-$3")
     timed = F.regexp_replace(dated, rf"^({DATE}.\d{{2}})(\d{{2}})(\d{{2}})?", "$1:$2:$3")
     tidy = F.regexp_replace(timed, r":(?=Z|[+-]|$)", "")
