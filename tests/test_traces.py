@@ -12,6 +12,8 @@ def parse(spark, content, path="/x/log.jsonl", **options):
     files = spark.createDataFrame([("t", path, content)], "trace_id string, path string, content string")
     records = traces.records(files)
     rows = traces.messages(records, **options).orderBy("msg_index").collect()
+    at_once = traces.messages_of(traces.parsed(files, options.get("skip_tools", True)), options.get("include_user", True))
+    assert at_once.orderBy("msg_index").collect() == rows  # with records stored between or not
     return [(r["role"], r["text"], r["timestamp"]) for r in rows], traces.agents(records, files).first()["agent"]
 
 

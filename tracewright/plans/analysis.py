@@ -97,12 +97,11 @@ def analyze_files(spark: SparkSession, path: str, include_user: bool = True, ski
     Files are parsed once: records and errors are written, and errors (trace_id, error) of those that cannot be read stand among the relations.
     """
     files = files_source.read(spark, path).withColumn("trace_id", F.col("path"))
-    parsed = stored(files_source.parsed(files), "records")
-    records = files_source.records_of(parsed)
-    agents = files_source.agents(records, files)
+    parsed = stored(files_source.parsed(files, skip_tools), "records")
+    agents = files_source.agents(files_source.heads_of(parsed), files)
     known = agents.join(originals, "trace_id", "left") if originals is not None else agents.withColumn("original", F.lit(None).cast("string"))
     titles = known.select("trace_id", "agent", trace_title(F.col("agent"), files_source.stem(F.col("trace_id")), F.col("original")).alias("trace_title"))
-    return analyze(files_source.messages(records, include_user, skip_tools), titles, without_tools=skip_tools, **options) | {"errors": files_source.errors_of(parsed)}
+    return analyze(files_source.messages_of(parsed, include_user), titles, without_tools=skip_tools, **options) | {"errors": files_source.errors_of(parsed)}
 
 
 def shown(clock) -> Column:

@@ -149,7 +149,7 @@ def parse_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     line = F.when(F.col("trace_id") % 2 == 0, first).otherwise(second)
     lines = F.transform(F.array_sort(F.collect_list(F.struct("msg_index", line.alias("line")))), lambda x: x["line"])
     files = m.groupBy("trace_id").agg(F.array_join(lines, "\n").alias("content")).withColumn("path", F.lit("/logs/session.jsonl"))
-    return traces.messages(traces.records(files)).select("trace_id", "msg_index", "role", "text", "timestamp")
+    return traces.messages_of(traces.parsed(files)).select("trace_id", "msg_index", "role", "text", "timestamp")
 
 
 def plain_text_blocks(spark: SparkSession, sf: str) -> DataFrame:

@@ -20,6 +20,9 @@ from tracewright.operators.messages import settle
 
 #: Where Python's splitlines breaks: also at separators that text files rarely have.
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
+#: So many of a log's records tell its agent.
+SNIFFED = 20
+FOUND = "array<struct<raw_index:int,timestamp:string,ordinal:int,role:string,text:string,source:string>>"
 CANDIDATES = "array<struct<ordinal:int,role:string,text:string,source:string>>"
 
 
@@ -42,12 +45,11 @@ def _document(value: object) -> list:
     return value if isinstance(value, list) else [str(value)]
 
 
-def _records(content: str, suffix: str) -> tuple[list[str] | None, str | None]:
-    """(records as JSON, error). None without an error means a plain transcript."""
-    dump = lambda records: [json.dumps(r) for r in records]
+def _records(content: str, suffix: str) -> tuple[list | None, str | None]:
+    """(records, error). None without an error means a plain transcript."""
     if suffix == ".json":
         try:
-            return dump(_document(json.loads(content))), None
+            return _document(json.loads(content)), None
         except ValueError as error:
             return None, f"The JSON trace could not be parsed: {error}"
     records = []
@@ -58,38 +60,60 @@ def _records(content: str, suffix: str) -> tuple[list[str] | None, str | None]:
             if not records:
                 return None, None
             records.append(line)
-    return dump(records), None
+    return records, None
 
 
-def parsed(files: DataFrame) -> DataFrame:
-    """trace_id, content (of plain transcripts alone), records (array of JSON), error: each file parsed once, for records_of and errors_of to read."""
+def parsed(files: DataFrame, skip_tools: bool = True, heads: int | None = SNIFFED) -> DataFrame:
+    """trace_id, content (of plain transcripts alone), heads (the first records, as JSON; all where `heads` is None), found (what all records say), error.
+
+    Each file is read once: messages_of, heads_of and errors_of take what they need from here.
+    """
     formatted = with_format(files)
 
+    def said(k: int, record: object) -> list[dict]:
+        candidates, time = _candidates(record, skip_tools)
+        return [{"raw_index": k, "timestamp": time, **c} for c in candidates]
+
     def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             both = [(None, e) if e else _records(c or "", s) for c, s, e in zip(frame["content"], frame["suffix"], frame["error"], strict=True)]
             plain = [c if r is None and e is None else None for c, (r, e) in zip(frame["content"], both, strict=True)]
-            yield frame[["trace_id"]].assign(content=plain, records=[r for r, _ in both], error=[e for _, e in both])
+            first = [None if r is None else [json.dumps(x) for x in r[:heads]] for r, _ in both]
+            found = [None if r is None else [c for k, x in enumerate(r) for c in said(k, x)] for r, _ in both]
+            yield frame[["trace_id"]].assign(content=plain, heads=first, found=found, error=[e for _, e in both])
 
     kind = files.schema["trace_id"].dataType.simpleString()
-    return formatted.select("trace_id", "content", "suffix", "error").mapInPandas(parse, f"trace_id {kind}, content string, records array<string>, error string")
+    return formatted.select("trace_id", "content", "suffix", "error").mapInPandas(parse, f"trace_id {kind}, content string, heads array<string>, found {FOUND}, error string")
+
 
+def _transcripts(read: DataFrame) -> DataFrame:
+    return plain_blocks(read.where("heads IS NULL AND error IS NULL").select("trace_id", "content"))
 
-def records_of(read: DataFrame) -> DataFrame:
-    """trace_id, raw_index, record (JSON) for every record of files that `parsed` read; plain transcripts give one for each block of a speaker."""
-    structured = read.where("records IS NOT NULL").select("trace_id", F.posexplode("records").alias("raw_index", "record"))
-    plain = plain_blocks(read.where("records IS NULL AND error IS NULL").select("trace_id", "content"))
-    blocks = plain.select("trace_id", F.col("block").cast("int").alias("raw_index"), F.to_json(F.struct("role", F.col("text").alias("content"))).alias("record"))
+
+def heads_of(read: DataFrame) -> DataFrame:
+    """trace_id, raw_index, record (JSON) for the records that `parsed` kept; plain transcripts give one for each block of a speaker."""
+    structured = read.where("heads IS NOT NULL").select("trace_id", F.posexplode("heads").alias("raw_index", "record"))
+    blocks = _transcripts(read).select("trace_id", F.col("block").cast("int").alias("raw_index"), F.to_json(F.struct("role", F.col("text").alias("content"))).alias("record"))
     return structured.unionByName(blocks)
 
 
+def messages_of(read: DataFrame, include_user: bool = True) -> DataFrame:
+    """(trace_id, msg_index, role, text, timestamp, source) from what `parsed` found."""
+    structured = read.where("heads IS NOT NULL").select("trace_id", F.inline("found"))
+    blocks = _transcripts(read).select(
+        "trace_id", F.col("block").cast("int").alias("raw_index"), F.lit(None).cast("string").alias("timestamp"), F.lit(0).alias("ordinal"), "role", "text", F.lit("content").alias("source"),
+    )
+    return settle(structured.unionByName(blocks), ["raw_index", "ordinal"], include_user)
+
+
 def errors_of(read: DataFrame) -> DataFrame:
     """trace_id, error for files that give no records."""
     return read.where("error IS NOT NULL").select("trace_id", "error")
 
 
 def records(files: DataFrame) -> DataFrame:
-    return records_of(parsed(files))
+    """trace_id, raw_index, record (JSON) for every record, for those who store records; messages takes them up again."""
+    return heads_of(parsed(files, heads=None))
 
 
 def errors(files: DataFrame) -> DataFrame:
@@ -187,7 +211,7 @@ def messages(parsed: DataFrame, include_user: bool = True, skip_tools: bool = Tr
     return settle(rows, ["raw_index", "ordinal"], include_user)
 
 
-def agents(parsed: DataFrame, files: DataFrame, first: int = 20) -> DataFrame:
+def agents(parsed: DataFrame, files: DataFrame, first: int = SNIFFED) -> DataFrame:
     """trace_id, agent: by the path, else by the first of the first records that tells, else 'unknown'."""
     p = F.lower("path")
     by_path = F.when(p.contains(".codex") | p.contains("/codex/"), "codex").when(p.contains("claude"), "claude_code").when(p.contains(".pi") | p.contains("/pi/"), "pi")
