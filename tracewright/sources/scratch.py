@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,14 +25,32 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+_FOLDER: ContextVar[str | None] = ContextVar("folder", default=None)
+
+
+@contextmanager
+def under(spark: SparkSession, name: str) -> Iterator[str]:
+    """Within this context tables are stored in a folder of their own, which `drop` can delete as a whole once nothing reads them any more."""
+    token = _FOLDER.set(f"{shared_folder(spark)}/tracewright/{name}-{uuid.uuid4().hex}")
+    try:
+        yield _FOLDER.get()
+    finally:
+        _FOLDER.reset(token)
+
+
 def stored(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """df written to the shared folder and read again: cuts the lineage, survives lost executors, is computed once."""
-    path = f"{shared_folder(df.sparkSession)}/tracewright/{name}-{uuid.uuid4().hex}"
+    folder = _FOLDER.get() or f"{shared_folder(df.sparkSession)}/tracewright"
+    path = f"{folder}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def drop_scratch(spark: SparkSession) -> None:
     """Delete the intermediate tables that operators wrote under the shared folder; results that still read them must be written before. Caches that are kept stay."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/tracewright")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    drop(spark, f"{shared_folder(spark)}/tracewright")
