@@ -413,12 +413,19 @@ def test_one_long_line_counts_as_one(spark):
     assert [len(r["text"].split()) for r in line_dedup.passage_dedup(docs).orderBy("doc_id").collect()] == [50, 50, 51, 0, 5000, 0]
 
 
+def test_few_words_are_no_passage(spark):
+    docs = docs_of(spark, [(k, f"w{k} x{k}. To. In.\nSo. Own words of {k} alone.", "a") for k in range(6)])
+    assert {r["removed_chunks"] for r in line_dedup.line_dedup(docs).collect()} == {0}
+    assert {r["removed_chunks"] > 0 for r in line_dedup.line_dedup(docs, least=1, window=1, divisor=1).collect()} == {False}  # one line a chunk
+    assert True in {r["removed_chunks"] > 0 for r in line_dedup.line_dedup(docs, least=1).collect()}
+
+
 def test_unlike_chunks_of_one_digest_stay(spark, monkeypatch):
     """Bytes decide: with a digest that says nothing, only what equals its first is removed."""
-    docs = docs_of(spark, [(k, f"one{k % 3} two.\nthree four{k % 3}.", "a") for k in range(9)])
+    docs = docs_of(spark, [(k, f"one{k % 3} two and so on.\nthree four{k % 3} and so on.", "a") for k in range(9)])
     monkeypatch.setattr(line_dedup.F, "md5", lambda c: F.lit("00"))
     out = {r["doc_id"]: r["text"] for r in line_dedup.line_dedup(docs).collect()}
-    assert {k for k, t in out.items() if not t} == {3, 6} and out[1] == "one1 two.\nthree four1."
+    assert {k for k, t in out.items() if not t} == {3, 6} and out[1] == "one1 two and so on.\nthree four1 and so on."
 
 
 def test_line_dedup_takes_odd_rows(odd, empty):

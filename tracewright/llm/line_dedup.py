@@ -2,7 +2,7 @@
 
 Lines: a line ends at a line end, and after a sentence within it, so a paragraph that is written in one line has lines too. Chunks: a rolling hash
 over the hashes of the last `window` lines ends a chunk where it is 0 modulo `divisor`, so boundaries depend on nearby lines alone and
-a passage that is shifted or set in another text is cut alike. Chunks of several lines that repeat anywhere in the corpus are removed but
+a passage that is shifted or set in another text is cut alike. Chunks of several lines, and of LEAST words, that repeat anywhere in the corpus are removed but
 for the first (smallest doc_id, then position), after their lines have been compared with the first one's.
 
 Only digests of chunks are shuffled for all chunks. Repeated ones make a filter (see filters.py), and filters tell which texts must move at
@@ -24,6 +24,8 @@ from tracewright.llm.common import BLANKS, P, WORD, stored, text_of, with_text
 from tracewright.llm.filters import Filter
 
 WINDOW, DIVISOR = 2, 2
+#: Words that a chunk has at least if it is to be looked for: two short sentences may meet by chance.
+LEAST = 10
 HASH_SPACE = 2**32
 FACTOR = 1_000_003  # times any hash below 2**32 this stays within a long
 #: A line with its end: all up to a line end, up to a full stop, question or exclamation mark before a space and with it, or to the end of the text.
@@ -102,17 +104,17 @@ def _met(docs: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
     return held.drop(f"{P}met", f"{P}doc2", f"{P}mark2"), told.where(f"NOT {P}met").drop(f"{P}met")
 
 
-def line_dedup(docs: DataFrame, counted: bool = True, **cut: int) -> DataFrame:
+def line_dedup(docs: DataFrame, counted: bool = True, least: int = LEAST, **cut: int) -> DataFrame:
     """docs without repeated chunks: its columns, text changed (n_chars too), and, if `counted`, n_lines, removed_chunks, removed_lines (long), which replace columns so named.
 
     Chunks are the same if their lines are, but for white space around a line. A null text is an empty one, with one empty line, and comes back
-    empty. Chunks of one line, or of blank lines, are never removed here. A null doc_id comes after all others. Rows that repeat both
+    empty. Chunks of one line, or of fewer than `least` words, are never removed here. A null doc_id comes after all others. Rows that repeat both
     doc_id and text are alike: they keep or lose the same chunks. A document all of whose chunks repeat earlier ones stays, with
     an empty text. A very long text is cut as a whole. An empty table stays empty.
     """
     keyed = _keyed(docs)
     chunks = chunked(keyed.select(*ROW, "text"), **cut).select(*ROW, F.posexplode_outer(CHUNKS).alias(POS, "chunk"))  # outer: the filter Spark infers for an inner one would repeat the whole cutting
-    told = chunks.where("chunk.lines > 1").select(*ROW, POS, "chunk.first", "chunk.lines", F.unhex(F.md5("chunk.body")).alias(DIGEST), F.col("chunk.body").rlike(WORD).alias("said"))
+    told = chunks.where("chunk.lines > 1").select(*ROW, POS, "chunk.first", "chunk.lines", F.unhex(F.md5("chunk.body")).alias(DIGEST), (F.regexp_count("chunk.body", F.lit(WORD)) >= least).alias("said"))
     keys = stored(told.where("said").drop("said"), "chunks")
     hit = F.struct(POS, "first", "lines", DIGEST, (_place() == F.col(FIRST)).alias("model"))
     hits = stored(_repeated(keys, "repeated-chunks").groupBy(*ROW).agg(F.array_sort(F.collect_list(hit)).alias(HITS)), "chunk-hits")
@@ -147,7 +149,7 @@ def line_dedup(docs: DataFrame, counted: bool = True, **cut: int) -> DataFrame:
 
 
 #: A passage has this many words at least.
-PASSAGE, RUN, EVERY = 51, 8, 8
+PASSAGE, RUN, EVERY = 51, 12, 8
 #: So many runs begin in a passage; one of them is an anchor.
 STARTS = PASSAGE - RUN + 1
 SPANS = "array<struct<start:int,end:int>>"
@@ -183,7 +185,7 @@ def passage_dedup(docs: DataFrame) -> DataFrame:
     """
     keyed = _keyed(docs)
     anchors = stored(_anchors(keyed), "anchors")
-    runs = stored(anchors.groupBy("run").agg(F.min(F.xxhash64(*ROW, "p")).alias("low"), F.max(F.xxhash64(*ROW, "p")).alias("high")).where("low <> high").select("run"), "repeated-runs")
+    runs = stored(anchors.groupBy("run").count().where("count > 1").select("run"), "repeated-runs")
     hits = Filter(runs, "run").may_hold(anchors, "run").join(runs.hint("merge"), "run", "left_semi")
     held, _ = _met(keyed.select(*ROW, "text"), stored(hits.groupBy(*ROW).agg(F.collect_set("p").alias(f"{P}spots")), "anchor-hits"))
     words = f"{P}words"

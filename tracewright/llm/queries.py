@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tracewright.llm import exact_dedup, licenses, line_dedup, media, mixing, near_dedup, packing, sharding, token_counts, toxicity
 from tracewright.llm.common import documents, shared_folder, stored
+from tracewright.sources.scratch import drop, under
 
 
 def tokenizer() -> str:
@@ -57,7 +58,10 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As the pipeline's stage: line dedup, then passages wherever lines end."""
-    lines = stored(line_dedup.line_dedup(documents(spark, sf_dir).select("doc_id", "text"), counted=False), "lines")
+    with under(spark, "chunks") as folder:
+        lines = line_dedup.line_dedup(documents(spark, sf_dir).select("doc_id", "text"), counted=False)
+    lines = stored(lines, "lines")
+    drop(spark, folder)
     return line_dedup.passage_dedup(lines).select("doc_id", F.sha2("text", 256).alias("text_sha256"))
 
 
@@ -155,7 +159,7 @@ c AS (
   FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
 n AS (SELECT *, coalesce(sum(ends::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM c),
 k AS (SELECT doc_id, pos, string_agg(bare, chr(10) ORDER BY i) AS body, string_agg(line, '' ORDER BY i) AS lines, count(*) AS n_lines FROM n GROUP BY doc_id, pos),
-g AS (SELECT *, n_lines > 1 AND regexp_matches(body, '[^\x20\x09-\x0D]') AND row_number() OVER (PARTITION BY n_lines > 1, body ORDER BY doc_id, pos) > 1 AS gone FROM k)"""
+g AS (SELECT *, n_lines > 1 AND len(regexp_extract_all(body, '[^\x20\x09-\x0D]+')) >= {line_dedup.LEAST} AND row_number() OVER (PARTITION BY n_lines > 1, body ORDER BY doc_id, pos) > 1 AS gone FROM k)"""
 
 OP9_SQL = rf"""{CHUNKS_SQL}
 SELECT doc_id, sum(n_lines)::BIGINT AS n_lines, sum(gone::INT)::BIGINT AS removed_chunks, sum(CASE WHEN gone THEN n_lines ELSE 0 END)::BIGINT AS removed_lines,
@@ -178,9 +182,18 @@ r AS (SELECT u.doc_id, coalesce(string_agg(piece, '' ORDER BY u.k) FILTER (z.k I
 SELECT x.doc_id, sha256(coalesce(r.text, x.text)) AS text_sha256 FROM x LEFT JOIN r ON r.doc_id = x.doc_id
 """
 
+#: The table is filled here anew, a turn of a shard at a time: the first slot of its order that is still free.
 OP10_SQL = f"""
-WITH s AS (SELECT doc_id, source, ('0x' || substr(md5(doc_id::VARCHAR), 1, 8))::BIGINT % {sharding.SLOTS} AS slot FROM documents),
-t AS (SELECT string_split('{",".join(map(str, sharding.lookup_table()))}', ',') AS owners)
+WITH RECURSIVE names AS (SELECT {len(sharding.SHARDS)} AS n, {sharding.SLOTS} AS m, {list(sharding.SHARDS)} AS shard),
+orders AS (
+  SELECT n, m, list_transform(shard, lambda x: ('0x' || substr(md5('offset:' || x), 1, 12))::BIGINT % m) AS begin, list_transform(shard, lambda x: ('0x' || substr(md5('stride:' || x), 1, 12))::BIGINT % (m - 1) + 1) AS step FROM names),
+turns AS (
+  SELECT 0 AS i, list_transform(range(m), lambda x: (-1)::TINYINT) AS owners, n, m, begin, step FROM orders
+  UNION ALL
+  SELECT i + 1, list_transform(owners, lambda o, p: CASE WHEN p = free THEN (i % n)::TINYINT ELSE o END), n, m, begin, step
+  FROM (SELECT *, list_filter(list_transform(range(m), lambda j: (begin[i % n + 1] + j * step[i % n + 1]) % m + 1), lambda p: owners[p] = -1)[1] AS free FROM turns WHERE i < m)),
+t AS (SELECT owners FROM turns WHERE i = m),
+s AS (SELECT doc_id, source, ('0x' || substr(md5(doc_id::VARCHAR), 1, 8))::BIGINT % {sharding.SLOTS} AS slot FROM documents)
 SELECT doc_id, source, slot, owners[slot + 1]::INTEGER AS shard FROM s, t
 """
 
