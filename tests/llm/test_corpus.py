@@ -68,14 +68,17 @@ def reach(n, edges):
     return root
 
 
-def test_components(spark):
+@pytest.mark.parametrize("at_once", [0, 12, 1000])
+def test_components(spark, at_once):
     rng = random.Random(3)
     edges = [(k, k + 1) for k in range(0, 40) if k % 9] + [(rng.randrange(50, 90), rng.randrange(50, 90)) for _ in range(30)] + [(95, 95)]
-    found = dict(components(spark.createDataFrame(edges, "a long, b long")).collect())
+    found = dict(components(spark.createDataFrame(edges, "a long, b long"), at_once).collect())
     want = reach(100, edges)
+    assert set(found) == {x for e in edges for x in e if e[0] != e[1]}
     for a, b in combinations(found, 2):
         assert (found[a] == found[b]) == (want[a] == want[b])
-    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+    assert all(found[found[a]] == found[a] for a in found)
+    assert components(spark.createDataFrame([], "a long, b long"), at_once).count() == 0
 
 
 def shingles(text):
@@ -520,6 +523,16 @@ def test_stages_on_odd_rows(spark, odd, labels, tmp_path, library):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "line_dedup", "near_dedup", "mixing", "packing"]
 
 
+def test_tables_of_a_stage_go_when_the_next_one_begins(spark, odd):
+    from pathlib import Path
+
+    first = stored(corpus_pipeline.remove_lines(spark, odd, ""), "result")
+    folder = Path(corpus_pipeline._LEFT[spark.sparkContext.applicationId].removeprefix("file:"))
+    assert any(folder.iterdir())
+    second = stored(corpus_pipeline.keep_one(spark, first, ""), "result")
+    assert not folder.exists() and second.count() > 0 and first.count() == odd.count()
+
+
 def test_each_stage_against_brute_force(spark, library):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     scores = {r["doc_id"]: r["rejected"] for r in toxicity.toxicity(docs, spark.read.parquet(f"{SF}/labels.parquet")).collect()}

@@ -52,7 +52,7 @@ class WordHashes(dict):
 
     def __missing__(self, word: bytes) -> int:
         h = xxhash.xxh3_64_intdigest(word)
-        if len(self) < 200_000 and len(word) <= 64:
+        if len(self) < 100_000 and len(word) <= 64:
             self[word] = h
         return h
 
@@ -203,6 +203,7 @@ def near_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     tops = tied.groupBy("root").agg(F.min("smallest").alias("top"))
     tops = tied.select("node", "root").join(tops.hint("merge"), "root").select("node", "top", F.lit(True).alias("tied"))
     reached = classes.join(tops.hint("merge"), "node", "left").select("node", F.when(F.col("tied"), F.col("top")).otherwise(F.col("smallest")).alias("component_id"))
+    reached = stored(reached, "components-of-sets")  # so that the join below can split a set that many documents have
     columns = ["doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), F.hex("node").alias("set_id")]
     full = some.select("doc_id", "n_shingles", "node").join(reached.hint("merge"), "node")
     none = rows.where("node IS NULL").withColumn("component_id", F.col("doc_id"))
