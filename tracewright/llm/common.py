@@ -30,9 +30,16 @@ def text_of(docs: DataFrame, column: str = "text") -> Column:
     return F.coalesce(docs[column], F.lit(""))
 
 
+#: What a batch that Spark hands to a Python worker may hold: its other bound, 10,000 rows, says nothing where texts are long.
+BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once for each SparkContext; tasks import their functions from it."""
+    """Send this package to the executors once for each SparkContext; tasks import their functions from it. Bound the bytes of Arrow batches in this session, unless a smaller bound is set."""
     context = spark.sparkContext
+    held = spark.conf.get(BATCH, None)
+    if held is None or not 0 < int(held.rstrip("bB")) <= BATCH_BYTES:
+        spark.conf.set(BATCH, str(BATCH_BYTES))
     if getattr(context, "_tracewright_shipped", False):
         return
     root = Path(__file__).resolve().parents[1]

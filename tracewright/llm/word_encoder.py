@@ -8,6 +8,7 @@ other tokenizer, and any word with unusual characters, goes to it whole.
 
 from __future__ import annotations
 
+import ctypes
 import functools
 import hashlib
 import json
@@ -31,7 +32,7 @@ PLAIN = regex.compile("[\\n!-~À-ÖØ-öø-įı-ňŊ-ž]*")
 UNIT = re.compile("\n|'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-įı-ňŊ-ž]+|[0-9]|[!-/:-@\\[-`{-~]+")
 SEPARATOR = b"\xff\xff\xff\xff"
 #: Entries at which a cache is emptied, to be filled anew; common words are soon back.
-MOST_WORDS, MOST_UNITS = 400_000, 400_000
+MOST_WORDS, MOST_UNITS = 150_000, 150_000
 LONGEST = 64  # characters of a word that is held
 
 
@@ -135,8 +136,9 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text", rows: int = 2048, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """The batches in pieces of few rows and, but for single long texts, few bytes."""
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", rows: int = 1024, size: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of few rows and, but for single long texts, few bytes. At their end memory that is not used goes back to the system:
+    workers stay for the tasks after, which may need it elsewhere on the machine."""
     for batch in batches:
         n = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
         at = 0
@@ -144,3 +146,12 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", rows: int =
             fits = int(np.searchsorted(np.cumsum(n[at : at + rows]), size, "right"))
             yield batch.slice(at, max(1, fits))
             at += max(1, fits)
+        del batch, n
+    give_back()
+
+
+def give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the usual C library
+    if trim:
+        trim(0)
