@@ -77,8 +77,8 @@ class Encoder:
         if self.by_word:
             self.ends = np.zeros(model.get_vocab_size(), bool)
             self.ends[[i for t, i in model.get_vocab().items() if t.endswith("</w>")]] = True
-            # plain units are normalised and cut already: the same model without those steps
-            self.bare = Tokenizer.from_file(path)
+            # plain units are normalised and cut already: the same model, held once, without those steps
+            self.bare = Tokenizer(model.model)
             self.bare.normalizer = normalizers.Sequence([])
             self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
 
