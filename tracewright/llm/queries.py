@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm import exact_dedup, licenses, line_dedup, media, mixing, near_dedup, packing, sharding, token_counts, toxicity
+from tracewright.llm import exact_dedup, hard_negatives, licenses, line_dedup, media, mixing, near_dedup, packing, sharding, token_counts, toxicity
 from tracewright.llm.common import documents, shared_folder, stored
 from tracewright.sources.scratch import drop, under
 
@@ -69,6 +69,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(documents(spark, sf_dir).select("doc_id", "source"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.hard_negatives(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 OP1_SQL = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
@@ -197,6 +201,19 @@ s AS (SELECT doc_id, source, ('0x' || substr(md5(doc_id::VARCHAR), 1, 8))::BIGIN
 SELECT doc_id, source, slot, owners[slot + 1]::INTEGER AS shard FROM s, t
 """
 
+OP12_SQL = """
+WITH v AS (
+  SELECT vec_id, (CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END)::BIGINT AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, a.label AS own, c.vec_id, c.label, list_dot_product(a.v, c.v)::BIGINT AS score
+  FROM v a JOIN v c ON c.vec_id <> a.vec_id WHERE a.vec_id % 100 = 0),
+p AS (SELECT anchor_id, own, vec_id AS positive_id, score AS positive_score FROM s WHERE label = own QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, positive_id, (row_number() OVER w)::INTEGER AS rank, s.vec_id AS negative_id, positive_score, s.score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND s.label <> p.own AND 80 * positive_score <= 100 * s.score AND 100 * s.score <= 100 * positive_score
+WINDOW w AS (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.vec_id) QUALIFY row_number() OVER w <= 5
+"""
+
 QUERIES = {
     "op1_near_dedup": op1_near_dedup,
     "op2_packing": op2_packing,
@@ -209,6 +226,7 @@ QUERIES = {
     "op9_line_dedup": op9_line_dedup,
     "op10_sharding": op10_sharding,
     "op9_passage_dedup": op9_passage_dedup,
+    "op12_hard_negatives": op12_hard_negatives,
 }
 
 ORACLES = {
@@ -219,4 +237,5 @@ ORACLES = {
     "op9_line_dedup": OP9_SQL,
     "op9_passage_dedup": OP9_PASSAGE_SQL,
     "op10_sharding": OP10_SQL,
+    "op12_hard_negatives": OP12_SQL,
 }
