@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm import exact_dedup, hard_negatives, licenses, line_dedup, media, mixing, near_dedup, packing, sharding, token_counts, toxicity
+from tracewright.llm import exact_dedup, hard_negatives, licenses, line_dedup, media, mixing, near_dedup, packing, sharding, spelling, token_counts, toxicity
 from tracewright.llm.common import documents, shared_folder, stored
 from tracewright.sources.scratch import drop, under
 
@@ -73,6 +73,10 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.hard_negatives(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(documents(spark, sf_dir))
+
+
 OP1_SQL = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
@@ -214,6 +218,32 @@ FROM p JOIN s ON s.anchor_id = p.anchor_id AND s.label <> p.own AND 80 * positiv
 WINDOW w AS (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.vec_id) QUALIFY row_number() OVER w <= 5
 """
 
+#: SQL without a crc32 works it out, a byte and a bit at a time.
+OP13_SQL = r"""
+WITH RECURSIVE r AS (
+  SELECT doc_id, run, count(*)::BIGINT AS k FROM (
+    SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{00C0}-\x{00FF}]+')) AS run FROM documents)
+  GROUP BY doc_id, run),
+b AS (SELECT *, hex(encode(doc_id::VARCHAR || ':' || run)) AS bytes FROM r),
+c AS (
+  SELECT doc_id, run, k, xor(list_reduce(
+    list_transform(range(0, len(bytes) // 2), lambda i: ('0x' || substr(bytes, 2 * i + 1, 2))::BIGINT),
+    lambda a, x: list_reduce(range(8), lambda h, bit: xor(h >> 1, CASE WHEN h & 1 = 1 THEN 3988292384 ELSE 0 END), xor(a, x)), 4294967295), 4294967295) AS h FROM b),
+w AS (
+  SELECT CASE WHEN h % 31 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, sum(k)::BIGINT AS n FROM c GROUP BY 1),
+v AS (SELECT word, n FROM w WHERE length(word) >= 7 AND n >= 2),
+g AS (SELECT word, n, unnest(list_distinct(list_transform(range(1, length(word) + 1), lambda i: left(word, i - 1) || '_' || substr(word, i + 1)))) AS key FROM v),
+d AS (SELECT word, n, unnest(list_distinct(list_transform(range(1, length(word) + 1), lambda i: left(word, i - 1) || substr(word, i + 1)))) AS key FROM v),
+p AS (
+  SELECT x.word, y.word AS other, y.n FROM g x JOIN g y ON x.key = y.key AND x.word <> y.word
+  UNION SELECT d.word, v.word, v.n FROM d JOIN v ON v.word = d.key
+  UNION SELECT v.word, d.word, d.n FROM d JOIN v ON v.word = d.key),
+m AS (SELECT word, count(*) AS n_near, max(n) AS most, arg_min(other, {'n': -n, 'word': encode(other)}) AS best FROM p GROUP BY word),
+f AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN most >= 10 * v.n THEN best END AS form, CASE WHEN most >= 10 * v.n THEN most END AS form_n FROM v LEFT JOIN m USING (word)),
+t AS (SELECT word, word AS root, 0 AS step FROM f UNION ALL SELECT t.word, f.form, step + 1 FROM t JOIN f ON f.word = t.root WHERE f.form IS NOT NULL)
+SELECT word, form, (SELECT arg_max(root, step) FROM t WHERE t.word = f.word) AS root, n, n_near, form_n FROM f
+"""
+
 QUERIES = {
     "op1_near_dedup": op1_near_dedup,
     "op2_packing": op2_packing,
@@ -227,6 +257,7 @@ QUERIES = {
     "op10_sharding": op10_sharding,
     "op9_passage_dedup": op9_passage_dedup,
     "op12_hard_negatives": op12_hard_negatives,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 ORACLES = {
@@ -238,4 +269,5 @@ ORACLES = {
     "op9_passage_dedup": OP9_PASSAGE_SQL,
     "op10_sharding": OP10_SQL,
     "op12_hard_negatives": OP12_SQL,
+    "op13_spelling_variants": OP13_SQL,
 }
