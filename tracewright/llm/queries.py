@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm import exact_dedup, hard_negatives, licenses, line_dedup, media, mixing, near_dedup, packing, sharding, spelling, token_counts, toxicity
+from tracewright.llm import exact_dedup, hard_negatives, licenses, line_dedup, media, mixing, near_dedup, packing, sharding, spelling, substrings, token_counts, toxicity
 from tracewright.llm.common import documents, shared_folder, stored
 from tracewright.sources.scratch import drop, under
 
@@ -69,6 +69,11 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(documents(spark, sf_dir).select("doc_id", "source"))
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substrings.substring_dedup(documents(spark, sf_dir).select("doc_id", "text"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.hard_negatives(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
@@ -205,6 +210,19 @@ s AS (SELECT doc_id, source, ('0x' || substr(md5(doc_id::VARCHAR), 1, 8))::BIGIN
 SELECT doc_id, source, slot, owners[slot + 1]::INTEGER AS shard FROM s, t
 """
 
+OP11_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+p AS (SELECT doc_id, unnest(range(1, len(words) - 48)) AS s, words FROM w WHERE len(words) >= 50),
+q AS (SELECT doc_id, s, array_to_string(words[s:s + 49], ' ') AS body FROM p),
+l AS (SELECT doc_id, s FROM q QUALIFY min(doc_id) OVER (PARTITION BY body) < doc_id),
+z AS (SELECT DISTINCT doc_id, unnest(range(s, s + 50)) AS k FROM l),
+u AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS k FROM w),
+r AS (
+  SELECT u.doc_id, count(z.k)::BIGINT AS n_removed, coalesce(string_agg(word, ' ' ORDER BY u.k) FILTER (z.k IS NULL), '') AS kept
+  FROM u LEFT JOIN z ON z.doc_id = u.doc_id AND z.k = u.k GROUP BY 1)
+SELECT w.doc_id, len(words)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN r ON r.doc_id = w.doc_id
+"""
+
 OP12_SQL = """
 WITH v AS (
   SELECT vec_id, (CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END)::BIGINT AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
@@ -256,6 +274,7 @@ QUERIES = {
     "op9_line_dedup": op9_line_dedup,
     "op10_sharding": op10_sharding,
     "op9_passage_dedup": op9_passage_dedup,
+    "op11_substring_dedup": op11_substring_dedup,
     "op12_hard_negatives": op12_hard_negatives,
     "op13_spelling_variants": op13_spelling_variants,
 }
@@ -268,6 +287,7 @@ ORACLES = {
     "op9_line_dedup": OP9_SQL,
     "op9_passage_dedup": OP9_PASSAGE_SQL,
     "op10_sharding": OP10_SQL,
+    "op11_substring_dedup": OP11_SQL,
     "op12_hard_negatives": OP12_SQL,
     "op13_spelling_variants": OP13_SQL,
 }
