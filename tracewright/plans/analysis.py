@@ -15,6 +15,7 @@ from tracewright.operators import summary as S
 from tracewright.operators.messages import narrative, sampled, trace_title
 from tracewright.operators.redaction import two_passes
 from tracewright.operators.report import model_status, privacy_notes, reports
+from tracewright.sources import records
 from tracewright.sources import traces as files_source
 from tracewright.sources.scratch import stored
 
@@ -91,17 +92,19 @@ def whole(traces: DataFrame, episodes: DataFrame, engine: str = "deterministic",
     }).drop("model_verdict", "some")
 
 
-def analyze_files(spark: SparkSession, path: str, include_user: bool = True, skip_tools: bool = True, originals: DataFrame | None = None, **options) -> dict[str, DataFrame]:
+def analyze_files(spark: SparkSession, path: str, include_user: bool = True, skip_tools: bool = True, originals: DataFrame | None = None, split: bool | None = None, **options) -> dict[str, DataFrame]:
     """The analysis of all session logs under a path (options as of `analyze`); originals (trace_id, original) where logs were handed over under names of their own.
 
-    Files are parsed once: records and errors are written, and errors (trace_id, error) of those that cannot be read stand among the relations.
+    Logs are read by the source `session_logs`, long ones by several tasks, or, where only Spark reaches the store or `split` is False, as whole files. Lines and what
+    records say are written once, and errors (trace_id, error) of logs that cannot be read stand among the relations.
     """
-    files = files_source.read(spark, path).withColumn("trace_id", F.col("path"))
-    parsed = stored(files_source.parsed(files, skip_tools), "records")
-    agents = files_source.agents(files_source.heads_of(parsed), files)
+    lines = stored(records.lines_at(spark, path, whole=None if split is None else not split), "lines")
+    told = records.told(lines, skip_tools)
+    paths = lines.select("trace_id", F.col("trace_id").alias("path")).distinct()
+    agents = files_source.agents(records.heads_of(lines), paths)
     known = agents.join(originals, "trace_id", "left") if originals is not None else agents.withColumn("original", F.lit(None).cast("string"))
     titles = known.select("trace_id", "agent", trace_title(F.col("agent"), files_source.stem(F.col("trace_id")), F.col("original")).alias("trace_title"))
-    return analyze(files_source.messages_of(parsed, include_user), titles, without_tools=skip_tools, **options) | {"errors": files_source.errors_of(parsed)}
+    return analyze(records.messages_of(told, include_user), titles, without_tools=skip_tools, **options) | {"errors": records.errors_of(told)}
 
 
 def shown(clock) -> Column:

@@ -6,8 +6,8 @@ from tracewright.functions import fixed_values as V
 from tracewright.functions.text import SPACES, spaced
 from tracewright.operators.episodes import COLUMNS as EPISODE_COLUMNS
 from tracewright.operators.summary import AXES
-from tracewright.plans.fixtures import narrated_sql, planted_text
-from tracewright.plans.queries import EMAIL, PHONE
+from tracewright.plans.fixtures import TRACE_LENGTH, narrated_sql, planted_text
+from tracewright.plans.queries import EMAIL, LONG_TRACE, PHONE
 
 
 def lit(text: str) -> str:
@@ -305,6 +305,15 @@ FROM narrated m JOIN n ON n.trace_id = m.trace_id WHERE n <= 50 OR EXISTS (SELEC
 m AS (SELECT trace_id, row_number() OVER (PARTITION BY trace_id ORDER BY turn) - 1 AS i, role, array_to_string(list_transform(string_split(text, chr(10)), lambda l: rtrim(l, {BLANK})), chr(10)) AS text FROM c),
 r AS (SELECT 0 AS k, * FROM m UNION ALL SELECT r.k + 1, trace_id, i, role, regexp_replace(text, pattern, new, 'g') FROM r JOIN rules ON rules.k = r.k)
 SELECT trace_id, trim(string_agg('## ' || lpad(i::VARCHAR, 4, '0') || ' ' || role || chr(10) || chr(10) || trim(text, chr(10)), chr(10) || chr(10) ORDER BY i), {BLANK}) || chr(10) AS narrative FROM r WHERE k = {len(V.REDACTIONS)} GROUP BY 1""",
+    "split_scan": f"""WITH {narrated_sql()}, p AS (SELECT *, trace_id * {TRACE_LENGTH} + msg_index AS place FROM narrated)
+SELECT place // {LONG_TRACE} AS log, (row_number() OVER (PARTITION BY place // {LONG_TRACE} ORDER BY place) - 1)::BIGINT AS msg_index, role, text, timestamp FROM p""",
+    "document_scan": """
+WITH m AS (
+  SELECT conv_id AS trace_id, turn::BIGINT AS place, CASE WHEN lower(role) IN ('user', 'human', 'user_message') THEN 'user' ELSE 'assistant' END AS role, text FROM conversations WHERE conv_id % 4 < 2
+  UNION ALL SELECT conv_id, 0, 'user', arg_min(text, turn) FROM conversations WHERE conv_id % 4 = 2 GROUP BY conv_id
+  UNION ALL SELECT conv_id, 0, 'assistant', arg_min(text, turn) FROM conversations WHERE conv_id % 4 = 3 GROUP BY conv_id
+  UNION ALL SELECT DISTINCT conv_id, 1000000 + k, 'assistant', odd FROM conversations, (VALUES (1, '7'), (2, 'None'), (3, 'True'), (4, 'two'), (5, 'nan')) o(k, odd) WHERE conv_id % 4 = 0)
+SELECT trace_id, (row_number() OVER (PARTITION BY trace_id ORDER BY place) - 1)::BIGINT AS msg_index, role, text FROM m""",
     "parse_roundtrip": f"WITH {narrated_sql()} SELECT trace_id, msg_index, role, text, timestamp FROM narrated",
     "plain_text_blocks": f"""WITH b AS (
   SELECT conv_id AS trace_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS block, CASE WHEN role = 'user' THEN 'user' ELSE 'assistant' END AS role, trim(text, {BLANK}) || chr(10) || 'and more' AS text FROM conversations

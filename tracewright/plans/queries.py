@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -14,8 +15,9 @@ from tracewright.operators import display, model, redaction
 from tracewright.operators import summary as S
 from tracewright.operators.messages import narrative, role_of, sampled, settle, trace_title
 from tracewright.plans import analysis
-from tracewright.plans.fixtures import conversations, narrated, planted, span_rows
-from tracewright.sources import traces
+from tracewright.plans.fixtures import TRACE_LENGTH, conversations, narrated, planted, span_rows
+from tracewright.sources import records, traces
+from tracewright.sources.scratch import shared_folder
 
 PHONE, EMAIL = r"\+1 \([0-9]{3}\) 555-[0-9]{4}", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 
@@ -149,7 +151,38 @@ def parse_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     line = F.when(F.col("trace_id") % 2 == 0, first).otherwise(second)
     lines = F.transform(F.array_sort(F.collect_list(F.struct("msg_index", line.alias("line")))), lambda x: x["line"])
     files = m.groupBy("trace_id").agg(F.array_join(lines, "\n").alias("content")).withColumn("path", F.lit("/logs/session.jsonl"))
-    return traces.messages_of(traces.parsed(files)).select("trace_id", "msg_index", "role", "text", "timestamp")
+    return records.messages_of(records.told(records.lines_of(files))).select("trace_id", "msg_index", "role", "text", "timestamp")
+
+
+#: Events of a long log, and bytes of it that a task reads.
+LONG_TRACE, PIECE = 24_000, 512 << 10
+
+
+def split_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """Long logs of JSON lines, written as files, read back by several tasks each."""
+    m = narrated(spark, sf).select((F.expr(f"(trace_id * {TRACE_LENGTH} + msg_index) div {LONG_TRACE}")).alias("log"), (F.col("trace_id") * TRACE_LENGTH + F.col("msg_index")).alias("place"), "role", "text", "timestamp")
+    line = F.to_json(F.struct(F.lit("p").alias("parentUuid"), F.col("role").alias("type"), "timestamp", F.struct("role", F.array(F.struct(F.lit("text").alias("type"), "text")).alias("content")).alias("message")))
+    folder = f"{shared_folder(spark)}/tracewright/logs-{uuid.uuid4().hex}"
+    m.withColumn("value", line).repartition("log").sortWithinPartitions("log", "place").select("log", "value").write.partitionBy("log").text(folder)
+    told = records.told(records.lines_at(spark, folder, PIECE))
+    log = F.regexp_extract("trace_id", r"/log=([0-9]+)/", 1).cast("long").alias("log")
+    return records.messages_of(told).select(log, "msg_index", "role", "text", "timestamp")
+
+
+def document_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """Conversations as JSON documents by conv_id % 4: a list with odd records behind, a list under a key, one record, one text."""
+    c = conversations(spark, sf)
+    turns = F.array_sort(F.collect_list(F.struct("turn", F.struct(F.col("raw_role").alias("role"), F.col("text").alias("content")).alias("r"))))
+    whole = c.groupBy("trace_id").agg(F.transform(turns, lambda t: t["r"]).alias("r"))
+    listed = F.to_json("r")
+    shapes = (
+        F.concat(F.expr("left(j, length(j) - 1)"), F.lit(', 7, null, true, {"text": "one", "text": "two"}, {"text": NaN}]')), F.concat(F.lit('{"id": 1, "turns": '), F.col("j"), F.lit("}")),
+        F.to_json(F.struct(F.lit("human").alias("role"), F.get("r", F.lit(0))["content"].alias("text"))), F.to_json(F.array(F.get("r", F.lit(0))["content"])),
+    )
+    text = shapes[3]
+    content = F.when(F.col("trace_id") % 4 == 0, shapes[0]).when(F.col("trace_id") % 4 == 1, shapes[1]).when(F.col("trace_id") % 4 == 2, shapes[2]).otherwise(F.substring(text, F.lit(2), F.length(text) - 2))
+    files = whole.withColumn("j", listed).select("trace_id", F.lit("/docs/a.json").alias("path"), content.alias("content"))
+    return records.messages_of(records.told(records.lines_of(files))).select("trace_id", "msg_index", "role", "text")
 
 
 def plain_text_blocks(spark: SparkSession, sf: str) -> DataFrame:
@@ -274,6 +307,6 @@ QUERIES = {
         message_roles, normalized_text, regex_redaction, redaction_totals, pii_span_merge, pii_mask, signal_scores, candidate_spans, merged_spans, span_messages, sentences, key_sentences, episode_codes,
         episodes, pattern_summary, code_counts, session_verdict, difficulty_clusters, detour_groups, durations, capture_window, numbered_narrative, redacted_narrative, field_report, view_model,
         parse_roundtrip, plain_text_blocks, agent_sniff, model_apply, progress_plan, codebook_lookup, outcome_audit,
-        ranked_clusters, trail_layout, seconds_labels, two_pass_redaction, model_analysis, episodes_json, trace_titles,
+        ranked_clusters, trail_layout, seconds_labels, two_pass_redaction, model_analysis, episodes_json, trace_titles, split_scan, document_scan,
     )
 }

@@ -35,7 +35,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 def with_format(files: DataFrame) -> DataFrame:
     """files (trace_id, path, content) with suffix, and error for blank ones."""
     suffix = F.lower(F.regexp_extract("path", r"(\.[^./]*)$", 1))
-    return files.withColumns({"suffix": suffix, "error": F.when(~F.col("content").rlike(r"(?U)\S"), "The uploaded trace is empty.")})
+    return files.withColumns({"suffix": suffix, "error": F.when(~F.col("content").rlike(r"(?U)\S"), V.EMPTY_TRACE)})
 
 
 def _document(value: object) -> list:
@@ -122,13 +122,17 @@ def errors(files: DataFrame) -> DataFrame:
 
 def plain_blocks(files: DataFrame) -> DataFrame:
     """trace_id, block (from 0), role, text of transcripts (trace_id, content): a line that starts with a speaker opens a block; before any, the agent speaks."""
-    lines = files.select("trace_id", F.posexplode(F.split("content", LINE_BREAK)).alias("at", "line"))
+    return blocks_of(files.select("trace_id", F.posexplode(F.split("content", LINE_BREAK)).alias("at", "line")).withColumn("k", F.lit(0)))
+
+
+def blocks_of(lines: DataFrame) -> DataFrame:
+    """plain_blocks of the lines (trace_id, at, k, line) of transcripts, which stand in the order of at and k."""
     bare = F.regexp_replace("line", r"(?U)\A\s+|\s+\z", "")
     speaker = F.lower(F.regexp_extract(bare, r"(?i)\A(assistant|agent|user):", 1))
-    order = Window.partitionBy("trace_id").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    order = Window.partitionBy("trace_id").orderBy("at", "k").rowsBetween(Window.unboundedPreceding, 0)
     marked = lines.withColumns({"speaker": speaker, "said": F.when(speaker != "", F.regexp_replace(bare, r"\A[^:]*:(?U:\s*)", "")).otherwise(F.col("line"))})
     numbered = marked.withColumn("raw_block", F.sum((F.col("speaker") != "").cast("int")).over(order))
-    said = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "said"))), lambda x: x["said"]), "\n")
+    said = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "k", "said"))), lambda x: x["said"]), "\n")
     role = F.when(F.max("speaker") == "user", "user").otherwise("assistant")
     blocks = numbered.groupBy("trace_id", "raw_block").agg(role.alias("role"), F.regexp_replace(said, r"(?U)\A\s+|\s+\z", "").alias("text")).where(F.col("text") != "")
     place = F.row_number().over(Window.partitionBy("trace_id").orderBy("raw_block")) - 1
