@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tracewright.functions.fixed_values import DIFFICULTY, EVIDENCE, INTENTION
-
-
 #: What Unicode calls white space, within a character class of Java's or RE2's; their own \s is ASCII's.
 SPACES = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 
@@ -28,28 +26,52 @@ def spaced(pattern: str) -> str:
     return "".join(out)
 
 
-def phrase_pattern(phrases: Iterable[str]) -> str:
-    """Java pattern for any of the phrases as whole words: no ASCII letter or digit touches either end."""
-    alternatives = "|".join(p.replace(" ", f"[{SPACES}]+") for p in phrases)
-    return rf"(?<![a-z0-9])(?:{alternatives})(?![a-z0-9])"
+def trie_pattern(phrases: Iterable[str]) -> str:
+    """Java pattern, without width, whose group 1 is the longest phrase that begins here as whole words: no ASCII letter or digit touches either end."""
+
+    def node(rest: list[str]) -> str:
+        heads: dict[str, list[str]] = {}
+        for p in rest:
+            if p:
+                heads.setdefault(p[0], []).append(p[1:])
+        ways = [(f"[{SPACES}]+" if c == " " else re.escape(c)) + node(tails) for c, tails in sorted(heads.items())]
+        ways += ["(?![a-z0-9])"] * ("" in rest)
+        return ways[0] if len(ways) == 1 else f"(?:{'|'.join(ways)})"
+
+    return rf"(?<![a-z0-9])(?=({node(sorted(set(phrases)))}))"
+
 
+class Phrases:
+    """All phrases of some lists, found in one pass over a text; what the lists say is then looked up in the set of hits."""
 
-def has_any(lowered: Column, phrases: Iterable[str]) -> Column:
-    return lowered.rlike(phrase_pattern(phrases))
+    def __init__(self, *lists: Iterable[str]) -> None:
+        self.all = sorted({p for some in lists for p in some})
+        #: By phrase, itself and the longer ones that begin with it, of which each hit is one of it too.
+        self.told_by = {p: [p, *[q for q in self.all if q != p and q.startswith(p) and not q[len(p)].isalnum()]] for p in self.all}
 
+    def hits(self, lowered: Column) -> Column:
+        """The distinct phrases in the text, each the longest that begins where it does, with single spaces."""
+        found = F.regexp_extract_all(lowered, F.lit(trie_pattern(self.all)), F.lit(1))
+        return F.array_distinct(F.transform(found, lambda p: F.regexp_replace(p, f"[{SPACES}]+", " ")))
 
-def score(lowered: Column, phrases: tuple[str, ...]) -> Column:
-    """How many of the phrases occur. One pass settles the common case of none."""
-    each = sum((has_any(lowered, [p]).cast("int") for p in phrases[1:]), has_any(lowered, phrases[:1]).cast("int"))
-    return F.when(has_any(lowered, phrases), each).otherwise(0)
+    def any_of(self, hits: Column, phrases: Iterable[str]) -> Column:
+        return F.arrays_overlap(hits, F.array(*[F.lit(q) for q in dict.fromkeys(q for p in phrases for q in self.told_by[p])]))
 
+    def score(self, hits: Column, phrases: Iterable[str]) -> Column:
+        """How many of the phrases occur."""
+        phrases = tuple(phrases)
+        alone = [p for p in phrases if len(self.told_by[p]) == 1]
+        out = F.size(F.array_intersect(hits, F.array(*map(F.lit, alone)))) if alone else F.lit(0)
+        for p in phrases:
+            out = out if p in alone else out + self.any_of(hits, [p]).cast("int")
+        return F.when(F.size(hits) > 0, out).otherwise(0)
 
-def first_rule(lowered: Column, rules: Iterable[tuple[str, tuple[str, ...]]]) -> Column:
-    """The code of the first rule that any phrase meets, else 'unknown'."""
-    out = None
-    for code, phrases in rules:
-        out = F.when(has_any(lowered, phrases), code) if out is None else out.when(has_any(lowered, phrases), code)
-    return out.otherwise("unknown")
+    def first_rule(self, hits: Column, rules: Iterable[tuple[str, tuple[str, ...]]]) -> Column:
+        """The code of the first rule that any phrase meets, else 'unknown'."""
+        out = None
+        for code, phrases in rules:
+            out = F.when(self.any_of(hits, phrases), code) if out is None else out.when(self.any_of(hits, phrases), code)
+        return out.otherwise("unknown")
 
 
 def contains_one(text: Column, parts: Iterable[str]) -> Column:
@@ -66,10 +88,6 @@ def sentences(text: Column) -> Column:
     return F.filter(F.transform(F.split(flat, r"(?<=[.!?])\s+"), lambda s: F.btrim(s, F.lit(" -"))), lambda s: s != "")
 
 
-def with_signal(array: Column, phrases: tuple[str, ...]) -> Column:
-    return F.filter(array, lambda s: has_any(F.lower(s), phrases))
-
-
 def first_of(array: Column) -> Column:
     return F.coalesce(F.get(array, 0), F.lit(""))
 
@@ -78,13 +96,6 @@ def last_of(array: Column) -> Column:
     return F.coalesce(F.get(array, F.size(array) - 1), F.lit(""))
 
 
-def difficulty_sentence(array: Column) -> Column:
-    """The first sentence with a difficulty signal that states no mere intention, or has problem evidence; else the first with a signal."""
-    told = with_signal(array, DIFFICULTY)
-    real = F.filter(told, lambda s: ~has_any(F.lower(s), INTENTION) | has_any(F.lower(s), EVIDENCE))
-    return F.coalesce(F.get(real, 0), F.get(told, 0), F.lit(""))
-
-
 def after(array: Column, sentence: Column) -> Column:
     """What follows the first sentence equal to `sentence`; all, if there is none."""
     at = F.array_position(array, sentence).cast("int")

@@ -14,14 +14,20 @@ from tracewright.functions import text as X
 from tracewright.functions.times import duration_label
 
 MOST_EPISODES = 12
+#: What messages, sentences and whole episodes are searched for, each in one pass.
+SIGNALS = X.Phrases(V.DIFFICULTY, V.SHIFT, V.INTENTION, V.OUTCOME)
+TELLING = X.Phrases(V.DIFFICULTY, V.SHIFT, V.INTENTION, V.OUTCOME, V.EVIDENCE)
+CLAIMS = (V.SUCCESS, V.UNRESOLVED, V.NOT_RESOLVED, V.UNVERIFIED, V.PARTIAL, V.CAVEAT, V.COMPLETION, V.UNCERTAIN)
+CODES = X.Phrases(V.DIFFICULTY, *CLAIMS, *[phrases for rules in (V.DIFFICULTY_RULES, V.APPRAISAL_RULES, V.DETOUR_RULES, V.RESOLUTION_RULES) for _, phrases in rules])
+TYPES = X.Phrases(*[phrases for _, phrases in V.DIFFICULTY_RULES])
 
 
 def flagged(messages: DataFrame) -> DataFrame:
     """Messages with what they signal: difficulty_score, has_shift, has_intention, has_outcome, is_candidate."""
-    low = F.lower("text")
-    scored = messages.withColumns({
-        "difficulty_score": X.score(low, V.DIFFICULTY), "has_shift": X.has_any(low, V.SHIFT), "has_intention": X.has_any(low, V.INTENTION), "has_outcome": X.has_any(low, V.OUTCOME),
-    })
+    has = lambda phrases: SIGNALS.any_of(F.col("__hits"), phrases)
+    scored = messages.withColumn("__hits", SIGNALS.hits(F.lower("text"))).withColumns({
+        "difficulty_score": SIGNALS.score(F.col("__hits"), V.DIFFICULTY), "has_shift": has(V.SHIFT), "has_intention": has(V.INTENTION), "has_outcome": has(V.OUTCOME),
+    }).drop("__hits")
     return scored.withColumn("is_candidate", (F.col("role") == "assistant") & (F.col("difficulty_score") + F.col("has_shift").cast("int") >= 2))
 
 
@@ -72,14 +78,12 @@ def span_messages(messages: DataFrame) -> DataFrame:
 
 def classified(df: DataFrame) -> DataFrame:
     """df (combined text, difficulty_sentence) with the seven codes."""
-    low = F.lower("combined")
-    d = lambda phrases: X.has_any(F.col("low"), phrases)
-    score = X.score(F.col("low"), V.DIFFICULTY)
-    by_sentence = X.first_rule(F.lower("difficulty_sentence"), V.DIFFICULTY_RULES)
-    detour = X.first_rule(F.col("low"), V.DETOUR_RULES)
-    first = df.withColumn("low", low).withColumns({
-        "by_sentence": by_sentence, "by_all": X.first_rule(F.col("low"), V.DIFFICULTY_RULES), "appraisal": X.first_rule(F.col("low"), V.APPRAISAL_RULES),
-        "detour": detour, "resolution_mode": X.first_rule(F.col("low"), V.RESOLUTION_RULES), "score": score, "success": d(V.SUCCESS),
+    hits = F.col("hits")
+    d = lambda phrases: CODES.any_of(hits, phrases)
+    found = {"low": F.lower("combined"), "hits": CODES.hits(F.lower("combined")), "said": TYPES.hits(F.lower("difficulty_sentence"))}
+    first = df.withColumns(found).withColumns({
+        "by_sentence": TYPES.first_rule(F.col("said"), V.DIFFICULTY_RULES), "by_all": CODES.first_rule(hits, V.DIFFICULTY_RULES), "appraisal": CODES.first_rule(hits, V.APPRAISAL_RULES),
+        "detour": CODES.first_rule(hits, V.DETOUR_RULES), "resolution_mode": CODES.first_rule(hits, V.RESOLUTION_RULES), "score": CODES.score(hits, V.DIFFICULTY), "success": d(V.SUCCESS),
     })
     confident = X.contains_one(F.col("low"), V.CONFIDENT_SUBSTRINGS)
     second = first.withColumns({
@@ -102,21 +106,24 @@ def classified(df: DataFrame) -> DataFrame:
         F.when(turn.isin("direct_continuation", "unknown"), "unknown").when(F.col("recovery_pattern").isin("overconfident_recovery", "failed_recovery", "avoidant_recovery"), "no")
         .when(claim.isin("partially_resolved", "needs_verification", "resolved_with_caveat"), "mixed").otherwise("yes")
     )
-    return third.withColumn("productive_detour", productive).drop("low", "by_sentence", "by_all", "detour", "score", "success")
+    return third.withColumn("productive_detour", productive).drop("low", "hits", "said", "by_sentence", "by_all", "detour", "score", "success")
 
 
 def key_sentences(df: DataFrame) -> DataFrame:
     """df (combined) with its sentences and those that tell: intention, difficulty, shift, outcome; '' where none does."""
-    s = F.col("sentences")
-    told = df.withColumn("sentences", X.sentences(F.col("combined"))).withColumns({
-        "difficulty_sentence": F.when(X.difficulty_sentence(s) != "", X.difficulty_sentence(s)).otherwise(X.first_of(s)),
-        "own_intention": X.first_of(X.with_signal(s, V.INTENTION)), "outcome_sentence": X.last_of(X.with_signal(s, V.OUTCOME)),
-    })
-    later = X.with_signal(X.after(s, F.col("difficulty_sentence")), V.SHIFT)
-    return told.withColumns({
-        "intention": F.when(F.col("own_intention") != "", F.col("own_intention")).otherwise(X.first_of(s)),
-        "shift_sentence": F.coalesce(F.get(later, 0), X.first_of(X.with_signal(s, V.SHIFT))),
-    })
+    s, kinds = F.col("sentences"), {"d": V.DIFFICULTY, "i": V.INTENTION, "h": V.SHIFT, "o": V.OUTCOME, "e": V.EVIDENCE}
+    said = F.transform("sentences", lambda x: F.struct(x.alias("text"), TELLING.hits(F.lower(x)).alias("hits")))
+    told = F.transform("__said", lambda x: F.struct(x["text"].alias("text"), *[TELLING.any_of(x["hits"], phrases).alias(k) for k, phrases in kinds.items()]))
+    # once as a whole each, so that no sentence is searched twice
+    df = df.withColumn("sentences", X.sentences(F.col("combined"))).withColumn("__said", said).withColumn("__told", told)
+    those = lambda kept: F.transform(F.filter("__told", kept), lambda x: x["text"])
+    difficult = F.coalesce(F.get(those(lambda x: x["d"] & (~x["i"] | x["e"])), 0), F.get(those(lambda x: x["d"]), 0), F.get(s, 0), F.lit(""))
+    df = df.withColumns({"difficulty_sentence": difficult, "own_intention": X.first_of(those(lambda x: x["i"])), "outcome_sentence": X.last_of(those(lambda x: x["o"])), "__shifts": F.filter("__told", lambda x: x["h"])})
+    # the first shift behind the difficulty; behind the first sentence equal to it, as sentences may repeat
+    later = F.get(F.filter(F.transform("__told", lambda x, k: F.struct(x["text"].alias("text"), (x["h"] & (k >= F.array_position(s, F.col("difficulty_sentence")))).alias("later"))), lambda x: x["later"]), 0)["text"]
+    return df.withColumns({
+        "intention": F.when(F.col("own_intention") != "", F.col("own_intention")).otherwise(X.first_of(s)), "shift_sentence": F.coalesce(later, F.get("__shifts", F.lit(0))["text"], F.lit("")),
+    }).drop("__said", "__told", "__shifts")
 
 
 def combined(messages: DataFrame) -> DataFrame:
