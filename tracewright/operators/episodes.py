@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tracewright.functions import fixed_values as V
 from tracewright.functions import text as X
 from tracewright.functions.times import duration_label
+from tracewright.sources.scratch import stored
 
 MOST_EPISODES = 12
 #: What messages, sentences and whole episodes are searched for, each in one pass.
@@ -71,6 +72,40 @@ def tagged(messages: DataFrame, most: int = MOST_EPISODES) -> DataFrame:
     return numbered.where(F.col("__in") & (F.col("episode_no") <= most)).select(*messages.columns, "episode_no")
 
 
+#: Messages of a segment; how far from it a message may lie that its own depend on.
+SEGMENT, HALO = 50_000, 6
+
+
+def segmented_spans(messages: DataFrame, most: int = MOST_EPISODES, segment: int = SEGMENT) -> DataFrame:
+    """merged_spans of traces larger than a task: windows are by segments of a trace, each with the few messages around it, and what goes on beyond a segment is carried by sums.
+
+    Whether a span covers a message depends on five messages to either side. So each segment tells by itself where covered runs begin; a first pass counts these
+    by segment, running sums over the segments of a trace carry the numbers, and the second pass groups the covered messages by number. Indexes are dense.
+    """
+    if segment < HALO:
+        raise ValueError(f"a segment has {HALO} messages at least")
+    own, place = F.expr(f"msg_index div {segment}"), F.col("msg_index") % segment
+    homes = F.array_compact(F.array(own, F.when((place < HALO) & (own > 0), own - 1), F.when(place >= segment - HALO, own + 1)))
+    flags = flagged(messages).select("trace_id", "msg_index", "role", "is_candidate", "has_intention", "has_outcome", own.alias("__own"), F.explode(homes).alias("__segment"))
+    agent, part = F.col("role") == "assistant", Window.partitionBy("trace_id", "__segment").orderBy("msg_index")
+    nearest = F.max(F.when(agent & F.col("has_intention"), F.col("msg_index"))).over(part.rowsBetween(-2, -1))
+    outcome = F.min(F.when(agent & F.col("has_outcome"), F.col("msg_index"))).over(part.rowsBetween(1, 3))
+    last = F.max(F.when(agent, F.col("msg_index"))).over(part.rowsBetween(0, 3))
+    spans = flags.withColumns({"__start": F.when(F.col("is_candidate"), F.coalesce(nearest, "msg_index")), "__end": F.when(F.col("is_candidate"), F.coalesce(outcome, last))})
+    behind, ahead = F.max("__end").over(part.rowsBetween(-3, 0)), F.min("__start").over(part.rowsBetween(1, 2))
+    covered = spans.withColumn("__in", F.coalesce(behind >= F.col("msg_index"), F.lit(False)) | F.coalesce(ahead <= F.col("msg_index"), F.lit(False)))
+    opens = covered.withColumn("__opens", (F.col("__in") & ~F.lag("__in", 1, False).over(part) & (F.col("__own") == F.col("__segment"))).cast("long"))
+    numbered = opens.withColumn("__local", F.sum("__opens").over(part.rowsBetween(Window.unboundedPreceding, 0)))
+    inside = numbered.where(F.col("__in") & (F.col("__own") == F.col("__segment")))
+    # a row for each run of a segment; its first may go on from the segment before
+    runs = stored(inside.groupBy("trace_id", "__segment", "__local").agg(F.min("msg_index").alias("start_index"), F.max("msg_index").alias("end_index")), "runs")
+    counts = runs.groupBy("trace_id", "__segment").agg(F.max("__local").alias("n"))
+    before = Window.partitionBy("trace_id").orderBy("__segment").rowsBetween(Window.unboundedPreceding, -1)  # one row for each segment that has a run
+    carried = counts.select("trace_id", "__segment", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__before"))
+    placed = runs.join(carried, ["trace_id", "__segment"]).withColumn("episode_no", F.col("__local") + F.col("__before")).where(F.col("episode_no") <= most)
+    return placed.groupBy("trace_id", "episode_no").agg(F.min("start_index").alias("start_index"), F.max("end_index").alias("end_index"))
+
+
 def span_messages(messages: DataFrame) -> DataFrame:
     """The assistant messages of each span, with episode_no."""
     return tagged(messages).where("role = 'assistant'")
@@ -143,7 +178,12 @@ COLUMNS = (
 
 def episodes(messages: DataFrame) -> DataFrame:
     """One row for each difficulty episode, with COLUMNS; evidence_quotes is an array of three at most."""
-    told = classified(key_sentences(combined(messages)))
+    return described(combined(messages)).select(*COLUMNS)
+
+
+def described(spans: DataFrame) -> DataFrame:
+    """spans as `combined` gives them, with their codes and texts."""
+    told = classified(key_sentences(spans))
     quotes = F.transform(F.filter(F.array("difficulty_sentence", "shift_sentence", "outcome_sentence"), lambda s: s != ""), lambda s: X.trim_words(s, 30))
     said = lambda c: X.spoken(F.col(c))
     topic = X.trim_words(F.col("difficulty_sentence"), 8)
@@ -159,7 +199,7 @@ def episodes(messages: DataFrame) -> DataFrame:
         "reported_difficulty": X.trim_words(F.col("difficulty_sentence"), 40),
         "strategy_before": F.when(F.col("own_intention") != "", X.trim_words(F.col("own_intention"), 36)).otherwise(V.NO_STRATEGY),
         "strategy_after": X.trim_words(strategy, 36), "evidence_quotes": F.slice(F.array_distinct(quotes), 1, 3), "analyst_memo": memo,
-    }).select(*COLUMNS)
+    })
 
 
 def episode_id(number: Column) -> Column:

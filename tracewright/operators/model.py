@@ -7,12 +7,14 @@ import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.resource import ResourceProfile
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewright.functions import fixed_values as V
 from tracewright.functions.times import duration_label
 from tracewright.operators.episodes import COLUMNS, episode_id
+from tracewright.operators.devices import on_device
 
 FIELDS = (
     "title", "initial_intention", "reported_difficulty", "difficulty_type", "appraisal", "strategy_before", "strategy_after", "detour_type", "resolution_mode", "recovery_pattern",
@@ -156,19 +158,22 @@ def take_over(own: DataFrame, answers: DataFrame, messages: DataFrame) -> DataFr
     return own.join(sound, "trace_id", "left_anti").unionByName(model_episodes(answers, messages))
 
 
-def prompts(lines: DataFrame, episodes: DataFrame) -> DataFrame:
-    """trace_id, prompt: the codebook, a hint of the rules' first twelve episodes, and the sampled narrative up to MOST_PROMPT characters."""
+def prompts(lines: DataFrame, episodes: DataFrame, agents: DataFrame | None = None) -> DataFrame:
+    """trace_id, prompt: the kind of agent (of agents: trace_id, agent; 'unknown' without), the codebook, a hint of the rules' first twelve episodes, and the sampled narrative up to MOST_PROMPT characters."""
     vocabulary = "\n\n".join(f"{axis}:\n" + "\n".join(f"- {c}: {m}" for c, m in codes.items()) for axis, codes in V.CODEBOOK.items())
     told = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("msg_index", "line"))), lambda x: x["line"]), "\n")
     narrative = lines.groupBy("trace_id").agg(F.substring(told, 1, MOST_PROMPT).alias("narrative"))
     spot = F.concat("episode_id", F.lit(" msgs "), F.col("start_index").cast("string"), F.lit("-"), F.col("end_index").cast("string"))
     hint = F.array_join(F.slice(F.transform(F.array_sort(F.collect_list(F.struct("episode_no", spot.alias("spot")))), lambda x: x["spot"]), 1, 12), "; ")
     hints = episodes.groupBy("trace_id").agg(hint.alias("hint"))
-    ask = F.lit("Write a JSON object with verdict, overall_patterns and episodes for this session. Use only these codes.\n\n" + vocabulary + "\n\nLikely episodes: ")
-    return narrative.join(hints, "trace_id", "left").select("trace_id", F.concat(ask, F.coalesce("hint", F.lit("(none)")), F.lit("\n\nNarrative:\n"), "narrative").alias("prompt"))
+    ask = F.lit("Write a JSON object with verdict, overall_patterns and episodes for this session. Use only these codes.\n\n" + vocabulary + "\n\nAgent type: ")
+    told = narrative.join(hints, "trace_id", "left")
+    told = told.join(agents.select("trace_id", "agent"), "trace_id", "left") if agents is not None else told.withColumn("agent", F.lit(None).cast("string"))
+    agent = F.coalesce("agent", F.lit("unknown"))
+    return told.select("trace_id", F.concat(ask, agent, F.lit("\n\nLikely episodes: "), F.coalesce("hint", F.lit("(none)")), F.lit("\n\nNarrative:\n"), "narrative").alias("prompt"))
 
 
-def generate(asked: DataFrame, model: Callable[[str], str]) -> DataFrame:
+def generate(asked: DataFrame, model: Callable[[str], str], profile: ResourceProfile | None = None) -> DataFrame:
     """trace_id, content, error: answers of an injected model, called in the tasks; a call that fails gives its error's name and text instead."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -184,7 +189,7 @@ def generate(asked: DataFrame, model: Callable[[str], str]) -> DataFrame:
             yield frame[["trace_id"]].assign(content=answers, error=errors)
 
     kind = asked.schema["trace_id"].dataType.simpleString()
-    return asked.select("trace_id", "prompt").mapInPandas(run, f"trace_id {kind}, content string, error string")
+    return on_device(asked.select("trace_id", "prompt"), run, f"trace_id {kind}, content string, error string", profile)
 
 
 def engine_notes(engine: str, answers: DataFrame | None) -> DataFrame | Column:

@@ -6,11 +6,13 @@ import functools
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.resource import ResourceProfile
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewright.functions.fixed_values import PERSONAL, REDACTION_CLUES, REDACTIONS
 from tracewright.functions.text import spaced
+from tracewright.operators.devices import on_device
 
 SPANS = "array<struct<start:int,end:int,label:string>>"
 
@@ -112,13 +114,13 @@ def added(a: Column, b: Column) -> Column:
     return F.map_from_arrays(keys, F.transform(keys, lambda k: F.coalesce(F.try_element_at(a, k), F.lit(0)) + F.coalesce(F.try_element_at(b, k), F.lit(0))))
 
 
-def two_passes(messages: DataFrame, detector: Callable[[list[str]], list[list[dict]]] | None = None, least: float = 0.5) -> DataFrame:
+def two_passes(messages: DataFrame, detector: Callable[[list[str]], list[list[dict]]] | None = None, least: float = 0.5, profile: ResourceProfile | None = None) -> DataFrame:
     """messages with secrets redacted by patterns and then, where there is a detector, personal data by its spans; redactions and redaction_count
     count both. screened says that the detector ran on a row, detector_error why not."""
     first = redact(messages)
     if detector is None:
         return first.withColumns({"screened": F.lit(False), "detector_error": F.lit(None).cast("string")})
-    second = redact_personal(detect(first, detector, least=least), F.col("spans"))
+    second = redact_personal(detect(first, detector, least=least, profile=profile), F.col("spans"))
     both = {"redactions": added(F.col("redactions"), F.col("pii")), "redaction_count": F.col("redaction_count") + F.col("pii_count"), "screened": F.col("spans").isNotNull()}
     return second.withColumns(both).drop("spans", "pii", "pii_count")
 
@@ -141,7 +143,7 @@ def _located(text: Column, pattern: str, label: str) -> Column:
     return F.aggregate(found, start, add)["spans"]
 
 
-def detect(df: DataFrame, detector: Callable[[list[str]], list[list[dict]]], column: str = "text", least: float = 0.5) -> DataFrame:
+def detect(df: DataFrame, detector: Callable[[list[str]], list[list[dict]]], column: str = "text", least: float = 0.5, profile: ResourceProfile | None = None) -> DataFrame:
     """df with spans from an injected detector, called on batches of texts in the tasks; blank texts have none, nor do spans of low score.
 
     A batch that fails is tried again trace by trace (trace_id, where df has it): a trace that fails again has null spans and the
@@ -179,4 +181,4 @@ def detect(df: DataFrame, detector: Callable[[list[str]], list[list[dict]]], col
             yield frame.assign(spans=spans, detector_error=[failed.get(t) for t in traces])
 
     columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-    return df.select(*[f.name for f in fields]).mapInPandas(run, f"{columns}, spans {SPANS}, detector_error string")
+    return on_device(df.select(*[f.name for f in fields]), run, f"{columns}, spans {SPANS}, detector_error string", profile)

@@ -86,6 +86,13 @@ def detour_groups(episodes: DataFrame) -> DataFrame:
     return episodes.groupBy("trace_id").agg(held("yes").alias("productive"), held("mixed").alias("mixed"), held("no").alias("unproductive"))
 
 
+def selection(e: str = "e", verdict: str = "verdict") -> dict[str, Column]:
+    """The episode that a view opens with, the first grave one of a grave session, and the one it settles on, the first; '' without episodes."""
+    first = F.get(e, F.lit(0))["episode_id"]
+    grave = F.get(F.filter(e, lambda x: lookup(V.VIEW_TONES, x["recovery_pattern"], "unknown") == "risk"), 0)["episode_id"]
+    return {"first_selected": F.coalesce(F.when(F.col(f"{verdict}.tone") == "risk", grave), first, F.lit("")), "selected": F.coalesce(first, F.lit(""))}
+
+
 def window(e: str = "e") -> dict[str, Column]:
     """captured, duration_total of the episodes in column `e`, one at least: from the first one's start to the last one's end."""
     first, last = F.get(e, F.lit(0)), F.get(e, F.size(e) - 1)

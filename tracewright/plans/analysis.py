@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.resource import ResourceProfile
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +16,7 @@ from tracewright.operators import summary as S
 from tracewright.operators.messages import narrative, sampled, trace_title
 from tracewright.operators.redaction import two_passes
 from tracewright.operators.report import model_status, privacy_notes, reports
+from tracewright.plans.figures import Figures
 from tracewright.sources import records
 from tracewright.sources import traces as files_source
 from tracewright.sources.scratch import stored
@@ -36,22 +38,27 @@ def trace_facts(redacted: DataFrame, redact_secrets: bool = True, without_tools:
 
 def analyze(
     messages: DataFrame, titles: DataFrame | None = None, detector: Callable[[list[str]], list[list[dict]]] | None = None, model: Callable[[str], str] | None = None, engine: str = "deterministic",
-    redact_secrets: bool = True, without_tools: bool = True,
+    redact_secrets: bool = True, without_tools: bool = True, figures: Figures | None = None, detector_profile: ResourceProfile | None = None, model_profile: ResourceProfile | None = None,
 ) -> dict[str, DataFrame]:
     """Relations of the analysis by name; titles (trace_id, agent, trace_title) where known.
 
     Secrets are redacted by patterns, then personal data by the detector's spans, before anything is scored. With an engine other than the rules, `model`
     answers a prompt for each trace: a sound answer's episodes, patterns and verdict take the place of the rules' ones in reports and views; of any other answer, and of an
     engine that nobody knows, a note says why the rules' result stands. Redacted messages, answers and episodes, which the other relations
-    read, are written at once; the rest is lazy.
+    read, are written at once; the rest is lazy. `figures` observes these writes. The stages of detector and model run with their resource profiles, where there are any.
     """
+    figures = figures or Figures()
+    messages = figures.watch("extract", messages, "text")
     if redact_secrets:
-        redacted = two_passes(messages, detector)
+        redacted = two_passes(messages, detector, profile=detector_profile)
     else:
         none = {"redactions": F.create_map().cast("map<string,bigint>"), "redaction_count": F.lit(0).cast("long"), "screened": F.lit(False), "detector_error": F.lit(None).cast("string")}
         redacted = messages.withColumns(none)
-    redacted = stored(redacted, "messages")
-    found = stored(E.episodes(redacted), "episodes")
+    with figures.timed("extract", "redact"):
+        redacted = stored(figures.watch("redact", redacted, "text", "redaction_count"), "messages")
+    with figures.timed("chart", "classify"):
+        charted = figures.watch("chart", E.combined(redacted), "combined")
+        found = stored(figures.watch("classify", E.described(charted).select(*E.COLUMNS), "reported_difficulty"), "episodes")
     facts = trace_facts(redacted, redact_secrets, without_tools)
     named = facts.join(titles, "trace_id", "left") if titles is not None else facts.withColumns({"agent": F.lit(None).cast("string"), "trace_title": F.lit(None).cast("string")})
     unnamed = F.concat(F.lit("Agent trace: "), F.col("trace_id").cast("string"))
@@ -60,7 +67,7 @@ def analyze(
     if engine in V.MODELS and V.MODELS[engine]:
         if model is None:
             raise ValueError(f"engine {engine!r} needs a model")
-        answers = stored(M.parsed(M.generate(M.prompts(sampled(redacted), found), model)), "answers")
+        answers = stored(M.parsed(M.generate(M.prompts(sampled(redacted), found, traces), model, model_profile)), "answers")
         found = stored(M.take_over(found, answers, redacted), "episodes-taken-over")
     full = whole(traces, found, engine, answers)
     return {
@@ -124,6 +131,7 @@ def views(full: DataFrame) -> DataFrame:
     view = F.struct(
         "trace_title", F.col("agent").alias("agent_type_guess"), F.lit(V.SCOPE).alias("analysis_scope"), "engine", seen["captured"], F.col("n_messages").alias("narrative_message_count"), "redaction_count",
         seen["duration_total"], "verdict", F.col("patterns").alias("overall_patterns"), notes.alias("privacy_notes"), shown(clock).alias("episodes"), model_status(notes).alias("model_status"),
+        *[c.alias(name) for name, c in S.selection().items()],
     )
     return full.select("trace_id", F.to_json(view, {"ignoreNullFields": "false"}).alias("view"))
 

@@ -7,7 +7,7 @@ from tracewright.functions.text import SPACES, spaced
 from tracewright.operators.episodes import COLUMNS as EPISODE_COLUMNS
 from tracewright.operators.summary import AXES
 from tracewright.plans.fixtures import TRACE_LENGTH, narrated_sql, planted_text
-from tracewright.plans.queries import EMAIL, LONG_TRACE, PHONE
+from tracewright.plans.queries import EMAIL, LONG_TRACE, ODD, PHONE
 
 
 def lit(text: str) -> str:
@@ -203,20 +203,35 @@ def view_sql() -> str:
     notes = ", ".join(lit(V.PRIVACY_NOTES[k]) for k in ("processing", "visible", "tools", "none"))
     return f"""{PATTERNS}, {RATED}, {CAPTURED},
 n AS (SELECT trace_id, count(*) AS n FROM narrated GROUP BY 1),
-listed AS (SELECT trace_id, list({each} ORDER BY episode_no) AS e FROM episodes GROUP BY 1)
+listed AS (
+  SELECT trace_id, list({each} ORDER BY episode_no) AS e, arg_min(episode_id, episode_no) AS first_id,
+         arg_min(episode_id, episode_no) FILTER ({case_of("recovery_pattern", V.VIEW_TONES, "'unknown'")} = 'risk') AS grave_id FROM episodes GROUP BY 1)
 SELECT n.trace_id, to_json({{'trace_title': 'Agent trace: ' || n.trace_id, 'agent_type_guess': 'unknown', 'analysis_scope': {lit(V.SCOPE)}, 'engine': '{V.RULE_ENGINE}', 'captured': coalesce(c.captured, '—'),
   'narrative_message_count': n.n, 'redaction_count': 0, 'duration_total': coalesce(c.duration_total, '—'), 'verdict': {{{verdict}}}, 'overall_patterns': {{{pattern}}}, 'privacy_notes': [{notes}],
-  'episodes': coalesce(l.e, []), 'model_status': ''}})::VARCHAR AS view
+  'episodes': coalesce(l.e, []), 'model_status': '', 'first_selected': coalesce(CASE WHEN v.tone = 'risk' THEN grave_id END, first_id, ''), 'selected': coalesce(first_id, '')}})::VARCHAR AS view
 FROM n LEFT JOIN listed l ON l.trace_id = n.trace_id LEFT JOIN verdict v ON v.trace_id = n.trace_id LEFT JOIN patterns p ON p.trace_id = n.trace_id LEFT JOIN captured c ON c.trace_id = n.trace_id"""
 
 
+#: Numbers that the detector is sure of.
+SURE = PHONE.removesuffix("[0-9]{4}") + f"[0-9]{{3}}[{ODD}]"
+
+
+def figures_sql() -> str:
+    stage = lambda run, name, k, source, text, n="0": f"SELECT '{run}' AS run, '{name}' AS stage, {k}::INTEGER AS ordinal, count(*)::BIGINT AS rows, coalesce(sum(strlen({text})), 0)::BIGINT AS bytes, coalesce(sum({n}), 0)::BIGINT AS redactions, true AS timed FROM {source}"
+    sessions = [stage("sessions", "extract", 0, "narrated", "text"), stage("sessions", "redact", 1, "narrated", "text"), stage("sessions", "chart", 2, "said", "combined"), stage("sessions", "classify", 3, "episodes", "reported_difficulty")]
+    spotted = "coalesce(list_sum(list_transform(found, lambda f: f.n)), 0)"
+    documents = [stage("documents", "extract", 0, f"(SELECT {planted_text()} AS text FROM documents)", "text"), stage("documents", "redact", 1, "redacted", "text", spotted)]
+    documents += [stage("documents", name, k, "(SELECT '' AS text WHERE false)", "text") for k, name in ((2, "chart"), (3, "classify"))]
+    return redaction_steps().replace("WITH ", EPISODES + ", ", 1) + " " + " UNION ALL ".join(sessions + documents)
+
+
 def two_pass_sql() -> str:
     notes = {k: V.PRIVACY_NOTES[k] for k in ("unavailable", "screened", "applied", "none")}
     return redaction_steps() + f""",
 t AS (
-  SELECT doc_id AS trace_id, contains(text, 'SLACK') AS failed, len(regexp_extract_all(text, {lit(PHONE)})) AS phones, text, found FROM redacted),
+  SELECT doc_id AS trace_id, contains(text, 'SLACK') AS failed, len(regexp_extract_all(text, {lit(SURE)})) AS phones, text, found FROM redacted),
 u AS (
-  SELECT trace_id, failed, CASE WHEN failed THEN text ELSE regexp_replace(text, {lit(PHONE)}, '[REDACTED_PHONE]', 'g') END AS text,
+  SELECT trace_id, failed, CASE WHEN failed THEN text ELSE regexp_replace(text, {lit(SURE)}, '[REDACTED_PHONE]', 'g') END AS text,
          CASE WHEN failed OR phones = 0 THEN found ELSE list_append(found, {{'label': 'phone number', 'n': phones}}) END AS found FROM t)
 SELECT trace_id, md5(text) AS text_md5, 1::BIGINT AS n_messages, coalesce(list_sum(list_transform(found, lambda f: f.n)), 0)::BIGINT AS redaction_count,
   {lit(UNMARKED)} || ' ' || CASE WHEN failed THEN {told(notes["unavailable"], "'RuntimeError'")} ELSE {lit(notes["screened"])} END || ' '
@@ -273,6 +288,10 @@ SELECT doc_id, text, array_to_string(list_transform(list_sort(found), lambda f:
     "signal_scores": f"{CANDIDATES} SELECT f.trace_id, f.msg_index, difficulty_score, has_shift, has_intention, has_outcome, is_candidate FROM flags f JOIN spans s ON s.trace_id = f.trace_id AND s.msg_index = f.msg_index",
     "candidate_spans": f"{CANDIDATES} SELECT * FROM candidates",
     "merged_spans": f"{MERGED} SELECT * FROM merged",
+    "segmented_spans": f"{MERGED} SELECT * FROM merged",
+    "streamed_episodes": f"{EPISODES} SELECT * FROM episodes",
+    "device_choice": "SELECT event_id, CASE event_id % 5 WHEN 2 THEN 'cpu' WHEN 3 THEN 'cuda' WHEN 4 THEN 'mps' ELSE CASE WHEN event_id % 3 = 0 THEN 'cuda' WHEN event_id % 2 = 0 THEN 'mps' ELSE 'cpu' END END AS device FROM events",
+    "stage_figures": figures_sql(),
     "span_messages": f"{KEYS} SELECT trace_id, episode_no, msg_index, text FROM inside",
     "sentences": f"WITH {narrated_sql()}, s AS (SELECT trace_id, msg_index, {sentences("text || chr(10) || '- And more?  Yes! '")} AS s FROM narrated) SELECT trace_id, msg_index, generate_subscripts(s, 1) - 1 AS k, unnest(s) AS sentence FROM s",
     "key_sentences": f"{KEYS} SELECT trace_id, episode_no, len(s) AS n_sentences, difficulty_sentence, intention, shift_sentence, outcome_sentence FROM keys",
@@ -282,6 +301,7 @@ SELECT doc_id, text, array_to_string(list_transform(list_sort(found), lambda f:
     "pattern_summary": f"{PATTERNS} SELECT * FROM patterns",
     "session_verdict": f"{EPISODES}, {RATED} SELECT * FROM verdict",
     "field_report": report_sql(),
+    "trace_files": f"SELECT *, 'episodes.json, field-report.md, narrative.md' AS names FROM ({report_sql()})",
     "view_model": view_sql(),
     "two_pass_redaction": two_pass_sql(),
     "model_analysis": model_sql(),

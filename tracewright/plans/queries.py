@@ -11,13 +11,16 @@ from pyspark.sql import functions as F
 from tracewright.functions import text as X
 from tracewright.functions.times import duration_label
 from tracewright.operators import episodes as E
-from tracewright.operators import display, model, redaction
+from tracewright.operators import devices, display, model, redaction
 from tracewright.operators import summary as S
 from tracewright.operators.messages import narrative, role_of, sampled, settle, trace_title
 from tracewright.plans import analysis
+from tracewright.plans.figures import Figures
 from tracewright.plans.fixtures import TRACE_LENGTH, conversations, narrated, planted, span_rows
 from tracewright.sources import records, traces
 from tracewright.sources.scratch import shared_folder
+from tracewright.sources.session_files import write_files
+from tracewright.streaming import state
 
 PHONE, EMAIL = r"\+1 \([0-9]{3}\) 555-[0-9]{4}", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 
@@ -70,6 +73,11 @@ def merged_spans(spark: SparkSession, sf: str) -> DataFrame:
     return E.merged_spans(E.candidate_spans(narrated(spark, sf)))
 
 
+def segmented_spans(spark: SparkSession, sf: str) -> DataFrame:
+    """merged_spans, in segments of 50 messages."""
+    return E.segmented_spans(narrated(spark, sf), segment=50)
+
+
 def span_messages(spark: SparkSession, sf: str) -> DataFrame:
     return E.span_messages(narrated(spark, sf)).select("trace_id", "episode_no", "msg_index", "text")
 
@@ -185,6 +193,46 @@ def document_scan(spark: SparkSession, sf: str) -> DataFrame:
     return records.messages_of(records.told(records.lines_of(files))).select("trace_id", "msg_index", "role", "text")
 
 
+def stage_figures(spark: SparkSession, sf: str) -> DataFrame:
+    """What is observed while sessions and documents with secrets are analysed."""
+    documents = planted(spark, sf).select(F.col("doc_id").alias("trace_id"), F.lit(0).cast("long").alias("msg_index"), F.lit("assistant").alias("role"), "text", F.lit(None).cast("string").alias("timestamp"), F.lit("documents").alias("source"))
+    out = None
+    for run, messages in (("sessions", narrated(spark, sf)), ("documents", documents)):
+        seen = Figures()
+        analysis.analyze(messages, figures=seen)
+        told = seen.relation(spark).select(F.lit(run).alias("run"), "stage", "ordinal", "rows", "bytes", "redactions", (F.col("seconds") > 0).alias("timed"))
+        out = told if out is None else out.unionByName(told)
+    return out
+
+
+def trace_files(spark: SparkSession, sf: str) -> DataFrame:
+    """The files of each trace, written and read back; of the report its text."""
+    folder = f"{shared_folder(spark)}/tracewright/files-{uuid.uuid4().hex}"
+    write_files(analysis.analyze(narrated(spark, sf)), folder)
+    files = spark.read.text(folder, wholetext=True, recursiveFileLookup=True).select(F.regexp_extract("_metadata.file_path", r"([^/]+)/[^/]+$", 1).cast("long").alias("trace_id"), F.col("_metadata.file_name").alias("name"), "value")
+    text = F.max(F.when(F.col("name") == "field-report.md", F.col("value")))
+    return files.groupBy("trace_id").agg(text.alias("report"), F.array_join(F.array_sort(F.collect_list("name")), ", ").alias("names"))
+
+
+def device_choice(spark: SparkSession, sf: str) -> DataFrame:
+    """The device of runs that ask for one or none, where there are some or none."""
+    e = spark.read.parquet(f"{sf}/events.parquet")
+    asked = F.element_at(F.array(F.lit(None).cast("string"), F.lit(""), F.lit("cpu"), F.lit("cuda"), F.lit("mps")), (F.col("event_id") % 5 + 1).cast("int"))
+    return e.select("event_id", devices.chosen(asked, F.col("event_id") % 3 == 0, F.col("event_id") % 2 == 0).alias("device"))
+
+
+def streamed_episodes(spark: SparkSession, sf: str) -> DataFrame:
+    """Messages that arrive in four batches, out of order, as a stream; the episodes that stand in the end."""
+    folder = f"{shared_folder(spark)}/tracewright/stream-{uuid.uuid4().hex}"
+    m = narrated(spark, sf)
+    # a file a batch, as a stream of files takes them
+    m.withColumn("part", F.pmod(F.xxhash64("trace_id", "msg_index"), F.lit(4))).repartition("part").write.partitionBy("part").parquet(f"{folder}/in")
+    arriving = spark.readStream.schema(m.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{folder}/in")
+    state.run(arriving, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    found = state.latest(spark.read.parquet(f"{folder}/out"))
+    return found.select(*E.COLUMNS).withColumn("evidence_quotes", F.array_join("evidence_quotes", " | "))
+
+
 def plain_text_blocks(spark: SparkSession, sf: str) -> DataFrame:
     c = conversations(spark, sf)
     line = F.concat(F.when(F.col("raw_role") == "user", "User: ").when(F.col("turn") % 3 == 0, "AGENT:  ").otherwise("assistant:"), "text", F.lit("\nand more"))
@@ -217,11 +265,14 @@ def model_apply(spark: SparkSession, sf: str) -> DataFrame:
     return taken.select("trace_id", "episode_id", "title", "start_index", "end_index", "start_time", "end_time", "duration_label", "reported_difficulty", "difficulty_type", "appraisal", "outcome_claim", "productive_detour", _list("evidence_quotes"))
 
 
+ODD = "13579"
+
+
 def _telephones(texts: list[str]) -> list[list[dict]]:
-    """A detector that fails where a Slack token was."""
+    """A detector that fails where a Slack token was, and is sure of numbers with an odd end alone."""
     if any("SLACK" in t for t in texts):
         raise RuntimeError("no device")
-    return [[{"start": m.start(), "end": m.end(), "label": "private_phone", "score": 0.9} for m in re.finditer(PHONE, t)] for t in texts]
+    return [[{"start": m.start(), "end": m.end(), "label": "private_phone", "score": 0.9 if m[0][-1] in ODD else 0.3} for m in re.finditer(PHONE, t)] for t in texts]
 
 
 def two_pass_redaction(spark: SparkSession, sf: str) -> DataFrame:
@@ -307,6 +358,6 @@ QUERIES = {
         message_roles, normalized_text, regex_redaction, redaction_totals, pii_span_merge, pii_mask, signal_scores, candidate_spans, merged_spans, span_messages, sentences, key_sentences, episode_codes,
         episodes, pattern_summary, code_counts, session_verdict, difficulty_clusters, detour_groups, durations, capture_window, numbered_narrative, redacted_narrative, field_report, view_model,
         parse_roundtrip, plain_text_blocks, agent_sniff, model_apply, progress_plan, codebook_lookup, outcome_audit,
-        ranked_clusters, trail_layout, seconds_labels, two_pass_redaction, model_analysis, episodes_json, trace_titles, split_scan, document_scan,
+        ranked_clusters, trail_layout, seconds_labels, two_pass_redaction, model_analysis, episodes_json, trace_titles, split_scan, document_scan, streamed_episodes, segmented_spans, stage_figures, trace_files, device_choice,
     )
 }
