@@ -36,6 +36,45 @@ def test_passages_in_lines_and_over_lines(spark):
     assert len(left[1]) == 40 and all(set(left[i + 1]).isdisjoint(left[i]) for i in (0, 10, 20, 30, 40))
 
 
+def test_random_passages_equal_brute_force(spark):
+    """Passages cut and joined anywhere, in few and in many words, repeated within a text and over texts; periodic stretches too."""
+    rng = random.Random(11)
+    stock = [[f"v{rng.randrange(10**4)}" for _ in range(rng.randint(52, 160))] for _ in range(6)] + [["p", "q", "r"] * 40, ["z"] * 90]
+    rows = []
+    for k in range(90):
+        words = []
+        for _ in range(rng.randint(1, 5)):
+            words += [f"u{rng.randrange(10**5)}" for _ in range(rng.randint(0, 30))]
+            some = rng.choice(stock)
+            a = rng.randint(0, len(some) // 3)
+            words += some[a : rng.randint(a + 40, len(some))]
+        rows.append((k, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"]: r["text"].split() for r in line_dedup.passage_dedup(docs).collect()} == brute(rows)
+
+
+def test_digests_that_meet_are_drawn_anew(spark, monkeypatch):
+    real, tries = line_dedup._windows, []
+
+    def meet(bodies, seed):
+        from pyspark.sql import functions as F
+
+        tries.append(seed)
+        later = real(bodies, seed)
+        if seed == 0:  # as if windows that differ had one digest
+            wrong = bodies.orderBy(line_dedup.BODY).limit(1).select(F.col(line_dedup.DIGEST).alias("x")).first()["x"]
+            other = bodies.where(F.col(line_dedup.DIGEST) != wrong).limit(1).select(line_dedup.DIGEST, F.lit(0).alias("o"), *[F.col(f"{line_dedup.FIRST}.{c}").alias(c) for c in ("unknown", "doc", "mark", "pos")], F.lit(wrong).alias("other"), F.lit(0).alias("at"))
+            later = later.unionByName(other)
+        return later
+
+    monkeypatch.setattr(line_dedup, "_windows", meet)
+    rng = random.Random(5)
+    passage = [f"v{rng.randrange(10**6)}" for _ in range(70)]
+    rows = [(k, " ".join([f"a{k}", *passage[k:], f"b{k}"])) for k in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"]: r["text"].split() for r in line_dedup.passage_dedup(docs).collect()} == brute(rows) and tries == [0, 1]
+
+
 def test_lines_end_where_the_pattern_of_their_ends_says(spark):
     import re
 

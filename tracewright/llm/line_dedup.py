@@ -2,7 +2,7 @@
 
 Lines: a line ends at a line end, and after a sentence within it, so a paragraph that is written in one line has lines too. Chunks: a rolling hash
 over the hashes of the last `window` lines ends a chunk where it is 0 modulo `divisor`, so boundaries depend on nearby lines alone and
-a passage that is shifted or set in another text is cut alike. Chunks of several lines, and of LEAST words, that repeat anywhere in the corpus are removed but
+a passage that is shifted or set in another text is cut alike. Chunks of several lines that repeat anywhere in the corpus are removed but
 for the first (smallest doc_id, then position), after their lines have been compared with the first one's.
 
 Only digests of chunks are shuffled for all chunks. Repeated ones make a filter (see filters.py), and filters tell which texts must move at
@@ -10,22 +10,21 @@ all; in these the chunks are found again by the places of their lines.
 
 Passages: a chunk begins in one text and ends in another, so a passage loses its middle. `passage_dedup` then removes every run of at least PASSAGE
 words that stands earlier in the corpus. Runs of RUN words that begin with a word whose hash is 0 modulo EVERY are anchors, and all runs
-where no such word is near, so equal passages have equal anchors; only around anchors that repeat are passages told by their digests.
+where no such word is near, so equal passages have equal anchors. Around anchors that repeat, the passages that have an anchor as their first are one string of words; equal strings are one,
+and only where an anchor has several strings are windows told one by one, as stretches that are then compared word by word.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewright.llm.common import BLANKS, P, WORD, stored, text_of, with_text
 from tracewright.llm.filters import Filter
 
 WINDOW, DIVISOR = 2, 2
-#: Words that a chunk has at least if it is to be looked for: two short sentences may meet by chance.
-LEAST = 10
 HASH_SPACE = 2**32
 FACTOR = 1_000_003  # times any hash below 2**32 this stays within a long
 #: A line with its end: all up to a line end, up to a full stop, question or exclamation mark before a space and with it, or to the end of the text.
@@ -104,18 +103,18 @@ def _met(docs: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
     return held.drop(f"{P}met", f"{P}doc2", f"{P}mark2"), told.where(f"NOT {P}met").drop(f"{P}met")
 
 
-def line_dedup(docs: DataFrame, counted: bool = True, least: int = LEAST, **cut: int) -> DataFrame:
+def line_dedup(docs: DataFrame, counted: bool = True, **cut: int) -> DataFrame:
     """docs without repeated chunks: its columns, text changed (n_chars too), and, if `counted`, n_lines, removed_chunks, removed_lines (long), which replace columns so named.
 
     Chunks are the same if their lines are, but for white space around a line. A null text is an empty one, with one empty line, and comes back
-    empty. Chunks of one line, or of fewer than `least` words, are never removed here. A null doc_id comes after all others. Rows that repeat both
+    empty. Chunks of one line are never removed here. A null doc_id comes after all others. Rows that repeat both
     doc_id and text are alike: they keep or lose the same chunks. A document all of whose chunks repeat earlier ones stays, with
     an empty text. A very long text is cut as a whole. An empty table stays empty.
     """
     keyed = _keyed(docs)
     chunks = chunked(keyed.select(*ROW, "text"), **cut).select(*ROW, F.posexplode_outer(CHUNKS).alias(POS, "chunk"))  # outer: the filter Spark infers for an inner one would repeat the whole cutting
-    told = chunks.where("chunk.lines > 1").select(*ROW, POS, "chunk.first", "chunk.lines", F.unhex(F.md5("chunk.body")).alias(DIGEST), (F.regexp_count("chunk.body", F.lit(WORD)) >= least).alias("said"))
-    keys = stored(told.where("said").drop("said"), "chunks")
+    told = chunks.where("chunk.lines > 1").select(*ROW, POS, "chunk.first", "chunk.lines", F.unhex(F.md5("chunk.body")).alias(DIGEST))
+    keys = stored(told, "chunks")
     hit = F.struct(POS, "first", "lines", DIGEST, (_place() == F.col(FIRST)).alias("model"))
     hits = stored(_repeated(keys, "repeated-chunks").groupBy(*ROW).agg(F.array_sort(F.collect_list(hit)).alias(HITS)), "chunk-hits")
     met, others = _met(keyed, hits)
@@ -152,59 +151,131 @@ def line_dedup(docs: DataFrame, counted: bool = True, least: int = LEAST, **cut:
 PASSAGE, RUN, EVERY = 51, 12, 8
 #: So many runs begin in a passage; one of them is an anchor.
 STARTS = PASSAGE - RUN + 1
-SPANS = "array<struct<start:int,end:int>>"
+WORDS, MARKS, SPOTS, BODY, FROM, TO, WHOLE = (f"{P}{x}" for x in ("words", "marks", "spots", "body", "from", "to", "whole"))
 
 
 def words_of(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
 
 
-def _anchors(docs: DataFrame) -> DataFrame:
-    """(ROW, p, run): where the anchors of each text begin, from 1, and the hashes of their words."""
-    words, spots = f"{P}words", f"{P}spots"
-    telling = lambda i: F.pmod(F.xxhash64(F.element_at(words, i)), F.lit(EVERY)) == 0
-    last = F.size(words) - RUN + 1
+def _marked(docs: DataFrame) -> DataFrame:
+    """ROW, WORDS and MARKS, array<struct<p, gap, run>>: where the anchors of each text begin, from 1, in order, with hashes of their words; null for short texts.
+
+    Anchors begin with a telling word, or (gap) where none begins among so many words that a passage might have no other.
+    """
+    telling = lambda i: F.pmod(F.xxhash64(F.element_at(WORDS, i)), F.lit(EVERY)) == 0
+    last = F.size(WORDS) - RUN + 1
     # no filter on the words, and outer explosions: Spark would push a filter below what it looks at, and find the words twice
-    enough = lambda x: F.when(F.size(words) >= PASSAGE, x)
-    found = docs.select(*ROW, words_of(text_of(docs)).alias(words))
-    found = found.withColumn(spots, enough(F.concat(F.array(F.lit(0)), F.filter(F.sequence(F.lit(1), last), telling), F.array(last + 1))))
-    # a stretch without a telling word that holds all starts of a passage: each of its runs is an anchor
-    none = F.array().cast("array<int>")
-    gaps = F.flatten(F.transform(spots, lambda a, k: F.when(F.get(spots, k + 1) - a > STARTS, F.sequence(a + 1, F.get(spots, k + 1) - 1)).otherwise(none)))
-    every = F.concat(F.slice(spots, F.lit(2), F.size(spots) - 2), gaps)
-    each = enough(F.transform(every, lambda p: F.struct(p.alias("p"), F.xxhash64(F.slice(words, p, RUN)).alias("run"))))
-    return found.select(*ROW, F.explode_outer(each).alias("a")).where("a IS NOT NULL").select(*ROW, "a.p", "a.run")
+    enough = lambda x: F.when(F.size(WORDS) >= PASSAGE, x)
+    found = docs.select(*ROW, *[c for c in (SPOTS,) if c in docs.columns], words_of(text_of(docs)).alias(WORDS))
+    found = found.withColumn(f"{P}tells", enough(F.concat(F.array(F.lit(0)), F.filter(F.sequence(F.lit(1), last), telling), F.array(last + 1))))
+    none, tells = F.array().cast("array<int>"), F.col(f"{P}tells")
+    # from each telling word to the next, which leaves the end out
+    each = F.flatten(F.transform(tells, lambda t, k: F.when(F.get(tells, k + 1) - t > STARTS, F.sequence(t, F.get(tells, k + 1) - 1)).when(k < F.size(tells) - 1, F.array(t)).otherwise(none)))
+    mark = lambda p: F.struct(p.alias("p"), (F.pmod(F.xxhash64(F.element_at(WORDS, p)), F.lit(EVERY)) != 0).alias("gap"), F.xxhash64(F.slice(WORDS, p, RUN)).alias("run"))
+    return found.withColumn(MARKS, F.transform(F.filter(each, lambda p: p > 0), mark)).drop(f"{P}tells")
+
+
+def _super_words(held: DataFrame) -> DataFrame:
+    """(ROW, POS, `count`, run, BODY): of the anchors listed in SPOTS (places in MARKS from 0) the passages that have it as their first in the order of (gap, run, place), `count` starts from POS
+    on, as one string of words. A passage has one such anchor, and equal passages the same one."""
+    key = lambda m: F.struct(m["gap"], m["run"], m["p"])
+    own = lambda k: F.get(MARKS, k)
+    before = lambda k: F.filter(F.slice(MARKS, F.greatest(k - STARTS + 2, F.lit(1)), F.least(k, F.lit(STARTS - 1))), lambda m: key(m) < key(own(k)))
+    after = lambda k: F.filter(F.slice(MARKS, k + 2, STARTS - 1), lambda m: key(m) < key(own(k)))
+    near = F.transform(SPOTS, lambda k: F.struct(own(k)["p"].alias("p"), own(k)["run"].alias("run"), F.array_max(F.transform(before(k), lambda m: m["p"])).alias("l"), F.array_min(F.transform(after(k), lambda m: m["p"])).alias("r")))
+    first = lambda x: F.greatest(F.lit(1), x["p"] - STARTS + 1, x["l"] + 1)
+    last = lambda x: F.least(x["p"], F.size(WORDS) - PASSAGE + 1, x["r"] - STARTS)
+    ranges = F.filter(F.transform(f"{P}near", lambda x: F.struct(x["run"].alias("run"), first(x).alias("a"), last(x).alias("b"))), lambda x: x["a"] <= x["b"])
+    strings = F.transform(f"{P}ranges", lambda x: F.struct(x["run"].alias("run"), x["a"].alias(POS), (x["b"] - x["a"] + 1).alias("count"), F.array_join(F.slice(WORDS, x["a"], x["b"] - x["a"] + PASSAGE), " ").alias(BODY)))
+    told = held.withColumn(f"{P}near", near).withColumn(f"{P}ranges", ranges).select(*ROW, F.explode_outer(strings).alias("x"))
+    return told.where("x IS NOT NULL").select(*ROW, "x.*")
+
+
+def _same(doc: Column, mark: Column) -> Column:
+    return F.col(DOC).eqNullSafe(doc) & (F.col(MARK) == mark)
+
+
+def _windows(bodies: DataFrame, seed: int) -> DataFrame:
+    """(DIGEST, `o`, FIRST, `other`, `at`): of the windows of strings that stand in an earlier place of another string: where in theirs, the first place of all, and where in its string."""
+    words = F.split(BODY, " ")
+    each = F.transform(F.sequence(F.lit(0), F.size(WORDS) - PASSAGE), lambda o: F.struct(o.alias("o"), F.unhex(F.md5(F.concat(F.lit(f"{seed} "), F.array_join(F.slice(WORDS, o + 1, PASSAGE), " ")))).alias("window")))
+    rows = bodies.withColumn(WORDS, words).select(DIGEST, FIRST, F.explode_outer(each).alias("w")).select(DIGEST, FIRST, "w.*")
+    place = F.struct(*[(F.col(f"{FIRST}.{c}") + F.col("o") if c == "pos" else F.col(f"{FIRST}.{c}")).alias(c) for c in ("unknown", "doc", "mark", "pos")], F.col(DIGEST).alias("other"), F.col("o").alias("at"))
+    rows = stored(rows.select(DIGEST, "o", "window", place.alias("place")), "windows")
+    firsts = rows.groupBy("window").agg(F.min("place").alias(FIRST), F.max("place").alias("last")).where(F.col(FIRST) != F.col("last")).drop("last")
+    firsts = stored(firsts, "first-windows")
+    later = Filter(firsts, "window").may_hold(rows, "window").join(firsts.hint("merge"), "window").where(F.col("place") != F.col(FIRST))
+    return later.select(DIGEST, "o", *[F.col(f"{FIRST}.{c}").alias(c) for c in ("unknown", "doc", "mark", "pos", "other", "at")])
+
+
+def _diagonals(later: DataFrame) -> DataFrame:
+    """(DIGEST, `runs`): stretches of windows of a string, from offset oa to ob, that follow one another in one first string too: its place for offset 0, and the shift to its own offsets."""
+    listed = later.groupBy(DIGEST).agg(F.array_sort(F.collect_list(F.struct("o", "doc", "mark", (F.col("pos") - F.col("o")).alias("pos"), "other", (F.col("at") - F.col("o")).alias("shift")))).alias("w"))
+    w = lambda k: F.get("w", k)
+    alike = lambda k: (w(k)["o"] == w(k - 1)["o"] + 1) & w(k)["doc"].eqNullSafe(w(k - 1)["doc"]) & (w(k)["mark"] == w(k - 1)["mark"]) & (w(k)["pos"] == w(k - 1)["pos"]) & (w(k)["other"] == w(k - 1)["other"]) & (w(k)["shift"] == w(k - 1)["shift"])
+    listed = listed.withColumn("cuts", F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda k: (k == 0) | ~alike(k)))
+    end = lambda i: w(F.coalesce(F.get("cuts", i + 1), F.size("w")) - 1)["o"]
+    runs = F.transform("cuts", lambda k, i: F.struct(w(k)["o"].alias("oa"), end(i).alias("ob"), w(k)["doc"].alias("doc"), w(k)["mark"].alias("mark"), w(k)["pos"].alias("pos"), w(k)["other"].alias("other"), w(k)["shift"].alias("shift")))
+    return listed.select(DIGEST, runs.alias("runs"))
+
+
+def _spans(docs: DataFrame) -> DataFrame:
+    """(ROW, `start`, `end`): the words of docs (with ROW) that go, as spans that may overlap."""
+    marked = _marked(docs).select(*ROW, F.posexplode_outer(MARKS).alias("k", "m")).where("m IS NOT NULL").select(*ROW, "k", "m.run")
+    anchors = stored(marked, "anchors")
+    shared = stored(anchors.groupBy("run").count().where("count > 1").select("run"), "repeated-runs")
+    hits = Filter(shared, "run").may_hold(anchors, "run").join(shared.hint("merge"), "run", "left_semi")
+    held, _ = _met(docs.select(*ROW, "text"), stored(hits.groupBy(*ROW).agg(F.array_sort(F.collect_set("k")).alias(SPOTS)), "anchor-hits"))
+    told = _super_words(_marked(held.where(F.col(SPOTS).isNotNull())))
+    seed = 0
+    while True:  # until digests tell all strings apart, and windows
+        places = stored(told.withColumn(DIGEST, F.unhex(F.md5(F.concat(F.lit(f"{seed} "), BODY)))), "super-words")
+        grouped = places.groupBy(DIGEST, "run", "count", BODY).agg(F.min(_place()).alias(FIRST), F.max(_place()).alias("last"))
+        bodies = stored(grouped.withColumn(WHOLE, F.col(FIRST) != F.col("last")).drop("last"), "strings")
+        if bodies.groupBy(DIGEST).count().where("count > 1").isEmpty():
+            kinds = stored(bodies.groupBy("run").count().where("count > 1").select("run"), "kinds")
+            runs = stored(_diagonals(_windows(Filter(kinds, "run").may_hold(bodies, "run"), seed)), "diagonals")
+            part = lambda body, a, n: F.array_join(F.slice(F.split(body, " "), a + 1, n), " ")
+            pairs = runs.select(DIGEST, F.inline("runs")).join(bodies.select(DIGEST, BODY).hint("merge"), DIGEST)
+            pairs = pairs.join(bodies.select(F.col(DIGEST).alias("other"), F.col(BODY).alias(f"{P}first")).hint("merge"), "other")
+            size = F.col("ob") - F.col("oa") + PASSAGE
+            if pairs.where(part(BODY, F.col("oa"), size) != part(f"{P}first", F.col("oa") + F.col("shift"), size)).isEmpty():
+                break
+        seed += 1
+
+    # every offset of a string by its first place: a stretch of another string's, or else the string's own first place
+    plain = lambda oa, ob, doc, mark, pos: F.struct(oa.alias("oa"), ob.alias("ob"), doc.alias("doc"), mark.alias("mark"), pos.alias("pos"))
+    own = lambda oa, ob: plain(oa, ob, F.col(f"{FIRST}.doc"), F.col(f"{FIRST}.mark"), F.col(f"{FIRST}.pos"))
+    some = bodies.select(DIGEST, "count", FIRST, WHOLE).join(runs.hint("merge"), DIGEST, "left").where(F.col(WHOLE) | F.col("runs").isNotNull())
+    some = some.withColumn("runs", F.coalesce("runs", F.array().cast(runs.schema["runs"].dataType)))
+    since, until = lambda i: F.coalesce(F.get("runs", i - 1)["ob"] + 1, F.lit(0)), lambda i: F.coalesce(F.get("runs", i)["oa"], F.col("count")) - 1
+    rest = F.filter(F.transform(F.sequence(F.lit(0), F.size("runs")), lambda i: own(since(i), until(i))), lambda x: x["oa"] <= x["ob"])
+    others = F.transform("runs", lambda x: plain(x["oa"], x["ob"], x["doc"], x["mark"], x["pos"]))
+    some = stored(some.select(DIGEST, F.concat(others, rest).alias("firsts")), "first-places")
+    met = Filter(some, DIGEST).may_hold(places.select(*ROW, POS, DIGEST), DIGEST).join(some.hint("merge"), DIGEST).select(*ROW, POS, F.inline("firsts"))
+    here = _same(F.col("doc"), F.col("mark"))
+    start = F.col(POS) + F.col("oa")
+    return met.where(~(here & (F.col("pos") == F.col(POS)))).select(*ROW, F.when(here, F.greatest(start, F.col("pos") + F.col("oa") + PASSAGE)).otherwise(start).alias("start"), (F.col(POS) + F.col("ob") + PASSAGE - 1).alias("end"))
 
 
 def passage_dedup(docs: DataFrame) -> DataFrame:
     """docs without runs of PASSAGE words or more that stand earlier (by doc_id, null last, then position), wherever lines end; text and n_chars change.
 
-    Words are compared, not the white space between them, by a 128-bit digest of each run of PASSAGE. A run that overlaps its own
-    first place loses only what is beyond that. Nothing is sampled or capped. Rows that repeat doc_id and text are alike; a null text becomes
+    Words are compared, not the white space between them: strings of words are grouped by themselves, and a stretch that two strings share is compared as a whole, so digests decide nothing.
+    A run that overlaps its own first place loses only what is beyond that. Nothing is sampled or capped. Rows that repeat doc_id and text are alike; a null text becomes
     an empty one; an empty table stays empty.
     """
     keyed = _keyed(docs)
-    anchors = stored(_anchors(keyed), "anchors")
-    runs = stored(anchors.groupBy("run").count().where("count > 1").select("run"), "repeated-runs")
-    hits = Filter(runs, "run").may_hold(anchors, "run").join(runs.hint("merge"), "run", "left_semi")
-    held, _ = _met(keyed.select(*ROW, "text"), stored(hits.groupBy(*ROW).agg(F.collect_set("p").alias(f"{P}spots")), "anchor-hits"))
-    words = f"{P}words"
-    held = held.where(F.col(f"{P}spots").isNotNull()).withColumn(words, words_of(text_of(held)))
-    starts = F.array_distinct(F.flatten(F.transform(f"{P}spots", lambda p: F.sequence(F.greatest(F.lit(1), p - STARTS + 1), F.least(p, F.size(words) - PASSAGE + 1)))))
-    digest = lambda s: F.unhex(F.md5(F.array_join(F.slice(words, s, PASSAGE), " ")))
-    found = held.withColumn(f"{P}starts", starts).select(*ROW, F.explode_outer(F.transform(f"{P}starts", lambda s: F.struct(s.alias("s"), digest(s).alias("digest")))).alias("w"))
-    windows = stored(found.select(*ROW, F.col("w.s").alias(POS), F.col("w.digest").alias(DIGEST)), "passages")
-
-    own = F.col(DOC).eqNullSafe(F.col(f"{FIRST}.doc")) & (F.col(MARK) == F.col(f"{FIRST}.mark"))
-    start = F.when(own, F.greatest(F.col(POS), F.col(f"{FIRST}.pos") + PASSAGE)).otherwise(F.col(POS))
-    later = _repeated(windows, "repeated-passages").where(_place() != F.col(FIRST)).select(*ROW, F.struct(start.alias("start"), (F.col(POS) + PASSAGE - 1).alias("end")).alias("s"))
-    # spans that touch are one, so that a long copy is one span and not one for each of its words
-    last = lambda done: F.get(done, F.size(done) - 1)
-    longer = lambda done, s: F.struct(last(done)["start"].alias("start"), F.greatest(last(done)["end"], s["end"]).alias("end"))
-    joined = lambda done, s: F.concat(F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0))), F.array(longer(done, s)))
-    add = lambda done, s: F.when(s["start"] <= last(done)["end"] + 1, joined(done, s)).otherwise(F.concat(done, F.array(s))).cast(SPANS)
-    merged = F.aggregate(F.array_sort(F.collect_list("s")), F.array().cast(SPANS), add)
-    met, others = _met(keyed, stored(later.groupBy(*ROW).agg(merged.alias(GONE)), "passage-hits"))
+    spans = _spans(keyed)
+    # spans that touch are one
+    order = Window.partitionBy(*ROW).orderBy("start", "end")
+    reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    opened = spans.withColumn("opens", (reach.isNull() | (F.col("start") > reach + 1)).cast("int"))
+    numbered = opened.withColumn("n", F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    joined = numbered.groupBy(*ROW, "n").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    merged = joined.groupBy(*ROW).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias(GONE))
+    met, others = _met(keyed, stored(merged, "passage-hits"))
     blank = r"[\x20\x09-\x0D]*"
     pieces = met.where(F.col(GONE).isNotNull()).withColumn(f"{P}pieces", F.regexp_extract_all(text_of(met), F.lit(f"(?:^{blank})?{WORD}{blank}"), F.lit(0)))
     before = lambda k: F.coalesce(F.get(GONE, k - 1)["end"], F.lit(0))

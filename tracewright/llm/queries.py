@@ -172,7 +172,7 @@ c AS (
   FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
 n AS (SELECT *, coalesce(sum(ends::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM c),
 k AS (SELECT doc_id, pos, string_agg(bare, chr(10) ORDER BY i) AS body, string_agg(line, '' ORDER BY i) AS lines, count(*) AS n_lines FROM n GROUP BY doc_id, pos),
-g AS (SELECT *, n_lines > 1 AND len(regexp_extract_all(body, '[^\x20\x09-\x0D]+')) >= {line_dedup.LEAST} AND row_number() OVER (PARTITION BY n_lines > 1, body ORDER BY doc_id, pos) > 1 AS gone FROM k)"""
+g AS (SELECT *, n_lines > 1 AND row_number() OVER (PARTITION BY n_lines > 1, body ORDER BY doc_id, pos) > 1 AS gone FROM k)"""
 
 OP9_SQL = rf"""{CHUNKS_SQL}
 SELECT doc_id, sum(n_lines)::BIGINT AS n_lines, sum(gone::INT)::BIGINT AS removed_chunks, sum(CASE WHEN gone THEN n_lines ELSE 0 END)::BIGINT AS removed_lines,
