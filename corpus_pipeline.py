@@ -15,24 +15,19 @@ from pyspark.sql import functions as F
 
 from tracewright.llm import line_dedup, mixing, near_dedup, packing, queries, toxicity
 from tracewright.llm.common import P, documents, stored
-from tracewright.sources.scratch import drop, under
+from tracewright.sources.scratch import drop, owned, release, under
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-#: By application, the folder of the stage that ran last.
-_LEFT: dict[str, str] = {}
 
 
 def tidy(stage: Stage) -> Stage:
-    """The stage with its intermediate tables in a folder of their own. The next stage, whose docs are this one's result as written, deletes it, so
-    the shared folder holds the tables of one stage at a time."""
+    """The stage with its intermediate tables in a folder of its own, which goes when nothing reads the stage's result any more: each stage looks, as it begins, for folders that can go.
+    Results of several stages or runs may be read in any order."""
 
     @functools.wraps(stage)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        application = spark.sparkContext.applicationId
-        if application in _LEFT:
-            drop(spark, _LEFT.pop(application))
-        with under(spark, stage.__name__) as folder:
-            _LEFT[application] = folder
+        release(spark)
+        with owned(spark, stage.__name__):
             return stage(spark, docs, sf_dir)
 
     return run
