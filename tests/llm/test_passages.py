@@ -83,3 +83,13 @@ def test_lines_end_where_the_pattern_of_their_ends_says(spark):
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r["doc_id"]: r["lines"] for r in rows.select("doc_id", line_dedup.lines_of(rows["text"]).alias("lines")).collect()}
     assert [got[k] for k in range(len(texts))] == [[x for x in re.split(r"(?<=\n)|(?<=[.!?] )", t) if x] or [""] for t in texts]
+
+
+def test_results_of_stages_and_runs_are_read_in_any_order(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(40)
+    docs = docs.sparkSession.createDataFrame(docs.collect(), docs.schema)
+    a, b = corpus_pipeline.keep_one(spark, docs, ""), corpus_pipeline.mix(spark, docs, "")
+    c = corpus_pipeline.keep_one(spark, docs, "")
+    assert a.count() == c.count() > 0 and b.count() > 0 and a.count() == a.select("doc_id").count()
+    one, two = (corpus_pipeline.run(spark, "/root/testdata/sf0.001") for _ in range(2))
+    assert two.count() == one.count() > 0
