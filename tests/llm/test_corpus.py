@@ -2,6 +2,7 @@
 
 import random
 import re
+import shutil
 import zlib
 from itertools import combinations
 
@@ -352,6 +353,21 @@ def test_digest_index_levels_and_filters(spark, tmp_path):
     assert filters.Filter(some.limit(0), exact_dedup.DIGEST).may_hold(level, exact_dedup.DIGEST).count() == 0
 
 
+def test_a_run_whose_filter_says_no_is_not_read(spark, tmp_path):
+    rows = spark.range(600).select(F.unhex(F.md5(F.col("id").cast("string"))).alias(exact_dedup.DIGEST), F.struct(F.col("id").alias("doc_id")).alias(exact_dedup.FIRST))
+    index = exact_dedup.DigestIndex(spark, str(tmp_path / "index"))
+    parts = [rows.where(F.col(f"{exact_dedup.FIRST}.doc_id").between(200 * k, 200 * k + 199)) for k in range(3)]
+    for part in parts:
+        index.flush(part)
+    assert sorted(p.name.split("-")[0] for p in (tmp_path / "index" / "level0").iterdir()) == ["filter"] * 3 + ["run"] * 3
+    asked = parts[1].where(f"{exact_dedup.FIRST}.doc_id < 210").union(rows.select(F.unhex(F.md5(F.lit("never"))), exact_dedup.FIRST).limit(3))
+    shutil.rmtree(index.runs()[0].rows.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0])  # it would fail if it were read
+    assert sorted(r[exact_dedup.FIRST]["doc_id"] for r in index.lookup(asked).collect()) == list(range(200, 210))
+    assert index.lookup(rows.limit(0)).count() == 0
+    with pytest.raises(Exception, match="FILE_NOT_EXIST|does not exist"):
+        index.lookup(parts[0].limit(5)).collect()
+
+
 def test_sharding(odd, empty):
     owners = sharding.lookup_table()
     counts = np.bincount(owners)

@@ -147,3 +147,36 @@ def test_mixtures_against_brute_force(spark):
         some = [rng.choice(ids) for _ in range(rng.randrange(1, 7))] + list(rng.choice(licenses.RULES)[3])
         texts.append(paragraphs(*some, wrap=rng.choice((30, 60, 2000)), lead=rng.choice(("", "# ", "-- "))))
     assert [(r["sentence_ids"], r["rules"]) for r in scan(spark, texts)] == [brute(t) for t in texts]
+
+
+def test_wrapped_sentences_are_the_same_rows_in_sql(spark):
+    """Known sentences with line ends put in anywhere, in comments, one after another or cut short: query and SQL agree."""
+    import random
+
+    import duckdb
+    import pandas as pd
+
+    from tracewright.llm import queries
+
+    pick = random.Random(6)
+    known = [*licenses.IN_SHORT.values(), *licenses.SENTENCES.values()]
+    texts = ["", "x\n\n\ny", None, "Licensed", *known]
+    for _ in range(260):
+        words = " ".join(pick.sample(known, pick.randint(1, 4))).split(" ")
+        for _ in range(pick.randint(0, 4)):
+            words.insert(pick.randrange(len(words) + 1), pick.choice(["\n", "\n", "\n# ", "\n\n", " * ", "extra", "\n  ", ". ", ";"]))
+        text = " ".join(words)
+        texts.append(pick.choice(["// ", "", "\n", "See: "]) + (text if pick.random() < 0.8 else text[: pick.randint(1, len(text))]) + pick.choice(["", "\n", ".", "!\n\nEnd"]))
+    rows = list(enumerate(texts))
+    c = duckdb.connect()
+    c.register("documents", pd.DataFrame(rows, columns=["doc_id", "text"]))
+    answer = c.execute(queries.op8_sql())
+    columns = [d[0] for d in answer.description]
+    expected = sorted(map(repr, answer.fetchall()))
+    found = licenses.licences(spark.createDataFrame(rows, "doc_id long, text string"))
+    from pyspark.sql import functions as F
+
+    got = found.select("doc_id", "n_sentences", *[F.array_join(x, ",").alias(x) for x in ("sentence_ids", "rules", "licences")], "licence", "commercial").select(*columns)
+    got = sorted(repr(tuple(r)) for r in got.collect())
+    assert got == expected
+    assert sum("''" not in x for x in expected) > 60 and sum(x.count("''") < 3 for x in expected) > 150

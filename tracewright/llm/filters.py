@@ -25,6 +25,13 @@ class Filter:
         at = self._place(*columns)
         self.bitmaps = keys.groupBy(F.bitmap_bucket_number(at).alias(BUCKET)).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias(BITMAP))
 
+    def keep(self, path: str) -> Filter:
+        """This filter, written to a path and read from there from now on."""
+        kind = self.bitmaps.schema
+        self.bitmaps.coalesce(1).write.parquet(path)  # MOST_BITS / 8 bytes at most
+        self.bitmaps = self.bitmaps.sparkSession.read.schema(kind).parquet(path)
+        return self
+
     def _place(self, *columns: str | Column) -> Column:
         return F.pmod(F.xxhash64(*columns), F.lit(self.bits)) + 1
 

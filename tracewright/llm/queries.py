@@ -125,13 +125,13 @@ FROM p
 """
 
 def op8_sql() -> str:
-    """The tables of sentences and rules as they stand in licenses.py; what is made of them is said here anew: splitting, identifiers of parts, sequences, order."""
+    """The tables of sentences and rules as they stand in licenses.py; what is made of them is said here anew: splitting, sentences over several lines, identifiers of parts, sequences, order."""
     text = lambda x: "'" + x.replace("'", "''") + "'"
     values = ", ".join(f"({k}, {text(i)}, {text(s)})" for k, (i, s) in enumerate([*licenses.IN_SHORT.items(), *licenses.SENTENCES.items()]))
     rules = ", ".join(f"({k}, {text(name)}, {text(licence)}, {commercial}, {list(seq)})" for k, (name, licence, commercial, seq) in enumerate(licenses.RULES))
     cut = lambda x: rf"string_split(regexp_replace(regexp_replace({x}, '[.!?;]+([\x20\x09-\x0D])', chr(10) || '\1', 'g'), '[.!?;]+$', ''), chr(10))"
     return rf"""
-WITH raw(place, id, sentence) AS (VALUES {values}),
+WITH RECURSIVE raw(place, id, sentence) AS (VALUES {values}),
 cut AS (SELECT place, id, list_filter(list_transform({cut("sentence")}, lambda x: trim(regexp_replace(lower(x), '[^a-z0-9]+', ' ', 'g'))), lambda x: x <> '') AS parts FROM raw),
 known AS (SELECT arg_max(id || CASE WHEN k > 1 THEN '.' || k ELSE '' END, place) AS id, part AS sentence FROM (SELECT place, id, unnest(parts) AS part, generate_subscripts(parts, 1) AS k FROM cut) GROUP BY part),
 asked(k, name, licence, commercial, ids) AS (VALUES {rules}),
@@ -143,11 +143,22 @@ rule AS (
 wider AS (
   SELECT a.k AS small, b.k AS big FROM rule a JOIN rule b ON len(a.seq) < len(b.seq)
   AND regexp_matches(',' || array_to_string(b.seq, ',') || ',', ',' || array_to_string(a.seq, ',(.*,)?') || ',')),
-s AS (SELECT doc_id, unnest({cut("coalesce(text, '')")}) AS sentence, generate_subscripts({cut("coalesce(text, '')")}, 1) AS i FROM documents),
-m AS (
-  SELECT s.doc_id, s.i, s.sentence, k.id FROM s LEFT JOIN known k ON k.sentence = trim(regexp_replace(lower(s.sentence), '[^a-z0-9]+', ' ', 'g'))
-  WHERE regexp_matches(s.sentence, '[A-Za-z0-9]')),
-d AS (SELECT doc_id, count(*) AS n_sentences, coalesce(string_agg(id, ',' ORDER BY i), '') AS sentence_ids FROM m GROUP BY doc_id),
+c AS (
+  SELECT doc_id, len(list_filter({cut("coalesce(text, '')")}, lambda x: regexp_matches(x, '[A-Za-z0-9]'))) AS n_sentences,
+         regexp_replace(regexp_replace(lower(coalesce(text, '')), '[.!?;]+([\x20\x09-\x0D])', chr(10) || chr(10) || '\1', 'g'), '[.!?;]+$', chr(10) || chr(10)) AS ended FROM documents),
+w AS (SELECT doc_id, n_sentences, trim(regexp_replace(regexp_replace(regexp_replace(ended, '[^a-z0-9\n]+', ' ', 'g'), ' ?\n ?', chr(10), 'g'), '\n\n+', 'X', 'g')) AS bare FROM c),
+p AS (SELECT doc_id, unnest(string_split(bare, 'X')) AS part, generate_subscripts(string_split(bare, 'X'), 1) AS s FROM w),
+q AS (SELECT doc_id, s, list_filter(string_split(part, chr(10)), lambda x: x <> '') AS lines FROM p),
+a AS (SELECT doc_id, s, lines, unnest(lines) AS line, generate_subscripts(lines, 1) AS i FROM q),
+-- a known sentence may run over several lines of a part, but begins and ends with one
+e AS (SELECT a.*, k.id, k.sentence FROM a JOIN known k ON starts_with(k.sentence, a.line)),
+g AS (SELECT doc_id, s, i, id, list_position(list_transform(range(i, len(lines) + 1), lambda j: array_to_string(lines[i:j], ' ')), sentence) AS n FROM e),
+m AS (SELECT doc_id, s, i, max(i + n - 1) AS j, arg_max(id, n) AS id FROM g WHERE n > 0 GROUP BY doc_id, s, i),
+x AS (SELECT v.doc_id, v.s, v.i, v.id, min(u.i) AS next FROM m v LEFT JOIN m u ON u.doc_id = v.doc_id AND u.s = v.s AND u.i > v.j GROUP BY ALL),
+t AS (
+  SELECT * FROM x WHERE i = (SELECT min(y.i) FROM x y WHERE y.doc_id = x.doc_id AND y.s = x.s)
+  UNION ALL SELECT x.* FROM t JOIN x ON x.doc_id = t.doc_id AND x.s = t.s AND x.i = t.next),
+d AS (SELECT w.doc_id, any_value(n_sentences) AS n_sentences, coalesce(string_agg(id, ',' ORDER BY s, i), '') AS sentence_ids FROM w LEFT JOIN t ON t.doc_id = w.doc_id GROUP BY w.doc_id),
 h AS (SELECT d.doc_id, r.* FROM d JOIN rule r ON regexp_matches(',' || d.sentence_ids || ',', ',' || array_to_string(r.seq, ',(.*,)?') || ',') WHERE d.sentence_ids <> ''),
 f AS (SELECT * FROM h WHERE NOT EXISTS (SELECT 1 FROM h g JOIN wider w ON w.big = g.k WHERE g.doc_id = h.doc_id AND w.small = h.k)),
 l AS (SELECT doc_id, licence, min(k) AS k FROM f GROUP BY doc_id, licence),
