@@ -151,6 +151,7 @@ def line_dedup(docs: DataFrame, counted: bool = True, **cut: int) -> DataFrame:
 PASSAGE, RUN, EVERY = 51, 12, 8
 #: So many runs begin in a passage; one of them is an anchor.
 STARTS = PASSAGE - RUN + 1
+NEVER = -(1 << 30)  # no place
 WORDS, MARKS, SPOTS, BODY, FROM, TO, WHOLE = (f"{P}{x}" for x in ("words", "marks", "spots", "body", "from", "to", "whole"))
 
 
@@ -159,7 +160,7 @@ def words_of(text: Column) -> Column:
 
 
 def _marked(docs: DataFrame) -> DataFrame:
-    """ROW, WORDS and MARKS, array<struct<p, gap, run>>: where the anchors of each text begin, from 1, in order, with hashes of their words; null for short texts.
+    """ROW, WORDS and MARKS, array<struct<p, order, run>>: where the anchors of each text begin, from 1, in order, with their rank among others and hashes of their words; null for short texts.
 
     Anchors begin with a telling word, or (gap) where none begins among so many words that a passage might have no other.
     """
@@ -169,26 +170,31 @@ def _marked(docs: DataFrame) -> DataFrame:
     enough = lambda x: F.when(F.size(WORDS) >= PASSAGE, x)
     found = docs.select(*ROW, *[c for c in (SPOTS,) if c in docs.columns], words_of(text_of(docs)).alias(WORDS))
     found = found.withColumn(f"{P}tells", enough(F.concat(F.array(F.lit(0)), F.filter(F.sequence(F.lit(1), last), telling), F.array(last + 1))))
-    none, tells = F.array().cast("array<int>"), F.col(f"{P}tells")
+    tells = F.col(f"{P}tells")
+    spot = lambda p, gap: F.struct(p.alias("p"), F.lit(gap).alias("gap"))
     # from each telling word to the next, which leaves the end out
-    each = F.flatten(F.transform(tells, lambda t, k: F.when(F.get(tells, k + 1) - t > STARTS, F.sequence(t, F.get(tells, k + 1) - 1)).when(k < F.size(tells) - 1, F.array(t)).otherwise(none)))
-    mark = lambda p: F.struct(p.alias("p"), (F.pmod(F.xxhash64(F.element_at(WORDS, p)), F.lit(EVERY)) != 0).alias("gap"), F.xxhash64(F.slice(WORDS, p, RUN)).alias("run"))
-    return found.withColumn(MARKS, F.transform(F.filter(each, lambda p: p > 0), mark)).drop(f"{P}tells")
+    gap = lambda t, k: F.concat(F.array(spot(t, False)), F.transform(F.sequence(t + 1, F.get(tells, k + 1) - 1), lambda p: spot(p, True)))
+    each = F.flatten(F.transform(tells, lambda t, k: F.when(F.get(tells, k + 1) - t > STARTS, gap(t, k)).when(k < F.size(tells) - 1, F.array(spot(t, False))).otherwise(F.array(spot(F.lit(0), False)))))
+    # as one number: those of telling words before those of gaps, then by the run
+    order = lambda run, gap: F.shiftright(run, 2) + F.when(gap, F.lit(1 << 62)).otherwise(F.lit(0).cast("long"))
+    hashed = F.transform(F.filter(each, lambda x: x["p"] > 0), lambda x: F.struct(x["p"].alias("p"), x["gap"].alias("gap"), F.xxhash64(F.slice(WORDS, x["p"], RUN)).alias("run")))
+    marks = F.transform(f"{P}hashed", lambda x: F.struct(x["p"].alias("p"), order(x["run"], x["gap"]).alias("order"), x["run"].alias("run")))
+    return found.withColumn(f"{P}hashed", hashed).withColumn(MARKS, marks).drop(f"{P}tells", f"{P}hashed")
 
 
 def _super_words(held: DataFrame) -> DataFrame:
-    """(ROW, POS, `count`, run, BODY): of the anchors listed in SPOTS (places in MARKS from 0) the passages that have it as their first in the order of (gap, run, place), `count` starts from POS
+    """(ROW, POS, `count`, run, BODY): of the anchors listed in SPOTS (places in MARKS from 0) the passages that have it as their first by rank, then place: `count` starts from POS
     on, as one string of words. A passage has one such anchor, and equal passages the same one."""
-    key = lambda m: F.struct(m["gap"], m["run"], m["p"])
-    own = lambda k: F.get(MARKS, k)
-    before = lambda k: F.filter(F.slice(MARKS, F.greatest(k - STARTS + 2, F.lit(1)), F.least(k, F.lit(STARTS - 1))), lambda m: key(m) < key(own(k)))
-    after = lambda k: F.filter(F.slice(MARKS, k + 2, STARTS - 1), lambda m: key(m) < key(own(k)))
-    near = F.transform(SPOTS, lambda k: F.struct(own(k)["p"].alias("p"), own(k)["run"].alias("run"), F.array_max(F.transform(before(k), lambda m: m["p"])).alias("l"), F.array_min(F.transform(after(k), lambda m: m["p"])).alias("r")))
+    x0 = F.transform(SPOTS, lambda k: F.struct(k.alias("k"), *[F.get(MARKS, k)[c].alias(c) for c in ("p", "order", "run")]))
+    # the nearest to either side that comes first; of equal ones the left one does
+    before = lambda x: F.aggregate(F.slice(MARKS, F.greatest(x["k"] - STARTS + 2, F.lit(1)), F.least(x["k"], F.lit(STARTS - 1))), F.lit(NEVER), lambda l, m: F.when(m["order"] <= x["order"], m["p"]).otherwise(l))  # noqa: E731, E741
+    after = lambda x: F.aggregate(F.slice(MARKS, x["k"] + 2, STARTS - 1), F.lit(-NEVER), lambda r, m: F.when((r == -NEVER) & (m["order"] < x["order"]), m["p"]).otherwise(r))
+    near = F.transform(f"{P}own", lambda x: F.struct(x["p"].alias("p"), x["run"].alias("run"), before(x).alias("l"), after(x).alias("r")))
     first = lambda x: F.greatest(F.lit(1), x["p"] - STARTS + 1, x["l"] + 1)
     last = lambda x: F.least(x["p"], F.size(WORDS) - PASSAGE + 1, x["r"] - STARTS)
     ranges = F.filter(F.transform(f"{P}near", lambda x: F.struct(x["run"].alias("run"), first(x).alias("a"), last(x).alias("b"))), lambda x: x["a"] <= x["b"])
     strings = F.transform(f"{P}ranges", lambda x: F.struct(x["run"].alias("run"), x["a"].alias(POS), (x["b"] - x["a"] + 1).alias("count"), F.array_join(F.slice(WORDS, x["a"], x["b"] - x["a"] + PASSAGE), " ").alias(BODY)))
-    told = held.withColumn(f"{P}near", near).withColumn(f"{P}ranges", ranges).select(*ROW, F.explode_outer(strings).alias("x"))
+    told = held.withColumn(f"{P}own", x0).withColumn(f"{P}near", near).withColumn(f"{P}ranges", ranges).select(*ROW, F.explode_outer(strings).alias("x"))
     return told.where("x IS NOT NULL").select(*ROW, "x.*")
 
 
