@@ -6,8 +6,9 @@ otherwise than Python does (keys that repeat, NaN, surrogates alone, huge number
 
 from __future__ import annotations
 
+import functools
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -24,8 +25,14 @@ END = "\u0001end"
 BREAKS = r"\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029"
 #: What JSON begins with, Python's own additions included.
 BEGINS = r"\A\s*[\[{\"\-0-9tfnNI]"
-#: Numbers that VARIANT rounds or calls by name, and surrogates without their other half, which no string can hold.
-ODD = r"[0-9]{38}|[0-9][eE]\+?[0-9]{3}|\\u[dD][89abAB][0-9a-fA-F]{2}(?!\\u[dD][c-fC-F])|(?<!\\u[dD][89abAB][0-9a-fA-F]{2})\\u[dD][c-fC-F]"
+#: Numbers that VARIANT rounds or calls by name, and surrogates without their other half, which no string can hold, with what they begin with.
+ODD = r"[0-9](?:[0-9]{37}|[eE]\+?[0-9]{3})"
+ALONE = r"\\u[dD][89abAB][0-9a-fA-F]{2}(?!\\u[dD][c-fC-F])|(?<!\\u[dD][89abAB][0-9a-fA-F]{2})\\u[dD][c-fC-F]"
+SURROGATE = ("\\ud", "\\uD")
+#: What objects are asked for: the record, what lies in it, and parts of content.
+WITHIN = ("payload", "message", "snapshot")
+INSIDE = ("role", "type", "content", "text", "summary", *WITHIN, *V.TIME_KEYS)
+PART = ("role", "type", "name", V.TEXT_KEYS[0], *V.TOOL_KEYS)
 
 
 def lines_of(files: DataFrame) -> DataFrame:
@@ -53,7 +60,8 @@ def value_of(text: Column) -> Column:
     """The text as VARIANT if it is one JSON value and nothing else, and Python reads the same; else null."""
     both = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), text, F.lit(f',"{json.dumps(END)[1:-1]}"]'))), "$", "array<variant>")
     sound = lambda b: (F.size(b) == 2) & (F.try_variant_get(F.get(b, 1), "$", "string") == END)
-    return F.when(~text.rlike(ODD), F.get(F.transform(F.array(both), lambda b: F.when(sound(b), F.get(b, 0))), 0))  # parsed once
+    odd = text.rlike(ODD) | ((text.contains(SURROGATE[0]) | text.contains(SURROGATE[1])) & text.rlike(ALONE))
+    return F.when(~odd, F.get(F.transform(F.array(both), lambda b: F.when(sound(b), F.get(b, 0))), 0))  # parsed once
 
 
 def at(v: Column, *keys: str) -> Column:
@@ -82,50 +90,70 @@ def _said(ok: Column | bool, text: Column | str) -> Column:
     return F.struct((ok if isinstance(ok, Column) else F.lit(ok)).alias("ok"), (text if isinstance(text, Column) else F.lit(text)).alias("text"))
 
 
+def opened(v: Column, *keys: str, **inner: tuple[str, ...]) -> Column:
+    """These fields of an object as a struct, all found in one pass; null of anything else. Fields of `inner` are opened as well."""
+    struct = lambda fields: "struct<" + ",".join(f"`{k}`:{kind}" for k, kind in fields.items()) + ">"
+    return F.try_variant_get(v, "$", struct(dict.fromkeys(keys, "variant") | {k: struct(dict.fromkeys(ks, "variant")) for k, ks in inner.items()}))
+
+
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value worked out once however often it is used."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def _part(v: Column, skip_tools: bool) -> Column:
     """(ok, text) of an object or leaf within content; not ok where only a walk tells."""
-    odd = lambda k: at(v, k).isNotNull() & string(at(v, k)).isNull()
-    named = F.lower(F.concat_ws(" ", string(at(v, "type")), string(at(v, "name")))).rlike("|".join(V.TOOL_FRAGMENTS))
-    tool = (F.lower(F.coalesce(string(at(v, "role")), F.lit(""))) == "tool") | named | F.arrays_overlap(F.map_keys(fields(v)), F.array(*map(F.lit, V.TOOL_KEYS)))
-    own = string(at(v, V.TEXT_KEYS[0]))
-    plain = F.coalesce(own.rlike(r"(?U)\S"), F.lit(False))
-    told = F.when(plain, _said(True, own)).otherwise(_said(False, ""))
-    if skip_tools:
-        told = F.when(odd("type") | odd("name") | odd("role"), _said(False, "")).when(tool, _said(True, "")).when(plain, _said(True, own)).otherwise(_said(False, ""))
-    return F.when(fields(v).isNotNull(), told).when(elements(v).isNotNull(), _said(False, "")).when(_kind(v) == "STRING", _said(True, F.try_variant_get(v, "$", "string"))).otherwise(_said(_kind(v) == "VOID", ""))
+
+    def told(p: Column) -> Column:
+        odd = lambda k: p[k].isNotNull() & string(p[k]).isNull()
+        own = string(p[V.TEXT_KEYS[0]])
+        plain = F.coalesce(own.rlike(r"(?U)\S"), F.lit(False))
+        if not skip_tools:
+            return F.when(plain, _said(True, own)).otherwise(_said(False, ""))
+        named = F.lower(F.concat_ws(" ", string(p["type"]), string(p["name"]))).rlike("|".join(V.TOOL_FRAGMENTS))
+        tool = (F.lower(F.coalesce(string(p["role"]), F.lit(""))) == "tool") | named | F.coalesce(*[p[k] for k in V.TOOL_KEYS]).isNotNull()
+        return F.when(odd("type") | odd("name") | odd("role"), _said(False, "")).when(tool, _said(True, "")).when(plain, _said(True, own)).otherwise(_said(False, ""))
+
+    leaf = lambda: F.when(_kind(v) == "STRING", _said(True, F.try_variant_get(v, "$", "string"))).otherwise(_said(_kind(v) == "VOID", ""))
+    return _once(opened(v, *PART), lambda p: F.when(p.isNotNull(), told(p)).when(elements(v).isNotNull(), _said(False, "")).otherwise(leaf()))
 
 
 def _content(v: Column, skip_tools: bool) -> Column:
     """(ok, text) of content: a string, a list of parts, or a part."""
-    parts = F.transform(F.coalesce(elements(v), F.array(v)), lambda e: _part(e, skip_tools))
     joined = lambda p: F.array_join(F.transform(F.filter(p, lambda x: x["text"].rlike(r"(?U)\S")), lambda x: x["text"]), "\n\n")
-    # worked out once, then looked at
-    return F.get(F.transform(F.array(parts), lambda p: _said(F.forall(p, lambda x: x["ok"]), F.when(elements(v).isNotNull(), joined(p)).otherwise(F.get(p, 0)["text"]))), 0)
+    of_list = lambda p: _said(F.forall(p, lambda x: x["ok"]), joined(p))
+    return _once(elements(v), lambda es: F.when(es.isNotNull(), _once(F.transform(es, lambda e: _part(e, skip_tools)), of_list)).otherwise(_part(v, skip_tools)))
 
 
-def _listed(r: Column) -> Column:
+def _roles(r: Column, m: Column) -> Column:
+    """The roles that an object and what lies in it name: top, payload, inner."""
+    word = lambda s, k: string(s[k])
+    kind = F.lower(F.coalesce(word(r["payload"], "type"), F.lit("")))
+    top = F.coalesce(role_of(word(r, "role")), role_of(word(r, "type")))
+    payload = F.coalesce(role_of(word(r["payload"], "role")), F.when(kind.startswith("agent"), "assistant").when(kind.startswith("user"), "user"))
+    inner = F.coalesce(role_of(word(m, "role")), role_of(word(r, "type")))
+    return F.struct(*[F.coalesce(x, F.lit("assistant")).alias(n) for n, x in (("top", top), ("payload", payload), ("inner", inner))])
+
+
+def _listed(r: Column, m: Column, roles: Column) -> Column:
     """All that an object may say, as array<struct<ordinal, role, c, source>>; c is null where there is none."""
-    word = lambda *keys: string(at(r, *keys))
-    top = F.coalesce(role_of(word("role")), role_of(word("type")))
-    kind = F.lower(F.coalesce(word("payload", "type"), F.lit("")))
-    payload = F.coalesce(role_of(word("payload", "role")), F.when(kind.startswith("agent"), "assistant").when(kind.startswith("user"), "user"))
-    inner = F.coalesce(role_of(word("message", "role")), role_of(word("type")))
-    roles = F.struct(*[F.coalesce(x, F.lit("assistant")).alias(n) for n, x in (("top", top), ("payload", payload), ("inner", inner))])
-    is_object = fields(at(r, "message")).isNotNull()
-    places = [("payload", at(r, "payload", k), f"payload.{k}") for k in ("content", "message", "summary", "text")]
-    places += [("inner", at(r, "message", k), f"message.{k}") for k in ("content", "text", "message")]
-    places += [("top", F.when(~is_object, at(r, "message")), "message")] + [("top", at(r, k), k) for k in ("content", "text", "summary", "body")]
-    every = lambda role: F.array(*[F.struct(F.lit(n).alias("ordinal"), role[name].alias("role"), c.alias("c"), F.lit(source).alias("source")) for n, (name, c, source) in enumerate(places)])
-    return F.get(F.transform(F.array(roles), every), 0)
-
-
-def _time(r: Column) -> Column:
+    places = [("payload", r["payload"][k], f"payload.{k}") for k in ("content", "message", "summary", "text")]
+    places += [("inner", m[k], f"message.{k}") for k in ("content", "text", "message")]
+    places += [("top", F.when(m.isNull(), r["message"]), "message")] + [("top", r[k], k) for k in ("content", "text", "summary", "body")]
+    return F.array(*[F.struct(F.lit(n).alias("ordinal"), roles[name].alias("role"), c.alias("c"), F.lit(source).alias("source")) for n, (name, c, source) in enumerate(places)])
+
+
+def _first_time(s: Column) -> Column:
+    """The first time that a struct of fields names."""
+    return F.coalesce(*[F.nullif(F.regexp_replace(string(s[k]), r"(?U)\A\s+|\s+\z", ""), F.lit("")) for k in V.TIME_KEYS])
+
+
+def _time(r: Column, m: Column, own: Column) -> Column:
     """(ok, text): the first time that the record or an object within it names; not ok where it may lie deeper."""
-    first = lambda v: F.get(F.filter(F.transform(F.array(*[at(v, k) for k in V.TIME_KEYS]), lambda x: F.regexp_replace(string(x), r"(?U)\A\s+|\s+\z", "")), lambda x: x != ""), 0)
-    inside = ("payload", "message", "snapshot")
-    deeper = F.exists(F.array(*[at(r, x, y) for x in inside for y in inside]), lambda x: fields(x).isNotNull())
-    within = F.get(F.filter(F.transform(F.array(*[at(r, x) for x in inside]), lambda x: F.when(fields(x).isNotNull(), first(x))), lambda x: x.isNotNull()), 0)
-    return F.get(F.transform(F.array(first(r)), lambda own: F.when(own.isNotNull(), _said(True, own)).when(deeper, _said(False, F.lit(None).cast("string"))).otherwise(_said(True, within))), 0)
+    inside = (r["payload"], m, r["snapshot"])
+    deeper = functools.reduce(Column.__or__, [opened(s[k], V.TIME_KEYS[0]).isNotNull() for s in inside for k in WITHIN])
+    within = F.coalesce(*[_first_time(s) for s in inside])
+    return F.when(own.isNotNull(), _said(True, own)).when(deeper, _said(False, F.lit(None).cast("string"))).otherwise(_said(True, within))
 
 
 def with_told(df: DataFrame, skip_tools: bool = True) -> DataFrame:
@@ -136,7 +164,10 @@ def with_told(df: DataFrame, skip_tools: bool = True) -> DataFrame:
     bare = F.transform(F.filter("__said", lambda x: x["said"]["text"] != ""), lambda x: F.struct(x["ordinal"].alias("ordinal"), x["role"].alias("role"), x["said"]["text"].alias("text"), x["source"].alias("source")))
     single = F.filter("__bare", lambda x, k: ~F.exists(F.slice("__bare", F.lit(1), k), lambda y: (y["role"] == x["role"]) & (y["text"] == x["text"])))
     steps = {
-        "__object": fields(F.col("v")).isNotNull(), "__listed": F.when(F.col("__object"), F.filter(_listed(F.col("v")), lambda x: x["c"].isNotNull())), "__time": F.when(F.col("__object"), _time(F.col("v"))),
+        "__r": opened(F.col("v"), *[k for k in (*INSIDE, "body") if k not in ("payload", "snapshot")], payload=INSIDE, snapshot=INSIDE), "__m": opened(F.col("__r.message"), *INSIDE),
+        "__object": F.col("__r").isNotNull(), "__roles": _roles(F.col("__r"), F.col("__m")), "__own": _first_time(F.col("__r")),
+        "__listed": F.when(F.col("__object"), F.filter(_listed(F.col("__r"), F.col("__m"), F.col("__roles")), lambda x: x["c"].isNotNull())),
+        "__time": F.when(F.col("__object"), _time(F.col("__r"), F.col("__m"), F.col("__own"))),
         "__said": F.transform("__listed", said), "__bare": bare,
         "told": F.when(F.col("__object"), F.when(F.col("__time.ok") & F.forall("__said", lambda x: x["said"]["ok"]), F.struct(F.col("__time.text").alias("timestamp"), F.when(F.size("__bare") > 1, single).otherwise(F.col("__bare")).cast(FOUND).alias("found"))))
         .when(F.col("__string").isNotNull(), F.struct(none.alias("timestamp"), plain(F.col("__string")).alias("found"))),
